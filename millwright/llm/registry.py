@@ -6,24 +6,36 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import langid, packing
+from . import bagminhash, chat, decontam, embed_dedup, html_extract, langid, packing, pii, sharding, token_output
 
 
-def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{table}.parquet")
+def _table(name: str, operator: Callable[[DataFrame], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
+    return lambda spark, sf_dir: operator(spark.read.parquet(f"{sf_dir}/{name}.parquet"))
 
 
-def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return langid.identify(_read(spark, sf_dir, "documents"))
+def op4_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = chat.with_probe(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
+    return chat.digests(chat.format_chats(turns))
 
 
-def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.pack_documents(_read(spark, sf_dir, "documents"))
+def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.report(spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_language_id": op1_language_id, "op2_best_fit_packing": op2_best_fit_packing}
+    return {
+        "op1_language_id": _table("documents", langid.identify),
+        "op2_best_fit_packing": _table("documents", packing.pack_documents),
+        "op3_token_output": _table("documents", token_output.materialise),
+        "op4_chat_formatting": op4_chat_formatting,
+        "op5_personal_data": _table("documents", pii.report),
+        "op6_decontamination": op6_decontamination,
+        "op7_embedding_dedup": _table("embeddings", embed_dedup.near_duplicates),
+        "op8_minhash_dedup": _table("documents", bagminhash.near_duplicates),
+        "op9_sharding": _table("documents", sharding.shard),
+        "op10_html_extraction": _table("pages", html_extract.extract),
+    }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op4_chat_formatting": chat.ORACLE_SQL, "op6_decontamination": decontam.ORACLE_SQL, "op7_embedding_dedup": embed_dedup.ORACLE_SQL}
