@@ -110,18 +110,18 @@ def shard(docs: DataFrame, shards: int = SHARDS, tolerance: float = TOLERANCE) -
     spark = docs.sparkSession
     lows = lows or [(_LOW, _LOW)]
     table = _rows(spark, [{"leaf": k, "shard": s, "first": f} for k, (s, f) in enumerate(zip(of_shard, first_slot, strict=True))], "leaf: int, shard: int, first: bigint")
-    holder = _rows(spark, [{"__edges": [{"h": h, "d": d} for h, d in lows]}], "__edges: array<struct<h: bigint, d: bigint>>")
+    edges = F.from_json(F.lit(json.dumps([{"h": h, "d": d} for h, d in lows])), "array<struct<h: bigint, d: bigint>>")
     own = F.struct(F.col("__h").alias("h"), F.col("__d").alias("d"))
     steps = max(1, len(lows).bit_length())
 
     def half(at: Column, _: Column) -> Column:
         mid = F.floor((at["lo"] + at["hi"] + 1) / 2).cast("int")
-        up = F.get("__edges", mid) <= own
+        up = F.get(edges, mid) <= own
         return F.struct(F.when(up, mid).otherwise(at["lo"]).alias("lo"), F.when(up, at["hi"]).otherwise(F.greatest(mid - 1, at["lo"])).alias("hi"))
 
     start = F.struct(F.lit(0).alias("lo"), F.lit(max(0, len(lows) - 1)).alias("hi"))
     leaf = F.aggregate(F.sequence(F.lit(1), F.lit(steps)), start, half)["lo"]
-    rows = keys.crossJoin(F.broadcast(holder)).withColumn("leaf", leaf).drop("__edges").join(F.broadcast(table), "leaf")
+    rows = keys.withColumn("leaf", leaf).join(F.broadcast(table), "leaf")
     place = F.row_number().over(Window.partitionBy("leaf").orderBy("__h", "__d", "size", "text_crc32")) - 1
     return rows.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", (F.col("first") + place).cast("long").alias("slot"), F.lit(None).cast("int").alias("grown_shard"))
 
