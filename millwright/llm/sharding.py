@@ -107,10 +107,9 @@ def shard(docs: DataFrame, shards: int = SHARDS, tolerance: float = TOLERANCE) -
         slots[i] += rows
         before += size
     # edges and intervals have a bound: some for each shard and each task
-    spark = docs.sparkSession
     lows = lows or [(_LOW, _LOW)]
-    table = _rows(spark, [{"leaf": k, "shard": s, "first": f} for k, (s, f) in enumerate(zip(of_shard, first_slot, strict=True))], "leaf: int, shard: int, first: bigint")
-    edges = F.from_json(F.lit(json.dumps([{"h": h, "d": d} for h, d in lows])), "array<struct<h: bigint, d: bigint>>")
+    known = lambda values, kind: F.from_json(F.lit(json.dumps(values)), f"array<{kind}>")
+    edges = known([{"h": h, "d": d} for h, d in lows], "struct<h: bigint, d: bigint>")
     own = F.struct(F.col("__h").alias("h"), F.col("__d").alias("d"))
     steps = max(1, len(lows).bit_length())
 
@@ -121,7 +120,8 @@ def shard(docs: DataFrame, shards: int = SHARDS, tolerance: float = TOLERANCE) -
 
     start = F.struct(F.lit(0).alias("lo"), F.lit(max(0, len(lows) - 1)).alias("hi"))
     leaf = F.aggregate(F.sequence(F.lit(1), F.lit(steps)), start, half)["lo"]
-    rows = keys.withColumn("leaf", leaf).join(F.broadcast(table), "leaf")
+    rows = keys.withColumn("leaf", leaf)
+    rows = rows.withColumns({"shard": F.get(known(of_shard, "int"), F.col("leaf")), "first": F.get(known(first_slot, "bigint"), F.col("leaf"))})
     place = F.row_number().over(Window.partitionBy("leaf").orderBy("__h", "__d", "size", "text_crc32")) - 1
     return rows.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", (F.col("first") + place).cast("long").alias("slot"), F.lit(None).cast("int").alias("grown_shard"))
 
