@@ -6,13 +6,30 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .plans.bindings import Tables, with_views
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
 
+def query(name: str, sql: str | None = None) -> Callable:
+    """Registers a function of the tables as a query, with its SQL where it has any."""
+
+    def put(f: Callable[[Tables], DataFrame]) -> Callable[[Tables], DataFrame]:
+        QUERIES[name] = lambda spark, folder: f(Tables(spark, folder))
+        if sql:
+            ORACLES[name] = with_views(sql)
+        return f
+
+    return put
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    from .plans import hierarchies, jobs, matching_queries, relational, reports, text_queries  # noqa: F401  they register themselves
+
     return QUERIES
 
 
 def oracle_sql() -> dict[str, str]:
+    queries()
     return ORACLES
