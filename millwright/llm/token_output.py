@@ -23,7 +23,7 @@ import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame, functions as F
 
-from .common import buffers, shared_dir, stored, tune
+from .common import buffers, chunks, shared_dir, stored, tune
 from .tokens import default_vocabulary, tokenizer
 
 LENGTH, END_ID, KEY, ROUNDS = 2048, 1, 20240229, 4
@@ -71,18 +71,20 @@ class Permutation:
 
 
 def token_table(docs: DataFrame, vocabulary: str, end_id: int = END_ID) -> DataFrame:
-    """__part (the task), before (ids before the row in it), n and ids (zstd of 4-byte integers, little-endian) of every row; written."""
+    """The stream of ids in runs of some documents: __part (the task), before (ids before the run in it), n and ids (zstd of 4-byte integers by bytes); written."""
     tune(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own, pack, at = tokenizer(vocabulary), zstandard.ZstdCompressor(level=3), 0
+        own, pack, at = tokenizer(vocabulary), zstandard.ZstdCompressor(level=6), 0
         for batch in batches:
-            flat, counts = own.ids(*buffers(batch.column("text")))
-            ends = np.cumsum(counts)
-            # low bytes first, then high ones: ids below 65,536 pack better so
-            ids = [pack.compress(np.ascontiguousarray(np.append(flat[b - n : b], end_id).astype("<u4").view(np.uint8).reshape(-1, 4).T).tobytes()) for n, b in zip(counts.tolist(), ends.tolist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column("__part"), pa.array(at + ends - counts + np.arange(len(ids))), pa.array(counts + 1), pa.array(ids, pa.binary())], ["__part", "before", "n", "ids"])
-            at += int(counts.sum()) + len(ids)
+            data, offsets = buffers(batch.column("text"))
+            for i, j in chunks(offsets, 4 << 20):
+                flat, counts = own.ids(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
+                ids = np.insert(flat, np.cumsum(counts), end_id)
+                # low bytes first, then high ones: ids pack better so
+                raw = np.ascontiguousarray(ids.astype("<u4").view(np.uint8).reshape(-1, 4).T).tobytes()
+                yield pa.RecordBatch.from_arrays([batch.column("__part")[i : i + 1], pa.array([at]), pa.array([len(ids)]), pa.array([pack.compress(raw)], pa.binary())], ["__part", "before", "n", "ids"])
+                at += len(ids)
 
     rows = docs.select("text", F.spark_partition_id().alias("__part"))
     return stored(rows.mapInArrow(run, "__part int, before long, n long, ids binary"), "uncompressed")
@@ -117,7 +119,7 @@ def write(docs: DataFrame, path: str, vocabulary: str | None = None, length: int
     kind = f"<u{width}"
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pack = zstandard.ZstdCompressor(level=3)
+        pack = zstandard.ZstdCompressor(level=6)
         for batch in batches:
             out: list[list] = [[], [], [], []]
             for part, before, ids in zip(*(batch.column(c).to_pylist() for c in ("__part", "before", "ids")), strict=True):
