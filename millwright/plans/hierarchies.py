@@ -1 +1,101 @@
-"""To come."""
+"""Queries of hierarchies: levels, breadcrumbs, bottlenecks, explosions."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+from pyspark.sql.window import Window
+
+from ..operators import hierarchy as H
+from ..registry import query
+
+_TREE = """WITH RECURSIVE tr AS (SELECT part_key, parent_key, 0 AS level, [part_key] AS path FROM bom WHERE parent_key IS NULL
+  UNION ALL SELECT b.part_key, b.parent_key, tr.level + 1, list_append(tr.path, b.part_key) FROM bom b JOIN tr ON b.parent_key = tr.part_key)"""
+
+
+def _path(c: str = "path"):
+    return F.array_join(F.transform(c, lambda x: x.cast("string")), "/")
+
+
+@query("tree_levels", f"{_TREE} SELECT part_key, level, array_to_string(path, '/') AS path FROM tr")
+def _(t):
+    return H.tree(t.bom, "part_key", "parent_key").select("part_key", "level", _path().alias("path"))
+
+
+@query("breadcrumb", f"{_TREE} SELECT tr.part_key, string_agg(b.part_name, ' > ' ORDER BY i) AS crumb FROM (SELECT part_key, unnest(path) AS node, unnest(range(len(path))) AS i FROM tr WHERE part_key % 50 = 7) tr JOIN bom b ON b.part_key = tr.node GROUP BY 1")
+def _(t):
+    steps = H.tree(t.bom, "part_key", "parent_key").where("part_key % 50 = 7").select("part_key", F.posexplode("path").alias("i", "at"))
+    names = t.bom.select(F.col("part_key").alias("at"), "part_name")
+    rows = steps.join(names, "at").groupBy("part_key").agg(F.sort_array(F.collect_list(F.struct("i", "part_name"))).alias("l"))
+    return rows.select("part_key", F.array_join("l.part_name", " > ").alias("crumb"))
+
+
+@query("level_columns", f"{_TREE} SELECT part_key, path[1] AS l1, path[2] AS l2, path[3] AS l3 FROM tr")
+def _(t):
+    return H.tree(t.bom, "part_key", "parent_key").select("part_key", *[F.get("path", F.lit(k)).alias(f"l{k + 1}") for k in range(3)])
+
+
+@query("direct_parts", "SELECT p.part_key, count(*) AS children, count(*) FILTER (WHERE NOT EXISTS (SELECT 1 FROM bom g WHERE g.parent_key = c.part_key)) AS leaves FROM bom p JOIN bom c ON c.parent_key = p.part_key GROUP BY 1")
+def _(t):
+    parents = t.bom.where("parent_key is not null").select(F.col("parent_key").alias("part_key")).distinct().withColumn("has", F.lit(1))
+    c = t.bom.where("parent_key is not null").join(parents, "part_key", "left")
+    return c.groupBy(F.col("parent_key").alias("part_key")).agg(F.count("*").alias("children"), F.count_if(F.col("has").isNull()).alias("leaves"))
+
+
+@query("bom_explosion", f"""WITH RECURSIVE tr AS (SELECT part_key, CAST(qty_per_engine AS BIGINT) AS needed FROM bom WHERE parent_key IS NULL
+  UNION ALL SELECT b.part_key, tr.needed * b.qty_per_engine FROM bom b JOIN tr ON b.parent_key = tr.part_key) SELECT part_key, needed FROM tr""")
+def _(t):
+    return H.explode_quantities(t.bom, "part_key", "parent_key", "qty_per_engine")
+
+
+_STOCK = "SELECT m.material_key, m.required_per_engine AS need, CAST(floor(coalesce(r.q, 0) - coalesce(i.q, 0)) AS BIGINT) AS stock FROM material m LEFT JOIN (SELECT material_key, sum(qty) AS q FROM receipt GROUP BY 1) r ON r.material_key = m.material_key LEFT JOIN (SELECT material_key, sum(qty) AS q FROM issue GROUP BY 1) i ON i.material_key = m.material_key"
+
+
+def engines(t):
+    """Whole engines that each material allows."""
+    from .relational import material_summary
+
+    m = material_summary(t).join(t.material, "material_key")
+    stock = F.floor("stock").cast("long")
+    return m.select("material_key", "rm_type", F.floor(F.greatest(stock, F.lit(0)) / F.col("required_per_engine")).cast("long").alias("engines"), stock.alias("stock"))
+
+
+@query("bom_bottleneck", f"SELECT min(e) AS engines_possible, arg_min(material_key, (e, material_key)) AS bottleneck, count_if(stock < 0) AS negative_n FROM (SELECT *, greatest(stock, 0) // need AS e FROM ({_STOCK}))")
+def _(t):
+    return engines(t).agg(F.min("engines").alias("engines_possible"), F.min_by("material_key", F.struct("engines", "material_key")).alias("bottleneck"), F.count_if(F.col("stock") < 0).alias("negative_n"))
+
+
+@query("clone_tree", "SELECT b.part_key + (SELECT max(part_key) FROM bom) + 1 AS part_key, b.parent_key + (SELECT max(part_key) FROM bom) + 1 AS parent_key FROM bom b")
+def _(t):
+    top = F.broadcast(t.bom.agg(F.max("part_key").alias("top")))  # one row
+    return t.bom.join(top, how="cross").select((F.col("part_key") + F.col("top") + 1).alias("part_key"), (F.col("parent_key") + F.col("top") + 1).alias("parent_key"))
+
+
+@query("tree_violations", "SELECT part_key, 'inactive parent' AS violation FROM bom WHERE coalesce(is_active, 0) = 1 AND parent_key IN (SELECT part_key FROM bom WHERE is_active IS NULL) UNION ALL SELECT part_key, 'no parent' FROM bom WHERE parent_key IS NOT NULL AND parent_key NOT IN (SELECT part_key FROM bom)")
+def _(t):
+    p = t.bom.select(F.col("part_key").alias("parent_key"), F.col("is_active").alias("p_active"), F.lit(1).alias("p_there"))
+    rows = t.bom.where("parent_key is not null").join(p, "parent_key", "left")
+    kind = F.when(F.col("p_there").isNull(), "no parent").when((F.col("is_active") == 1) & F.col("p_active").isNull(), "inactive parent")
+    return rows.select("part_key", kind.alias("violation")).where("violation is not null")
+
+
+@query("inherit_access", f"{_TREE} SELECT part_key, list_last(list_filter(path, lambda x: x % 4 = 1)) AS granted_by FROM tr")
+def _(t):
+    return H.tree(t.bom, "part_key", "parent_key").select("part_key", F.get(F.filter(F.reverse("path"), lambda x: x % 4 == 1), F.lit(0)).alias("granted_by"))
+
+
+@query("group_order", "SELECT c.part_key, coalesce(p.display_order, 0) * 1000 + c.display_order AS sort_key FROM bom c LEFT JOIN bom p ON c.parent_key = p.part_key")
+def _(t):
+    p = t.bom.select(F.col("part_key").alias("parent_key"), F.col("display_order").alias("p"))
+    return t.bom.join(p, "parent_key", "left").select("part_key", (F.coalesce("p", F.lit(0)) * 1000 + F.col("display_order")).alias("sort_key"))
+
+
+@query("doc_folder", "SELECT d.doc_id, n.n_name AS folder, r.r_name AS root FROM documents d JOIN nation n ON d.doc_id % 25 = n.n_nationkey JOIN region r ON n.n_regionkey = r.r_regionkey")
+def _(t):
+    d = t.documents.select("doc_id", (F.col("doc_id") % 25).alias("n_nationkey"))
+    return d.join(t.nation, "n_nationkey").join(t.region, F.col("n_regionkey") == F.col("r_regionkey")).select("doc_id", F.col("n_name").alias("folder"), F.col("r_name").alias("root"))
+
+
+@query("rpt_doc_status_tree", f"{_TREE} SELECT node AS part_key, count(*) AS total, count_if(b.is_active IS NULL) AS inactive_n FROM (SELECT part_key, unnest(path) AS node FROM tr) x JOIN bom b ON b.part_key = x.part_key GROUP BY 1")
+def _(t):
+    rows = H.tree(t.bom, "part_key", "parent_key").join(t.bom.select("part_key", "is_active"), "part_key").select(F.explode("path").alias("at"), "is_active")
+    return rows.groupBy(F.col("at").alias("part_key")).agg(F.count("*").alias("total"), F.count_if(F.col("is_active").isNull()).alias("inactive_n"))

@@ -1 +1,191 @@
-"""To come."""
+"""Queries of scalar functions: labels, dates, lists, subjects, callouts, geometry."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from ..functions import geometry as G, text as X
+from ..registry import query
+from .bindings import AS_OF
+
+
+@query("label_concat", "SELECT demand_key, line_no, heat_no || '/' || coalesce(nullif(batch_no, ''), '') AS label FROM receipt")
+def _(t):
+    return t.receipt.select("demand_key", "line_no", X.label_concat(F.col("heat_no"), F.nullif("batch_no", F.lit(""))).alias("label"))
+
+
+@query("ellipsis_label", "SELECT material_key, CASE WHEN length(rm_type) > 9 THEN left(rm_type, 5) || '...' || right(rm_type, 4) ELSE rm_type END AS label FROM material")
+def _(t):
+    return t.material.select("material_key", X.ellipsis(F.col("rm_type")).alias("label"))
+
+
+@query("status_suffix", "SELECT demand_key, CASE WHEN do_review <> 0 THEN status || '(DO Review)' ELSE status END AS label FROM demand")
+def _(t):
+    return t.demand.select("demand_key", F.when(F.col("do_review") != 0, F.concat("status", F.lit("(DO Review)"))).otherwise(F.col("status")).alias("label"))
+
+
+@query("date_text", "SELECT demand_key, coalesce(strftime(CASE WHEN demand_key % 2 = 0 THEN demand_date END, '%Y-%m-%d'), '') AS day FROM demand")
+def _(t):
+    return t.demand.select("demand_key", X.date_text(F.when(F.col("demand_key") % 2 == 0, F.col("demand_date"))).alias("day"))
+
+
+@query("days_between", f"SELECT demand_key, CAST(datediff('day', DATE '{AS_OF}', planned_date) AS INT) AS remaining FROM demand")
+def _(t):
+    return t.demand.select("demand_key", F.datediff("planned_date", F.to_date(F.lit(AS_OF))).alias("remaining"))
+
+
+def age_bucket(days):
+    return F.when(days <= 30, "0-30").when(days <= 60, "31-60").otherwise(">60")
+
+
+@query("age_bucket", "SELECT ncr_key, line_no, CASE WHEN d <= 30 THEN '0-30' WHEN d <= 60 THEN '31-60' ELSE '>60' END AS bucket FROM (SELECT *, datediff('day', received_date, DATE '1995-03-01') AS d FROM ncr)")
+def _(t):
+    return t.ncr.select("ncr_key", "line_no", age_bucket(F.datediff(F.to_date(F.lit("1995-03-01")), "received_date")).alias("bucket"))
+
+
+@query("round_away", "SELECT demand_key, CAST(round(CAST(estimated_cost AS DECIMAL(20,4)) / 7, 2) AS DECIMAL(18,2)) AS cost FROM (SELECT demand_key, estimated_cost * 7 AS estimated_cost FROM demand)")
+def _(t):
+    return t.demand.select("demand_key", F.round(F.col("estimated_cost"), 2).cast("decimal(18,2)").alias("cost"))
+
+
+@query("split_trim", "SELECT part_key, array_to_string(list_transform(string_split(serial_nos, ','), lambda x: trim(x)), '|') AS serials FROM serial_text WHERE part_key % 3 = 1")
+def _(t):
+    return t.serial_text.where("part_key % 3 = 1").select("part_key", F.array_join(X.split_trim(F.col("serial_nos")), "|").alias("serials"))
+
+
+@query("parse_serials", """SELECT part_key, CASE WHEN part_key % 3 = 0 THEN array_to_string(CAST(from_json(serial_nos, '["VARCHAR"]') AS VARCHAR[]), '|') WHEN part_key % 3 = 1 THEN array_to_string(list_filter(list_transform(string_split(serial_nos, ','), lambda x: trim(x)), lambda x: x <> ''), '|') ELSE '' END AS serials FROM serial_text""")
+def _(t):
+    return t.serial_text.select("part_key", F.array_join(X.parse_serials(F.col("serial_nos")), "|").alias("serials"))
+
+
+@query("list_remove", "SELECT ncr_key, line_no, CASE WHEN stage = 'Rejected' THEN engine ELSE stage || ',' || engine END AS kept FROM ncr")
+def _(t):
+    return t.ncr.select("ncr_key", "line_no", X.list_remove(F.concat_ws(",", "stage", "engine"), "Rejected").alias("kept"))
+
+
+_DIM = "upper(trim(coalesce(text, '')))"
+for _a, _b in (("DIA", "Ø"), ("⌀", "Ø"), ("Φ", "Ø"), ("+/-", "±"), (",", "."), ("MM", ""), (" ", "")):
+    _DIM = f"replace({_DIM}, '{_a}', '{_b}')"
+_DIM = rf"regexp_replace(regexp_replace({_DIM}, '^(Ø|R)?0\.', '\1.'), '(\.[0-9]*[1-9])0+$|\.0+$', '\1')"
+
+
+@query("normalize_dimension", f"SELECT token_key, drawing_id, text, {_DIM} AS norm FROM token")
+def _(t):
+    return t.token.select("token_key", "drawing_id", "text", X.normalize_dimension(F.col("text")).alias("norm"))
+
+
+@query("clean_subject", r"SELECT message_id, regexp_replace(regexp_replace(trim(regexp_replace(subject, '\s+', ' ', 'g')), '^(re:\s*)+', '', 'i'), '^(fw:\s*)+', '', 'i') AS clean FROM email")
+def _(t):
+    return t.email.select("message_id", X.clean_subject(F.col("subject")).alias("clean"))
+
+
+@query("thread_id", "SELECT message_id, coalesce(nullif(in_reply_to, ''), message_id) AS thread FROM email")
+def _(t):
+    return t.email.select("message_id", F.coalesce(F.nullif("in_reply_to", F.lit("")), "message_id").alias("thread"))
+
+
+@query("fallback_id", "SELECT message_id, sha256(from_email || '~' || subject || '~' || CAST(received_hour AS VARCHAR)) AS fallback FROM email")
+def _(t):
+    return t.email.select("message_id", F.sha2(F.concat_ws("~", "from_email", "subject", F.col("received_hour").cast("string")), 256).alias("fallback"))
+
+
+@query("nested_to_json", """SELECT message_id, '[{"address":"' || from_email || '","kind":"from"}]' AS recipients FROM email""")
+def _(t):
+    return t.email.select("message_id", F.to_json(F.array(F.struct(F.col("from_email").alias("address"), F.lit("from").alias("kind")))).alias("recipients"))
+
+
+@query("last_segment", "SELECT message_id, try_cast(list_last(string_split(replace(message_id, '-', '_'), '_')) AS INT) AS segment FROM email")
+def _(t):
+    return t.email.select("message_id", F.element_at(F.split(F.replace("message_id", F.lit("-"), F.lit("_")), "_"), -1).try_cast("int").alias("segment"))
+
+
+@query("composite_key", "SELECT message_id, string_split(message_id, '-')[1] AS conv, string_split(message_id, '-')[2] AS turn FROM email")
+def _(t):
+    p = F.split("message_id", "-")
+    return t.email.select("message_id", p[0].alias("conv"), p[1].alias("turn"))
+
+
+@query("lev_similarity", "SELECT a.part_key, round(1 - levenshtein(a.part_name, b.part_name) / CAST(greatest(length(a.part_name), length(b.part_name)) AS DOUBLE), 6) AS sim FROM bom a JOIN bom b ON a.parent_key = b.part_key WHERE length(a.part_name) + length(b.part_name) > 0")
+def _(t):
+    p = t.bom.select(F.col("part_key").alias("parent_key"), F.col("part_name").alias("parent_name"))
+    return t.bom.join(p, "parent_key").select("part_key", F.round(X.similarity(F.col("part_name"), F.col("parent_name")), 6).alias("sim"))
+
+
+@query("box_distance", "SELECT token_key, drawing_id, cx, cy, round(sqrt(power(greatest(300 - cx, 0, cx - 500), 2) + power(greatest(200 - cy, 0, cy - 400), 2)), 6) AS dist FROM token")
+def _(t):
+    d = G.box_distance(F.col("cx"), F.col("cy"), *map(F.lit, (300.0, 200.0, 500.0, 400.0)))
+    return t.token.select("token_key", "drawing_id", "cx", "cy", F.round(d, 6).alias("dist"))
+
+
+@query("bbox_iou", "SELECT token_key, cx, cy, round(CASE WHEN i > 0 THEN i / (20 * 10 + 100 * 100 - i) ELSE 0.0 END, 6) AS iou FROM (SELECT *, greatest(0, least(cx + 20, 350) - greatest(cx, 250)) * greatest(0, least(cy + 10, 350) - greatest(cy, 250)) AS i FROM token)")
+def _(t):
+    own = [F.col("cx"), F.col("cy"), F.col("cx") + 20, F.col("cy") + 10]
+    return t.token.select("token_key", "cx", "cy", F.round(G.iou(own, [F.lit(float(v)) for v in (250, 250, 350, 350)]), 6).alias("iou"))
+
+
+_CLASS = " ".join(f"WHEN regexp_matches(upper(trim(text)), '{p}') THEN '{n}'" for n, p in X.GRAMMAR)
+
+
+@query("grammar_class", f"SELECT token_key, text, CASE {_CLASS} ELSE 'other' END AS class FROM token")
+def _(t):
+    return t.token.select("token_key", "text", X.grammar_class(F.col("text")).alias("class"))
+
+
+@query("semantic_type", r"SELECT token_key, text, CASE WHEN contains(upper(text), 'Ø') THEN 'diameter' WHEN regexp_matches(upper(text), '^R\d') THEN 'radius' WHEN contains(text, '°') THEN 'angle' WHEN contains(text, '±') THEN 'tolerance' WHEN regexp_matches(text, '\d') THEN 'numeric' ELSE 'note' END AS kind FROM token")
+def _(t):
+    c = F.upper("text")
+    kind = F.when(F.contains(c, F.lit("Ø")), "diameter").when(c.rlike(r"^R\d"), "radius").when(F.contains(c, F.lit("°")), "angle").when(F.contains(c, F.lit("±")), "tolerance").when(c.rlike(r"\d"), "numeric").otherwise("note")
+    return t.token.select("token_key", "text", kind.alias("kind"))
+
+
+@query("token_type", r"SELECT token_key, text, CASE WHEN regexp_matches(trim(text), '^\(?0*[0-9]{1,3}[A-Za-z]?\)?$') THEN 'bubble' WHEN regexp_matches(text, '[0-9]') THEN 'dimension' ELSE 'keyword' END AS kind FROM token")
+def _(t):
+    kind = F.when(F.trim("text").rlike(r"^\(?0*[0-9]{1,3}[A-Za-z]?\)?$"), "bubble").when(F.col("text").rlike("[0-9]"), "dimension").otherwise("keyword")
+    return t.token.select("token_key", "text", kind.alias("kind"))
+
+
+@query("bubble_id", r"SELECT token_key, text, CASE WHEN regexp_matches(b, '^0+$') THEN '0' ELSE regexp_replace(b, '^0+', '') END AS bubble FROM (SELECT *, regexp_replace(trim(text), '[()]', '', 'g') AS b FROM token)")
+def _(t):
+    return t.token.select("token_key", "text", X.bubble_id(F.col("text")).alias("bubble"))
+
+
+@query("prefix_split", r"SELECT token_key, regexp_extract('B' || CAST(token_key % 7 AS VARCHAR) || ' ' || text, '^([A-Z][0-9]) (.+)$', 1) AS prefix, regexp_extract('B' || CAST(token_key % 7 AS VARCHAR) || ' ' || text, '^([A-Z][0-9]) (.+)$', 2) AS rest FROM token")
+def _(t):
+    c = F.concat(F.lit("B"), (F.col("token_key") % 7).cast("string"), F.lit(" "), "text")
+    return t.token.select("token_key", *[F.regexp_extract(c, "^([A-Z][0-9]) (.+)$", k).alias(n) for k, n in ((1, "prefix"), (2, "rest"))])
+
+
+_STOP = ", ".join(f"'{w}'" for w in X.STOP_WORDS)
+
+
+@query("keywords", f"SELECT doc_id, array_to_string(list_filter(regexp_split_to_array(lower(text), '[ ,.!?]'), lambda w: w <> '' AND w NOT IN ({_STOP})), ' ') AS words FROM documents")
+def _(t):
+    return t.documents.select("doc_id", F.array_join(X.keywords(F.col("text")), " ").alias("words"))
+
+
+@query("sha256_hex", "SELECT vendor_key, array_to_string(list_transform(range(1, 64, 2), lambda i: upper(sha256(vendor_name))[i : i + 1]), '-') AS hex FROM vendor")
+def _(t):
+    return t.vendor.select("vendor_key", X.sha256_dashed(F.col("vendor_name")).alias("hex"))
+
+
+@query("duration_text", "SELECT seq, printf('%02d:%02d:%02d', (seq * 37 // 3600) % 24, (seq * 37 // 60) % 60, (seq * 37) % 60) AS dur FROM log_event")
+def _(t):
+    return t.log_event.select("seq", X.duration_text(F.col("seq") * 37).alias("dur"))
+
+
+@query("composite_confidence", "SELECT token_key, cx, conf, round(0.25 * conf + 0.2 * conf + 0.25 * greatest(0.0, least(1.0, 1 - cx / 500)) + 0.2 + 0.1, 6) AS score, round(0.25 * conf + 0.2 * conf + 0.25 * greatest(0.0, least(1.0, 1 - cx / 500)) + 0.2 + 0.1, 6) < 0.65 AS review FROM token")
+def _(t):
+    near = F.greatest(F.lit(0.0), F.least(F.lit(1.0), 1 - F.col("cx") / 500))
+    score = F.round(0.25 * F.col("conf") + 0.2 * F.col("conf") + 0.25 * near + 0.2 + 0.1, 6)
+    return t.token.select("token_key", "cx", "conf", score.alias("score"), (score < 0.65).alias("review"))
+
+
+@query("direction_score", "SELECT token_key, cx, CASE WHEN dot >= 0.9 THEN 0 WHEN dot >= 0.5 THEN 20 WHEN dot >= 0 THEN 60 ELSE 150 END AS penalty FROM (SELECT *, round((cx - 500) / 500, 6) AS dot FROM token)")
+def _(t):
+    dot = F.round((F.col("cx") - 500) / 500, 6)
+    return t.token.select("token_key", "cx", F.when(dot >= 0.9, 0).when(dot >= 0.5, 20).when(dot >= 0, 60).otherwise(150).alias("penalty"))
+
+
+@query("value_match", f"SELECT t.item_key, t.case_key, {_DIM.replace('text', 't.expected')} = {_DIM.replace('text', 'p.detected')} AS same FROM truth t JOIN prediction p ON t.item_key = p.item_key")
+def _(t):
+    return t.truth.join(t.prediction.drop("case_key"), "item_key").select("item_key", "case_key", X.value_match(F.col("expected"), F.col("detected")).alias("same"))
