@@ -5,8 +5,8 @@ Every shingle of weight w owns Poisson processes on a dyadic discretisation of i
 the axis; it counts if the place is below w. A component's value is its first point, so two documents agree in it
 with a probability equal to their weighted Jaccard index. Processes stop at the slowest component's time.
 
-Texts with the same words are one class. Bands of signatures give candidates: each bucket's smallest class with every
-other one. They are verified by exact bag overlap, and connected components are built. Buckets that still hold
+Texts with the same words are one class. Bands of signatures give candidates: in each bucket the class that shares most buckets with
+others is paired with every other one. They are verified by exact bag overlap, and connected components are built. Buckets that still hold
 several components go on with other leaders, and at last with all their pairs across components, so no link between
 different texts is lost, and no group of copies is ever expanded into its pairs.
 
@@ -188,9 +188,12 @@ def classify(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     first = [F.first(c).alias(c.strip("_")) for c in ("__bands", "__s1", "__s2")]
     reps = stored(full.groupBy("__p1", "__p2").agg(F.min("__uid").alias("uid"), F.min_by(F.struct(*KEY), "__uid").alias("k"), *first).select("*", "k.*").drop("k"))
     rows = reps.select("uid", "s1", "s2", F.explode("bands").alias("key"))
-    buckets = rows.groupBy("key").agg(F.min("uid").alias("lead"), F.count("*").alias("n")).where("n > 1")
-    rows = stored(rows.join(buckets, "key"))
-    pairs = rows.where("uid <> lead").select(F.col("lead").alias("a"), F.col("uid").alias("b")).distinct()
+    counts = rows.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
+    rows = stored(rows.join(counts, "key"))
+    # the text that shares most buckets with others leads, for it is the likeliest to be similar to all of them
+    weight = rows.groupBy("uid").agg(F.sum("n").alias("w"))
+    leads = rows.select("key", "uid").join(weight, "uid").groupBy("key").agg(F.max_by("uid", F.struct("w", -F.col("uid"))).alias("lead"))
+    pairs = rows.join(leads, "key").where("uid <> lead").select(F.least("lead", "uid").alias("a"), F.greatest("lead", "uid").alias("b")).distinct()
     edges = stored(_verify(stored(pairs), reps, docs, threshold))
     roots = components(edges.select(F.col("a").alias("u"), F.col("b").alias("v")))
     # buckets of two are settled; others, while they hold several components
