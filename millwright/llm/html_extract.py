@@ -41,6 +41,8 @@ _DROP_WORDS = set(
     " share sharing social widget widgets login signin signup search toolbar skip".split()
 )
 _HEADINGS = {"h1", "h2", "h3", "h4", "h5", "h6", "html", "body", "article", "main"}
+#: Blocks of prose: inside an article they are its text, however many pages quote it.
+_PROSE = {"p", "h1", "h2", "h3", "h4", "h5", "h6", "li", "blockquote", "pre", "dd", "dt", "td", "th", "tr"}
 #: An opened tag of the second kind ends an open element of the first.
 _CLOSES_P = _BLOCK - {"br", "body", "html", "option", "td", "th", "tr", "tbody", "thead", "tfoot", "summary", "figcaption"}
 _SAME = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}, "tbody": {"tbody", "thead", "tr", "td", "th"}}
@@ -171,8 +173,9 @@ def containers(root: Node) -> list[Node]:
 
 
 def hash_subtrees(root: Node) -> list[Node]:
-    """Sets the hash of every block element with text, children first; articles, main and what holds them have none."""
+    """Sets the hash of every block element with text, children first; articles, main, what holds them, and prose in them have none."""
     order = list(_walk(root))
+    inner = {id(y) for x in containers(root) if x is not root for y in _walk(x)}
     text: dict[int, str] = {}
     holds: set[int] = set()
     out = []
@@ -188,7 +191,7 @@ def hash_subtrees(root: Node) -> list[Node]:
         if x.name in ("article", "main", "body", "html", "h1", ""):
             holds.add(id(x))
         text[id(x)] = xxhash.xxh64_hexdigest(own)
-        if x.name in _BLOCK and x.name not in ("br", "hr") and id(x) not in holds and not x.drop:
+        if x.name in _BLOCK and x.name not in ("br", "hr") and id(x) not in holds and not x.drop and not (x.name in _PROSE and id(x) in inner):
             x.hash = int(text[id(x)], 16) - (1 << 63)
             out.append(x)
     return out
