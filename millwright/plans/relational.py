@@ -7,10 +7,6 @@ from pyspark.sql.window import Window
 
 from ..operators import aggregates as A, changes as C, filters as B, joins as J
 from ..registry import query
-from .bindings import AS_OF
-
-DAY = f"DATE '{AS_OF}'"
-as_of = F.to_date(F.lit(AS_OF))
 
 
 def money(c):

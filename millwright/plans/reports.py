@@ -11,12 +11,13 @@ from ..operators.aggregates import safe_rate
 from ..registry import query
 from .bindings import AS_OF
 
-DAY = F.to_date(F.lit(AS_OF))
-ZERO = F.lit(0)
+
+def day():
+    return F.to_date(F.lit(AS_OF))
 
 
 def dec(c):
-    return F.coalesce(c, ZERO).cast("decimal(18,2)")
+    return F.coalesce(c, F.lit(0)).cast("decimal(18,2)")
 
 
 _R = "(SELECT material_key, sum(qty) AS q, max(receipt_date) AS last FROM receipt GROUP BY 1)"
@@ -70,7 +71,7 @@ def _(t):
 @query("rpt_consolidated_inventory", f"SELECT f.material_key, f.received, f.issued, f.stock, coalesce(h.heats, '') AS heats, coalesce(h.vendors, 0) AS vendors FROM {_FLOWS} f LEFT JOIN (SELECT material_key, string_agg(DISTINCT heat_no, ', ' ORDER BY heat_no) AS heats, count(DISTINCT vendor_key) AS vendors FROM receipt GROUP BY 1) h ON h.material_key = f.material_key")
 def _(t):
     h = t.receipt.groupBy("material_key").agg(F.array_join(F.sort_array(F.collect_set("heat_no")), ", ").alias("heats"), F.count_distinct("vendor_key").alias("vendors"))
-    return flows(t).join(h, "material_key", "left").select("material_key", "received", "issued", "stock", F.coalesce("heats", F.lit("")).alias("heats"), F.coalesce("vendors", ZERO).alias("vendors"))
+    return flows(t).join(h, "material_key", "left").select("material_key", "received", "issued", "stock", F.coalesce("heats", F.lit("")).alias("heats"), F.coalesce("vendors", F.lit(0)).alias("vendors"))
 
 
 _OPEN = "(SELECT m.*, d.officer_key, d.project_key, d.estimated_cost, d.demand_no, d.status_category, datediff('day', DATE '1998-06-01', first_due_date) AS days FROM milestone m JOIN demand d ON m.demand_key = d.demand_key WHERE m.status = 'Active' AND d.status_category = 'Open')"
@@ -110,7 +111,7 @@ _VEND = "(SELECT r.vendor_key, count(*) AS n, count_if(r.receipt_date <= d.plann
 def vendor_performance(t):
     r = t.receipt.join(t.demand.select("demand_key", "planned_date"), "demand_key")
     late = F.col("receipt_date") > F.col("planned_date")
-    return r.groupBy("vendor_key").agg(F.count("*").alias("n"), F.count_if(~late).alias("on_time"), F.count_if(late).alias("overdue"), dec(F.sum("qty")).alias("qty"), F.round(F.avg(F.greatest(F.datediff("receipt_date", "planned_date"), ZERO)), 4).alias("avg_delay"))
+    return r.groupBy("vendor_key").agg(F.count("*").alias("n"), F.count_if(~late).alias("on_time"), F.count_if(late).alias("overdue"), dec(F.sum("qty")).alias("qty"), F.round(F.avg(F.greatest(F.datediff("receipt_date", "planned_date"), F.lit(0))), 4).alias("avg_delay"))
 
 
 @query("rpt_vendor_perf", f"SELECT vendor_key, n, on_time, overdue, round(CAST(on_time AS DOUBLE) / n, 4) AS rate FROM {_VEND}")
@@ -160,7 +161,7 @@ def _(t):
 
 @query("rpt_overdue", f"SELECT demand_key, CAST(ordered - received AS DECIMAL(18,2)) AS pending FROM {_FULFIL} WHERE planned_date < DATE '{AS_OF}' AND ordered > received")
 def _(t):
-    return fulfilment(t).where((F.col("planned_date") < DAY) & (F.col("ordered") > F.col("received"))).select("demand_key", (F.col("ordered") - F.col("received")).cast("decimal(18,2)").alias("pending"))
+    return fulfilment(t).where((F.col("planned_date") < day()) & (F.col("ordered") > F.col("received"))).select("demand_key", (F.col("ordered") - F.col("received")).cast("decimal(18,2)").alias("pending"))
 
 
 @query("rpt_immediate", f"SELECT demand_key, CAST(ordered - received AS DECIMAL(18,2)) AS balance FROM {_FULFIL} WHERE planned_date <= DATE '1998-06-08' AND ordered > received")
@@ -170,7 +171,7 @@ def _(t):
 
 @query("rpt_issued_to_vendor", f"SELECT issue_key, line_no, vendor_key, CAST(datediff('day', issue_date, DATE '{AS_OF}') AS INT) AS days FROM issue")
 def _(t):
-    return t.issue.select("issue_key", "line_no", "vendor_key", F.datediff(DAY, "issue_date").alias("days"))
+    return t.issue.select("issue_key", "line_no", "vendor_key", F.datediff(day(), "issue_date").alias("days"))
 
 
 @query("rpt_cost_variance", "SELECT demand_key, CAST(actual_cost - estimated_cost AS DECIMAL(18,2)) AS variance, CASE WHEN estimated_cost > 0 THEN round(CAST(actual_cost - estimated_cost AS DOUBLE) / CAST(estimated_cost AS DOUBLE), 4) ELSE 0.0 END AS share FROM demand")
@@ -282,7 +283,7 @@ def _(t):
 def _(t):
     keys = ["demand_key", "line_no"]
     a, b = t.demand_item.groupBy(*keys).agg(F.sum("qty").alias("a")), t.receipt.groupBy(*keys).agg(F.sum("qty").alias("b"))
-    return a.join(b, keys, "left").select(*keys, (F.col("a") - F.coalesce("b", ZERO)).cast("decimal(18,2)").alias("variance"))
+    return a.join(b, keys, "left").select(*keys, (F.col("a") - F.coalesce("b", F.lit(0))).cast("decimal(18,2)").alias("variance"))
 
 
 @query("rpt_entry_completeness", "SELECT count(*) AS demands, count_if(demand_key NOT IN (SELECT demand_key FROM demand_item)) AS without_items, count_if(demand_key NOT IN (SELECT demand_key FROM milestone)) AS without_milestones, count_if(demand_key NOT IN (SELECT demand_key FROM receipt)) AS without_receipts FROM demand")
