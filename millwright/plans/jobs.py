@@ -1 +1,28 @@
-"""To come."""
+"""Queries over JSON columns and regression on table rows."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from ..registry import query
+
+
+@query("json_field_totals", "SELECT event_type, count(*) AS n, CAST(sum(try_cast(regexp_extract(props, '\"k\": *([0-9]+)', 1) AS BIGINT)) AS BIGINT) AS total FROM events GROUP BY 1")
+def _(t):
+    k = F.get_json_object("props", "$.k").try_cast("long")
+    return t.events.groupBy("event_type").agg(F.count("*").alias("n"), F.sum(k).alias("total"))
+
+
+@query("gbt_train_predict")
+def _(t):
+    """Missing values replaced, features assembled, boosted trees on four of five orders, predictions for the fifth."""
+    from pyspark.ml import Pipeline
+    from pyspark.ml.feature import Imputer, VectorAssembler
+    from pyspark.ml.regression import GBTRegressor
+
+    names = ["quantity", "discount", "tax"]
+    rows = t.lineitem.select("l_orderkey", "l_linenumber", *[F.col(f"l_{c}").cast("double").alias(c) for c in names], F.col("l_extendedprice").cast("double").alias("label"))
+    full = [f"{c}_full" for c in names]
+    steps = [Imputer(inputCols=names, outputCols=full), VectorAssembler(inputCols=full, outputCol="features"), GBTRegressor(maxIter=8, maxDepth=4, seed=7)]
+    model = Pipeline(stages=steps).fit(rows.where("l_orderkey % 5 <> 0"))
+    return model.transform(rows.where("l_orderkey % 5 = 0")).select("l_orderkey", "l_linenumber", "prediction")
