@@ -7,8 +7,8 @@ with a probability equal to their weighted Jaccard index. Processes stop at the
 
 Texts with the same words are one class. Bands of signatures give candidates: in each bucket the class that shares most buckets with
 others is paired with every other one. They are verified by exact bag overlap, and connected components are built. Buckets that still hold
-several components go on with other leaders, and at last with all their pairs across components, so no link between
-different texts is lost, and no group of copies is ever expanded into its pairs.
+several components go on with other leaders, and at last with all their pairs across components that share
+enough shingles to be similar at all, so no link between different texts is lost, and no group of copies is ever expanded into its pairs.
 
 Edge cases: texts of 1 to 4 words are one shingle, the whole text; null and wordless texts are no duplicates of
 anything; a null id is never the smallest; repeated rows are copies.
@@ -33,6 +33,8 @@ MOST_BITS = 31
 #: Class ids that a broadcast may hold; above it the same join is shuffled.
 BROADCAST_IDS = 1_000_000
 LEADER_ROUNDS = 3
+#: Rounds that leave out texts of open buckets which share too little with any other.
+PEELS = 3
 
 
 def shingles(data: np.ndarray, offsets: np.ndarray, k: int = SHINGLE) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -150,12 +152,44 @@ def overlap(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray])
     return least / max(1, int(a[1].sum() + b[1].sum()) - least)
 
 
-def _verify(pairs: DataFrame, reps: DataFrame, docs: DataFrame, threshold: float) -> DataFrame:
-    """The pairs (a, b) of class ids whose texts are similar enough. reps: uid and row key of the classes."""
-    ids = stored(pairs.select(F.explode(F.array("a", "b")).alias("uid")).distinct().join(reps.select("uid", *KEY), "uid"))
+def _texts(uids: DataFrame, reps: DataFrame, docs: DataFrame) -> DataFrame:
+    """uid and text of classes."""
+    ids = stored(uids.join(reps.select("uid", *KEY), "uid"))
     if ids.count() <= BROADCAST_IDS:
         ids = F.broadcast(ids)
-    need = keyed(docs.select("doc_id", "text")).join(ids, KEY).select("uid", "text").dropDuplicates(["uid"])
+    return keyed(docs.select("doc_id", "text")).join(ids, KEY).select("uid", "text").dropDuplicates(["uid"])
+
+
+def _sharable(rows: DataFrame, reps: DataFrame, docs: DataFrame, threshold: float) -> DataFrame:
+    """rows (key, uid, root, ...) with __size (weight of the bag) and __shared (weight of shingles that other texts of rows have), but
+    without those that for lack of shared shingles can't be similar to any other text of their bucket.
+
+    An overlap is at most the smaller __shared, so (1 + t) min(shared) >= t (size + size) holds for every pair of similarity t. What
+    is left out makes further shingles unshared, so this is done PEELS times; a pair that is similar passes at each."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            data, offsets = buffers(batch.column("text"))
+            uids = batch.column("uid").to_numpy()
+            for i, j in chunks(offsets):
+                row, bag, weight, _, _ = shingles(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
+                yield pa.RecordBatch.from_arrays([pa.array(uids[i:j][row]), pa.array(bag.view(np.int64)), pa.array(weight)], ["uid", "gram", "weight"])
+
+    grams = stored(_texts(rows.select("uid").distinct(), reps, docs).mapInArrow(run, "uid long, gram long, weight long"))
+    rows = rows.join(grams.groupBy("uid").agg(F.sum("weight").alias("__size")), "uid")
+    for _ in range(PEELS):
+        live = grams.join(rows.select("uid").distinct(), "uid", "left_semi")
+        alone = live.groupBy("gram").agg(F.count("*").alias("n"), F.min("uid").alias("uid"), F.sum("weight").alias("w")).where("n = 1")
+        bound = rows.drop("__shared").join(alone.groupBy("uid").agg(F.sum("w").alias("w")), "uid", "left").withColumn("__shared", F.col("__size") - F.coalesce("w", F.lit(0))).drop("w")
+        room = (1 + threshold) * F.col("__shared") - threshold * F.col("__size") + 1e-6
+        most = bound.groupBy("key").agg(F.max(room).alias("__room"), F.min("__size").alias("__least"))
+        rows = stored(bound.join(most, "key").where((room >= threshold * F.col("__least")) & (F.col("__room") >= threshold * F.col("__size"))).drop("__room", "__least"))
+    return rows
+
+
+def _verify(pairs: DataFrame, reps: DataFrame, docs: DataFrame, threshold: float) -> DataFrame:
+    """The pairs (a, b) of class ids whose texts are similar enough. reps: uid and row key of the classes."""
+    need = _texts(pairs.select(F.explode(F.array("a", "b")).alias("uid")).distinct(), reps, docs)
     both = pairs.join(need.select(F.col("uid").alias("a"), F.col("text").alias("ta")), "a").join(need.select(F.col("uid").alias("b"), F.col("text").alias("tb")), "b")
 
     def bag(text: str) -> tuple[np.ndarray, np.ndarray]:
@@ -163,13 +197,13 @@ def _verify(pairs: DataFrame, reps: DataFrame, docs: DataFrame, threshold: float
         return own, weight
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last, held = None, None
         for batch in batches:
-            good = []
-            for a, ta, tb in zip(*(batch.column(c).to_pylist() for c in ("a", "ta", "tb")), strict=True):
-                if a != last:
-                    last, held = a, bag(ta)
-                good.append(overlap(held, bag(tb)) >= threshold - 1e-12)
+            good, bags = [], {}
+            for a, b, ta, tb in zip(*(batch.column(c).to_pylist() for c in ("a", "b", "ta", "tb")), strict=True):
+                for uid, text in ((a, ta), (b, tb)):
+                    if uid not in bags:
+                        bags[uid] = bag(text)
+                good.append(overlap(bags[a], bags[b]) >= threshold - 1e-12)
             yield pa.RecordBatch.from_arrays([batch.column("a").filter(pa.array(good, pa.bool_())), batch.column("b").filter(pa.array(good, pa.bool_()))], ["a", "b"])
 
     return both.mapInArrow(run, "a long, b long")
@@ -205,8 +239,12 @@ def classify(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
         if k < LEADER_ROUNDS:
             more = open_rows.where(F.col("root") != F.col("lroot")).where(_near("s", "l")).select(F.least("lead", "uid").alias("a"), F.greatest("lead", "uid").alias("b"))
         else:
-            x, y = (open_rows.select("key", *(F.col(c).alias(f"{p}{c}") for c in ("uid", "root", "s1", "s2"))) for p in "xy")
-            more = x.join(y, (x.key == y.key) & (F.col("xuid") < F.col("yuid")) & (F.col("xroot") != F.col("yroot")) & _near("xs", "ys")).select(F.col("xuid").alias("a"), F.col("yuid").alias("b"))
+            rest = _sharable(open_rows, reps, docs, threshold)
+            rest = rest.join(rest.groupBy("uid").agg(F.collect_set("key").alias("keys")), "uid")  # BANDS keys at most
+            x, y = (rest.select("key", *(F.col(c).alias(f"{p}{c.strip('_')}") for c in ("uid", "root", "s1", "s2", "keys", "__size", "__shared"))) for p in "xy")
+            share = (1 + threshold) * F.least("xshared", "yshared") + 1e-6 >= threshold * (F.col("xsize") + F.col("ysize"))
+            once = F.array_min(F.array_intersect("xkeys", "ykeys")) == x.key
+            more = x.join(y, (x.key == y.key) & (F.col("xuid") < F.col("yuid")) & (F.col("xroot") != F.col("yroot")) & share & _near("xs", "ys") & once).select(F.col("xuid").alias("a"), F.col("yuid").alias("b"))
         more = stored(more.distinct().join(tried, ["a", "b"], "left_anti"))
         if more.isEmpty():
             if k < LEADER_ROUNDS and not open_rows.isEmpty():
