@@ -32,7 +32,7 @@ COMPONENTS, BANDS, ROWS = 128, 21, 6
 MOST_BITS = 31
 #: Class ids that a broadcast may hold; above it the same join is shuffled.
 BROADCAST_IDS = 1_000_000
-LEADER_ROUNDS = 3
+LEADER_ROUNDS = 1
 #: Rounds that leave out texts of open buckets which share too little with any other.
 PEELS = 3
 
