@@ -1,12 +1,13 @@
 """Personal data: base patterns, and information-theoretic sanitisation of terms that give protected entities away.
 
 Base patterns are e-mail addresses, IP addresses, card numbers and phone numbers. Each value found is a protected
-entity. Over the whole corpus, documents are counted that hold an entity, a term, and both in one line; a term t
-discloses an entity e by PMI(e, t) / IC(e), where IC(e) = -log2 p(e) and PMI(e, t) = log2 p(e, t) / (p(e) p(t)). Terms
-at or above the threshold are generalised, where a table gives a more general term that doesn't disclose e itself, or
-removed. Entities and pairs that only copies of one text show are left out: they say nothing about the term.
+entity, also one that a single text holds. Over the whole corpus, texts are counted that hold an entity, a term, and
+both; a term t discloses an entity e by PMI(e, t) / IC(e), where IC(e) = -log2 p(e) and
+PMI(e, t) = log2 p(e, t) / (p(e) p(t)). Copies of one text count once, and half a text is added to those of a term, so
+that a term isn't taken to stand in no other text because none was seen. Terms at or above the threshold are
+generalised, where a table gives a more general term that doesn't disclose e itself, or removed, wherever they stand.
 
-All of it is DataFrame functions. No base pattern crosses a line end, so lines are the contexts.
+All of it is DataFrame functions. Terms are words outside of base spans; a whole text is the context of its entities.
 
 Edge cases: a null text is empty; repeated rows each get their spans; spans of several kinds may overlap, and the
 sanitised text covers their union; a null id is kept.
@@ -14,6 +15,8 @@ sanitised text covers their union; a null id is kept.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, functions as F
 
 from .common import stored
@@ -25,8 +28,9 @@ IP = r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}"
 CARD = r"[0-9](?:[\x20-]?[0-9])++"
 PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
 TERM = r"[\p{L}\p{M}]+"
-#: Disclosure from which a term is removed, different texts that an entity must be in, shortest term.
-DISCLOSURE, TEXTS, TERM_CHARS = 0.9, 3, 3
+#: Disclosure from which a term is removed, texts that are added to those of a term, shortest term.
+DISCLOSURE, UNSEEN, TERM_CHARS = 0.9, 0.5, 3
+#: Terms or keys that a broadcast may hold; more terms are looked up in blocks.
 BROADCAST_TERMS = 1_000_000
 KEY = ["__k1", "__k2"]
 _BLOCK = 256
@@ -100,18 +104,24 @@ def keyed(docs: DataFrame) -> DataFrame:
     return docs.withColumns({"__k1": F.xxhash64("doc_id", "text"), "__k2": F.xxhash64("text", "doc_id")})
 
 
-def find(docs: DataFrame) -> DataFrame:
-    """doc_id, the row's key, __h (hash of the text), __base (spans with __line, where the line begins) and __lines (begin, line) with base spans. Written."""
-    rows = keyed(docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")))
-    rows = rows.select("doc_id", *KEY, F.xxhash64("text").alias("__h"), "text", base_spans(F.col("text")).alias("__spans"))
+def _blanked(text: Column, spans: Column) -> Column:
+    """The text with spaces in place of the spans: what is left keeps its places."""
 
-    def with_line(s: Column) -> Column:
-        left = F.substring_index(F.substr("text", F.lit(1), s["start"]), "\n", -1)
-        return F.struct(s["kind"].alias("kind"), s["start"].alias("start"), s["end"].alias("end"), s["value"].alias("value"), (s["start"] - F.char_length(left)).alias("line"))
+    def step(at: Column, s: Column) -> Column:
+        gap = F.when(s["start"] > at["pos"], F.substr("text", at["pos"] + 1, s["start"] - at["pos"])).otherwise(F.lit(""))
+        blank = F.repeat(F.lit(" "), F.greatest(s["end"] - F.greatest(s["start"], at["pos"]), F.lit(0)))
+        return F.struct(F.greatest(at["pos"], s["end"]).alias("pos"), F.concat(at["out"], gap, blank).alias("out"))
 
-    rows = rows.withColumn("__base", F.transform("__spans", with_line))
-    lines = F.transform(F.array_distinct(F.col("__base.line")), lambda at: F.struct(at.alias("line"), F.substring_index(F.substr("text", at + 1), "\n", 1).alias("words")))
-    return stored(rows.select("doc_id", *KEY, "__h", "__base", F.when(F.size("__base") > 0, lines).alias("__lines")))
+    places = F.array_sort(F.transform(spans, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"))))
+    cut = F.aggregate(places, F.struct(F.lit(0).alias("pos"), F.lit("").alias("out")), step, lambda at: F.concat(at["out"], F.substr(text, at["pos"] + 1)))
+    return F.when(F.size(spans) > 0, cut).otherwise(text)
+
+
+def find(docs: DataFrame) -> DataFrame:
+    """doc_id, the row's key, __h (hash of the text), __base (spans) and __rest (the text with blanks for them). Written."""
+    rows = keyed(docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")))
+    rows = rows.select("doc_id", *KEY, F.xxhash64("text").alias("__h"), "text", base_spans(F.col("text")).alias("__base"))
+    return stored(rows.select("doc_id", *KEY, "__h", "__base", _blanked(F.col("text"), F.col("__base")).alias("__rest")))
 
 
 def _entity(span: str) -> Column:
@@ -120,56 +130,77 @@ def _entity(span: str) -> Column:
     return F.xxhash64(f"{span}.kind", F.when(F.col(f"{span}.kind") == 0, F.lower(value)).when(F.col(f"{span}.kind") == 1, value).otherwise(_digits(value)))
 
 
-def disclosing(docs: DataFrame, base: DataFrame, disclosure: float = DISCLOSURE, texts: int = TEXTS) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Pairs (entity, term, disclosure) at or above the threshold; the entities of lines; the terms of lines with their places."""
-    entities = base.select(*KEY, "__h", F.explode("__base").alias("s")).select(*KEY, "__h", F.col("s.line").alias("line"), _entity("s").alias("entity"))
-    known = entities.groupBy("entity").agg(F.count_distinct("__h").alias("texts"), F.count_distinct(*KEY).alias("n_e")).where(F.col("texts") >= texts).select("entity", "n_e")
-    entities = stored(entities.distinct().join(known, "entity"))
-    lines = base.where(F.size("__base") > 0).select(*KEY, "__h", "__base", F.explode("__lines").alias("l"))
-    held = entities.select(*KEY, "line").distinct()
-    some = lines.withColumn("line", F.col("l.line")).join(held, [*KEY, "line"], "left_semi")
-    terms = some.select(*KEY, "__h", "__base", "line", F.explode(found(F.col("l.words"), TERM)).alias("t")).where(F.char_length("t.value") >= TERM_CHARS)
-    start, end = F.col("line") + F.col("t.start"), F.col("line") + F.col("t.end")
-    apart = ~F.exists("__base", lambda s: (s["start"] < F.col("line") + F.col("t.end")) & (s["end"] > F.col("line") + F.col("t.start")))
-    terms = stored(terms.where(apart).select(*KEY, "__h", "line", start.alias("start"), end.alias("end"), F.lower("t.value").alias("term")))
-    together = terms.select(*KEY, "__h", "line", "term").distinct().join(entities.select(*KEY, "line", "entity", "n_e"), [*KEY, "line"])
-    pairs = together.groupBy("entity", "term").agg(F.count_distinct(*KEY).alias("n_et"), F.first("n_e").alias("n_e"), F.min("__h").alias("h0"), F.max("__h").alias("h1")).where("h0 <> h1")
-    pairs = stored(pairs.select("entity", "term", "n_et", "n_e"))
-    wanted = pairs.select("term").distinct()
-    if wanted.count() <= BROADCAST_TERMS:
-        wanted = F.broadcast(wanted)
-    own = keyed(docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")))
-    words = own.select(*KEY, F.explode(F.split(F.lower("text"), r"[^\p{L}\p{M}]+")).alias("term")).join(wanted, "term").distinct()
-    n_t = words.groupBy("term").agg(F.count("*").alias("n_t"))
-    n = base.select(*KEY).distinct().count()
-    ic = F.log2(F.lit(float(n)) / F.col("n_e"))
-    pmi = F.log2(F.lit(float(n)) * F.col("n_et") / (F.col("n_e") * F.greatest("n_t", "n_et")))
-    out = pairs.join(n_t, "term").withColumn("disclosure", F.when(ic > 0, pmi / ic)).where(F.col("disclosure") >= disclosure)
-    return out.select("entity", "term", "disclosure"), entities, terms
-
-
-def all_spans(docs: DataFrame, general: DataFrame | None = None, disclosure: float = DISCLOSURE, texts: int = TEXTS) -> DataFrame:
-    """doc_id, row key, __base and __terms (start, end, put: the general term or null) of every row."""
-    base = find(docs)
-    pairs, entities, terms = disclosing(docs, base, disclosure, texts)
+def _terms(text: str) -> Column:
+    """The different terms of a text."""
+    words = F.transform(F.split(text, r"[^\p{L}\p{M}]+"), F.lower)
+    return F.array_distinct(F.filter(words, lambda w: F.char_length(w) >= TERM_CHARS))
+
+
+def _few(df: DataFrame) -> DataFrame:
+    return F.broadcast(df) if df.count() <= BROADCAST_TERMS else df
+
+
+def _texts(base: DataFrame) -> DataFrame:
+    """__h, __base, __rest of every different text; only texts with copies are dealt out."""
+    copied = _few(stored(base.groupBy("__h").count().where("count > 1").select("__h")))
+    own = base.select("__h", "__base", "__rest")
+    return own.join(copied, "__h", "left_anti").unionByName(own.join(copied, "__h", "left_semi").dropDuplicates(["__h"]))
+
+
+def disclosing(base: DataFrame, disclosure: float = DISCLOSURE) -> DataFrame:
+    """Pairs (entity, term, disclosure) at or above the threshold. Written."""
+    texts = _texts(base)
+    n = float(base.select("__h").distinct().count())
+    n_t = stored(texts.select(F.explode(_terms("__rest")).alias("term")).groupBy("term").agg(F.count("*").alias("n_t")))
+    held = texts.where(F.size("__base") > 0)
+    entities = held.select("__h", F.explode("__base").alias("s")).select("__h", _entity("s").alias("entity")).distinct()
+    entities = stored(entities.join(entities.groupBy("entity").agg(F.count("*").alias("n_e")), "entity"))
+    pmi = lambda n_et: F.log2(F.lit(n) * n_et / (F.col("n_e") * (F.col("n_t") + UNSEEN)))
+    ic = F.log2(F.lit(n) / F.col("n_e"))
+    # n_et is n_e or n_t at most: what can't reach the threshold with that isn't paired
+    most = entities.agg(F.coalesce(F.max("n_e"), F.lit(0))).first()[0]
+    bound = F.lit(n ** (1 - disclosure) * float(most) ** disclosure * 1.000001)
+    rare = _few(n_t.where(F.col("n_t") + UNSEEN <= bound)) if 0 <= disclosure <= 1 else n_t
+    terms = held.select("__h", F.explode(_terms("__rest")).alias("term")).join(rare, "term")
+    pairs = terms.join(entities, "__h").where(pmi(F.least("n_e", "n_t")) >= ic * disclosure - 1e-9)
+    pairs = pairs.groupBy("entity", "term").agg(F.count("*").alias("n_et"), F.first("n_e").alias("n_e"), F.first("n_t").alias("n_t"))
+    pairs = pairs.withColumn("disclosure", F.when(ic > 0, pmi(F.col("n_et")) / ic)).where(F.col("disclosure") >= disclosure)
+    return stored(pairs.select("entity", "term", "disclosure"))
+
+
+def removed(pairs: DataFrame, general: DataFrame | None = None) -> DataFrame:
+    """term, put (the general term or null) of every disclosing term. Written."""
     if general is not None:
-        pairs = stored(pairs)
         of = general.select(F.lower("term").alias("term"), F.col("general").alias("put")).groupBy("term").agg(F.min("put").alias("put"))
-        bad = pairs.select("entity", F.col("term").alias("__general"))
-        pairs = pairs.join(of, "term", "left").join(bad.withColumnRenamed("entity", "__e"), (F.col("entity") == F.col("__e")) & (F.lower("put") == F.col("__general")), "left")
+        bad = pairs.select(F.col("entity").alias("__e"), F.col("term").alias("__general"))
+        pairs = pairs.join(of, "term", "left").join(bad, (F.col("entity") == F.col("__e")) & (F.lower("put") == F.col("__general")), "left")
         pairs = pairs.withColumn("put", F.when(F.col("__general").isNull(), F.col("put")))
     else:
         pairs = pairs.withColumn("put", F.lit(None).cast("string"))
-    hit = terms.join(entities.select(*KEY, "line", "entity"), [*KEY, "line"]).join(pairs, ["entity", "term"])
     # a term that discloses several entities is only generalised if it is for all of them
-    hit = hit.groupBy(*KEY, "start", "end").agg(F.when(F.count("*") == F.count("put"), F.min("put")).alias("put"))
-    hit = hit.groupBy(*KEY).agg(F.sort_array(F.collect_list(F.struct("start", "end", "put"))).alias("__terms"))
-    return base.select("doc_id", *KEY, "__base").join(hit, KEY, "left")
+    return stored(pairs.groupBy("term").agg(F.when(F.count("*") == F.count("put"), F.min("put")).alias("put")))
 
 
-def report(docs: DataFrame, disclosure: float = DISCLOSURE, texts: int = TEXTS) -> DataFrame:
+def all_spans(docs: DataFrame, general: DataFrame | None = None, disclosure: float = DISCLOSURE) -> DataFrame:
+    """doc_id, row key, __base and __terms (start, end, put: the general term or null) of every row."""
+    base = find(docs)
+    gone = removed(disclosing(base, disclosure), general)
+    words = base.where(F.size("__base") > 0).select(*KEY, F.explode(_terms("__rest")).alias("term"))
+    blocks = -(-gone.count() // BROADCAST_TERMS) or 1
+    own = [words.join(F.broadcast(gone.where(F.pmod(F.xxhash64("term"), F.lit(blocks)) == b)), "term") for b in range(blocks)]
+    hit = reduce(DataFrame.unionByName, own).groupBy(*KEY).agg(F.collect_set(F.struct("term", "put")).alias("__gone"))
+    hit = stored(hit)
+    # only texts with such terms are dealt out
+    some = base.select(*KEY, "__rest").join(_few(hit.select("__k1").distinct()), "__k1", "left_semi").dropDuplicates(KEY).join(hit, KEY)
+    of = F.map_from_entries("__gone")
+    at = F.filter(found(F.col("__rest"), TERM), lambda t: F.array_contains(F.map_keys(of), F.lower(t["value"])))
+    terms = F.transform(at, lambda t: F.struct(t["start"].alias("start"), t["end"].alias("end"), F.element_at(of, F.lower(t["value"])).alias("put")))
+    return base.select("doc_id", *KEY, "__base").join(some.select(*KEY, terms.alias("__terms")), KEY, "left")
+
+
+def report(docs: DataFrame, disclosure: float = DISCLOSURE) -> DataFrame:
     """doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans, n_term of every row."""
-    rows = all_spans(docs, None, disclosure, texts)
+    rows = all_spans(docs, None, disclosure)
     name = lambda k: F.element_at(F.array(*map(F.lit, KINDS)), k + 1)
     base = F.transform("__base", lambda s: F.concat_ws(":", name(s["kind"]), s["start"], s["end"]))
     more = F.coalesce(F.transform("__terms", lambda s: F.concat_ws(":", F.lit("term"), s["start"], s["end"])), F.array().cast("array<string>"))
@@ -178,9 +209,9 @@ def report(docs: DataFrame, disclosure: float = DISCLOSURE, texts: int = TEXTS)
     return rows.select("doc_id", *counts, F.sha2(F.array_join("b", ",").cast("binary"), 256).alias("base_sha256"), F.array_join(F.concat("b", "m"), ",").alias("spans"), F.size("m").cast("long").alias("n_term"))
 
 
-def sanitise(docs: DataFrame, general: DataFrame | None = None, disclosure: float = DISCLOSURE, texts: int = TEXTS) -> DataFrame:
+def sanitise(docs: DataFrame, general: DataFrame | None = None, disclosure: float = DISCLOSURE) -> DataFrame:
     """`docs` with base spans replaced by their kind in brackets, and disclosing terms by general ones or [TERM]; n_chars follows."""
-    rows = all_spans(docs, general, disclosure, texts)
+    rows = all_spans(docs, general, disclosure)
     base = F.transform("__base", lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), F.concat(F.lit("["), F.upper(F.element_at(F.array(*map(F.lit, KINDS)), s["kind"] + 1)), F.lit("]")).alias("put")))
     more = F.transform("__terms", lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), F.coalesce(s["put"], F.lit("[TERM]")).alias("put")))
     some = rows.select(*KEY, F.array_sort(F.concat(base, F.coalesce(more, F.array().cast("array<struct<start: int, end: int, put: string>>")))).alias("__all"))

@@ -108,6 +108,14 @@ def test_disclosing_terms(spark):
     assert "agent person writes" in {r.doc_id: r.text for r in pii.sanitise(df, general).collect()}[1]
 
 
+def test_terms_of_entities_in_one_text(spark):
+    rows = [(i, f"the agent writes today about nothing {i}") for i in range(100)]
+    rows += [(200, "Name: Zorblax\nMail: bob@x.org\nthe agent"), (201, "Name: Zorblax\nMail: bob@x.org\nthe agent"), (202, "Name: Quuxly\nMail: eve@x.org\nthe agent")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    out = {r.doc_id: r.text for r in pii.sanitise(df).collect()}
+    assert out[200] == out[201] == "Name: [TERM]\nMail: [EMAIL]\nthe agent" and out[202] == "[TERM]".join(("Name: ", "\nMail: [EMAIL]\nthe agent"))
+
+
 def test_decontamination(docs, spark):
     items = [("a", " ".join(f"w{k}" for k in range(40, 60))), ("b", "der die"), ("b", "der die"), (None, "x y z"), ("e", ""), ("f", None)]
     bench = spark.createDataFrame(items, "item_id string, text string")
