@@ -36,28 +36,32 @@ KEY = ["__k1", "__k2"]
 _BLOCK = 256
 
 
+def _bound(value: Column, f) -> Column:
+    """f of a value that is computed once: a lambda over one row binds it."""
+    return F.element_at(F.transform(F.array(value), f), 1)
+
+
 def found(text: Column, pattern: str) -> Column:
     """start, end (code points, end exclusive) and value of all matches."""
-    matches = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    return F.when(F.size(matches) > 0, _placed(F.split(text, pattern, -1), matches))
+    parts = F.struct(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("matches"), F.split(text, pattern, -1).alias("between"))
+    return _bound(parts, lambda p: F.when(F.size(p["matches"]) > 0, _placed(p["between"], p["matches"])))
 
 
 def _placed(between: Column, matches: Column) -> Column:
     """Prefix sums by blocks: text between matches, match, text, ... have lengths whose sums are the places."""
     steps = F.transform(matches, lambda m, i: F.char_length(m) + F.char_length(F.get(between, i)))
     add = lambda xs: F.aggregate(xs, F.lit(0), lambda s, x: s + x)
-    blocks = F.transform(F.sequence(F.lit(0), F.floor((F.size(matches) - 1) / _BLOCK).cast("int")), lambda b: add(F.slice(steps, b * _BLOCK + 1, _BLOCK)))
+    numbers = F.sequence(F.lit(0), F.floor((F.size(matches) - 1) / _BLOCK).cast("int"))
 
-    def place(pack: Column) -> Column:
+    def place(steps: Column, blocks: Column) -> Column:
         def one(m: Column, i: Column) -> Column:
             block = F.floor(i / _BLOCK).cast("int")
-            start = add(F.slice(pack["blocks"], 1, block)) + add(F.slice(pack["steps"], block * _BLOCK + 1, i - block * _BLOCK)) + F.char_length(F.get(between, i))
-            return F.struct(start.alias("start"), (start + F.char_length(m)).alias("end"), m.alias("value"))
+            start = add(F.slice(blocks, 1, block)) + add(F.slice(steps, block * _BLOCK + 1, i - block * _BLOCK)) + F.char_length(F.get(between, i))
+            return _bound(start, lambda at: F.struct(at.alias("start"), (at + F.char_length(m)).alias("end"), m.alias("value")))
 
         return F.transform(matches, one)
 
-    # a lambda over one row binds the sums once
-    return F.element_at(F.transform(F.array(F.struct(steps.alias("steps"), blocks.alias("blocks"))), place), 1)
+    return _bound(steps, lambda steps: _bound(F.transform(numbers, lambda b: add(F.slice(steps, b * _BLOCK + 1, _BLOCK))), lambda blocks: place(steps, blocks)))
 
 
 def _digits(value: Column) -> Column:
@@ -185,17 +189,18 @@ def all_spans(docs: DataFrame, general: DataFrame | None = None, disclosure: flo
     """doc_id, row key, __base and __terms (start, end, put: the general term or null) of every row."""
     base = find(docs)
     gone = removed(disclosing(base, disclosure), general)
-    words = base.where(F.size("__base") > 0).select(*KEY, F.explode(_terms("__rest")).alias("term"))
     blocks = -(-gone.count() // BROADCAST_TERMS) or 1
-    own = [words.join(F.broadcast(gone.where(F.pmod(F.xxhash64("term"), F.lit(blocks)) == b)), "term") for b in range(blocks)]
-    hit = reduce(DataFrame.unionByName, own).groupBy(*KEY).agg(F.collect_set(F.struct("term", "put")).alias("__gone"))
-    hit = stored(hit)
-    # only texts with such terms are dealt out
-    some = base.select(*KEY, "__rest").join(_few(hit.select("__k1").distinct()), "__k1", "left_semi").dropDuplicates(KEY).join(hit, KEY)
-    of = F.map_from_entries("__gone")
-    at = F.filter(found(F.col("__rest"), TERM), lambda t: F.array_contains(F.map_keys(of), F.lower(t["value"])))
-    terms = F.transform(at, lambda t: F.struct(t["start"].alias("start"), t["end"].alias("end"), F.element_at(of, F.lower(t["value"])).alias("put")))
-    return base.select("doc_id", *KEY, "__base").join(some.select(*KEY, terms.alias("__terms")), KEY, "left")
+
+    def of_gone(rows: DataFrame) -> DataFrame:
+        own = [rows.join(F.broadcast(gone.where(F.pmod(F.xxhash64("term"), F.lit(blocks)) == b)), "term") for b in range(blocks)]
+        return reduce(DataFrame.unionByName, own)
+
+    # places are only looked for in texts that hold such terms
+    some = stored(of_gone(base.select("__k1", F.explode(_terms("__rest")).alias("term"))).select("__k1").distinct())
+    at = base.join(_few(some), "__k1", "left_semi").select(*KEY, F.explode(found(F.col("__rest"), TERM)).alias("t"))
+    hit = of_gone(at.select(*KEY, "t.start", "t.end", F.lower("t.value").alias("term")))
+    hit = hit.groupBy(*KEY).agg(F.sort_array(F.collect_set(F.struct("start", "end", "put"))).alias("__terms"))
+    return base.select("doc_id", *KEY, "__base").join(hit, KEY, "left")
 
 
 def report(docs: DataFrame, disclosure: float = DISCLOSURE) -> DataFrame:

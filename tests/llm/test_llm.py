@@ -116,6 +116,13 @@ def test_terms_of_entities_in_one_text(spark):
     assert out[200] == out[201] == "Name: [TERM]\nMail: [EMAIL]\nthe agent" and out[202] == "[TERM]".join(("Name: ", "\nMail: [EMAIL]\nthe agent"))
 
 
+def test_disclosing_terms_go_everywhere(spark):
+    rows = [(i, f"the agent writes today about nothing {i}") for i in range(200)]
+    rows += [(300 + i, f"Zorblax {i}\nMail: bob@x.org\nthe zorblax") for i in range(4)] + [(400, "ask zorblax\nor ZORBLAX's agent")]
+    out = {r.doc_id: r.text for r in pii.sanitise(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert out[301].startswith("[TERM] 1\n") and out[301].endswith("the [TERM]") and out[400] == "ask [TERM]\nor [TERM]'s agent" and out[7] == rows[7][1]
+
+
 def test_decontamination(docs, spark):
     items = [("a", " ".join(f"w{k}" for k in range(40, 60))), ("b", "der die"), ("b", "der die"), (None, "x y z"), ("e", ""), ("f", None)]
     bench = spark.createDataFrame(items, "item_id string, text string")
