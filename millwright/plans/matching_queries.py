@@ -7,6 +7,7 @@ from pyspark.sql.window import Window
 
 from ..functions import text as X
 from ..operators import filters as B, joins as J
+from ..operators.vectors import nearest
 from ..registry import query
 from .text_queries import _DIM
 
@@ -188,6 +189,12 @@ def _(t):
     return B.first_of_each(pairs, ["query_id"], [F.round("dist", 9), "vec_id"], 5).select("query_id", "vec_id", F.round("dist", 4).alias("dist"))
 
 
+@query("vector_search")
+def _(t):
+    """Every row whose id is divisible by 100 against all rows; no SQL, as brute force is too slow there."""
+    return nearest(t.embeddings, t.embeddings.where("vec_id % 100 = 0"))
+
+
 @query("collapse_repeats", "SELECT event_id FROM (SELECT event_id, event_type, lag(event_type) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS b FROM events) WHERE b IS DISTINCT FROM event_type")
 def _(t):
     w = Window.partitionBy("user_id").orderBy("ts", "event_id")

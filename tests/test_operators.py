@@ -53,3 +53,23 @@ def test_no_nested_loops(spark):
     assert [r.dist for r in near.collect()] == [5.0]
     plan = near._jdf.queryExecution().executedPlan().toString()
     assert "NestedLoop" not in plan and "Cartesian" not in plan
+
+
+def test_nearest_vectors_of_all_queries(spark, monkeypatch):
+    import numpy as np
+
+    from millwright import registry
+    from millwright.operators import vectors
+
+    monkeypatch.setattr(vectors, "BLOCK", 2)
+    rng = np.random.default_rng(1)
+    rows = [(i, [float(x) for x in rng.normal(0, 0.35, 4)]) for i in range(650)] + [(700, [0.0] * 4), (701, [0.0] * 4), (800, [9.0] * 4), (900, None)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>").repartition(3)
+    want = set()
+    for q, a in rows:
+        if q % 100 == 0 and a:
+            d = sorted((round(sum((np.float32(x).astype(float) - np.float32(y).astype(float)) ** 2 for x, y in zip(a, b)), 9), i) for i, b in rows if b and i != q)
+            want |= {(q, i, round(x, 6)) for x, i in d[:5] if x <= 1}
+    got = [(r.query_id, r.vec_id, round(r.dist, 6)) for r in vectors.nearest(df, df.where("vec_id % 100 = 0")).collect()]
+    assert len(got) == len(want) and set(got) == want and len({q for q, _, _ in got}) > 5 and 800 not in {q for q, _, _ in got}
+    assert "vector_search" in registry.queries()
