@@ -43,6 +43,8 @@ _DROP_WORDS = set(
 _HEADINGS = {"h1", "h2", "h3", "h4", "h5", "h6", "html", "body", "article", "main"}
 #: Blocks of prose: inside an article they are its text, however many pages quote it.
 _PROSE = {"p", "h1", "h2", "h3", "h4", "h5", "h6", "li", "blockquote", "pre", "dd", "dt", "td", "th", "tr"}
+#: Parts of tables and lists: inside an article no class or id drops them.
+_ROWS = {"table", "thead", "tbody", "tfoot", "tr", "td", "th", "dl", "dt", "dd"}
 #: An opened tag of the second kind ends an open element of the first.
 _CLOSES_P = _BLOCK - {"br", "body", "html", "option", "td", "th", "tr", "tbody", "thead", "tfoot", "summary", "figcaption"}
 _SAME = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}, "tbody": {"tbody", "thead", "tr", "td", "th"}}
@@ -55,29 +57,60 @@ _WORDS = re.compile(r"[a-z0-9]+")
 
 
 class Node:
-    __slots__ = ("name", "drop", "parts", "hash")
+    __slots__ = ("name", "drop", "marked", "parts", "hash")
 
-    def __init__(self, name: str, drop: bool):
-        self.name, self.drop, self.parts, self.hash = name, drop, [], None
+    def __init__(self, name: str, drop: bool, marked: bool = False):
+        """marked: dropped by class or id alone."""
+        self.name, self.drop, self.marked, self.parts, self.hash = name, drop, marked, [], None
 
 
-def _dropped(name: str, raw: str, inside: bool) -> bool:
-    """inside: of an article, whose own header holds its title."""
+def _marks(value: str) -> bool:
+    """A whole token of a class or id says that this isn't the article: all its parts are such words, or numbers."""
+    for token in value.split():
+        words = [w for w in _WORDS.findall(token) if not w.isdigit()]
+        if words and _DROP_WORDS.issuperset(words):
+            return True
+    return False
+
+
+def _dropped(name: str, raw: str, inside: bool) -> bool | None:
+    """inside: of an article, whose own header holds its title. None: by class or id alone."""
     if name in _DROP or name == "footer" or name == "header" and not inside:
         return True
     if " " not in raw and "\n" not in raw and "\t" not in raw:
         return False
+    marked = False
     for m in _ATTR.finditer(raw, len(name) + 1):
         key, value = m[1].lower(), (m[2] or "").strip("\"'").lower()
         if key == "hidden" or key == "aria-hidden" and value == "true" or key == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value):
             return True
         if key == "role" and value in _DROP_ROLES:
             return True
-        if key in ("class", "id") and name not in _HEADINGS and name != "header" and not _DROP_WORDS.isdisjoint(_WORDS.findall(value)):
-            return True
+        if key in ("class", "id") and name not in _HEADINGS and name != "header" and not (inside and name in _ROWS) and _marks(value):
+            marked = True
         if key in ("class", "id") and name == "article" and not {"comment", "reply", "related", "teaser", "ad"}.isdisjoint(_WORDS.findall(value)):
             return True
-    return False
+    return None if marked else False
+
+
+def _mend(root: Node) -> None:
+    """A class or id doesn't drop what holds the page's only article, main or h1."""
+    for names in ({"article", "main"}, {"h1"}):
+        todo: list[tuple[Node, tuple[Node, ...]]] = [(root, ())]
+        within: list[Node] = []
+        while todo:
+            x, marked = todo.pop()
+            if x.drop and not x.marked:
+                continue
+            marked = (*marked, x) if x.marked else marked
+            if x.name in names:
+                if not marked:
+                    break
+                within.extend(marked)
+            todo.extend((p, marked) for p in x.parts if not isinstance(p, str))
+        else:
+            for x in within:
+                x.drop = x.marked = False
 
 
 def parse(page: str) -> Node:
@@ -116,7 +149,8 @@ def parse(page: str) -> Node:
                 elif stack[k].name in _SCOPE:
                     break
         inside = any(x.name in ("article", "main") for x in stack)
-        node = Node(name, _dropped(name, token[1:-1] if token.endswith(">") else token[1:], inside))
+        drop = _dropped(name, token[1:-1] if token.endswith(">") else token[1:], inside)
+        node = Node(name, drop is not False, drop is None)
         stack[-1].parts.append(node)
         if name in _RAW:
             end = re.compile(rf"</{name}(?=[\s/>]|\Z)", re.I).search(page, at)
@@ -126,6 +160,7 @@ def parse(page: str) -> Node:
             at = n if not end else (page.find(">", stop) + 1 or n)
         elif name not in _VOID and not token.endswith("/>"):
             stack.append(node)
+    _mend(root)
     return root
 
 

@@ -184,3 +184,13 @@ def test_html(spark):
     out = {r.page_id: r.text for r in html_extract.extract(spark.createDataFrame(rows, "page_id int, url string, html string")).collect()}
     assert out[3] == "A&B x y z3" and out[50] == out[51] == "" and out[52] == "only"  # "promo line" recurs on all pages of its host
     assert re.sub(r"\d", "", html_extract.text_of(html_extract.parse("<p>a<script>b</script>c</p>"))) == "a c"
+
+
+def test_classes_never_drop_the_article():
+    text = lambda page: " ".join(html_extract.text_of(x) for x in html_extract.containers(html_extract.parse(page)))
+    for c in ("layout has-sidebar", "no-comments", "cookie-enabled", "with-header", "sidebar"):
+        assert text(f'<body><div class="{c}"><article><p>own text</p></article></div></body>') == "own text"
+        assert text(f'<body><div class="{c}"><h1>title</h1><p>own text</p></div><div class="sidebar">no</div></body>') == "title own text"
+    inside = '<tr class="header"><td>a</td></tr>', '<div class="market-share">b</div>', '<section id="search-results">c</section>'
+    assert text(f'<article><table>{inside[0]}</table>{inside[1]}{inside[2]}<div class="comments">d</div></article>') == "a b c"
+    assert text('<body><article>a</article><div id="comments"><article>b</article></div></body>') == "a"
