@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 #: Rows of one Arrow batch. Texts can be long, so batches stay small.
 BATCH_ROWS = 256
@@ -22,10 +24,13 @@ def tune(spark: SparkSession) -> None:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """A new folder that driver and executors see: below spark.checkpoint.dir, or a temporary one where that is unset."""
+    """A new folder that driver and executors see, below spark.checkpoint.dir. Only a local master may go without that setting."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         base = "file://" + tempfile.mkdtemp(prefix="spark-millwright-")
+        atexit.register(shutil.rmtree, base.removeprefix("file://"), ignore_errors=True)
         spark.conf.set("spark.checkpoint.dir", base)
     return f"{base.rstrip('/')}/millwright-{uuid.uuid4().hex}"
 
@@ -37,8 +42,15 @@ def stored(df: DataFrame, codec: str = "zstd") -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def has_column(df: DataFrame, name: str) -> bool:
-    return name in df.columns
+def hidden(df: DataFrame, own: list[str]) -> DataFrame:
+    """The columns `own`, and all others as one, so that no name of theirs can clash with a name that an operator adds."""
+    rest = [F.col(f"`{c}`") for c in df.columns if c not in own]
+    return df.select(*[F.col(f"`{c}`") for c in own], (F.struct(*rest) if rest else F.lit(True)).alias("__others"))
+
+
+def shown(df: DataFrame, names: list[str], own: list[str]) -> DataFrame:
+    """The columns `names` of a table that hidden() made, in their order."""
+    return df.select(*[F.col(f"`{c}`") if c in own else F.col(f"__others.`{c}`").alias(c) for c in names])
 
 
 # --- Arrow buffers -----------------------------------------------------------------------------

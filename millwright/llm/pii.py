@@ -1,25 +1,31 @@
 """Personal data: base patterns, and information-theoretic sanitisation of terms that give protected entities away.
 
 Base patterns are e-mail addresses, IP addresses, card numbers and phone numbers. Each value found is a protected
-entity, also one that a single text holds. Over the whole corpus, texts are counted that hold an entity, a term, and
-both; a term t discloses an entity e by PMI(e, t) / IC(e), where IC(e) = -log2 p(e) and
-PMI(e, t) = log2 p(e, t) / (p(e) p(t)). Copies of one text count once, and half a text is added to those of a term, so
-that a term isn't taken to stand in no other text because none was seen. Terms at or above the threshold are
-generalised, where a table gives a more general term that doesn't disclose e itself, or removed, wherever they stand.
+entity, also one that a single text holds. Over the whole corpus, texts are counted that hold an entity (n_e), a term
+(n_t), and both (n_et), of N texts. With half a text added to those of a term, so that it isn't taken to stand in no
+other text because none was seen, p(e | t) = n_et / (n_t + 1/2). A term discloses an entity if both hold:
+
+- PMI(e, t) / IC(e) is at or above `disclosure`: of the IC(e) = -log2 p(e) bits that the entity's identity is worth,
+  PMI(e, t) = log2 p(e | t) / p(e) are given away;
+- at most `residual` bits, -log2 p(e | t), are left: with 1, the entity is as likely as not where the term stands.
+  A share of IC(e) alone would let terms through, in a large corpus, that mostly stand in texts without the entity.
+
+Disclosing terms are generalised, where a table gives a more general term that doesn't disclose the entity itself, or
+removed, wherever they stand. Copies of one text count once. Entities that stand in the same texts are one class, and
+so are terms; only classes are paired, so a text of many unique entities and terms gives one pair and not their product.
 
 All of it is DataFrame functions. Terms are words outside of base spans; a whole text is the context of its entities.
 
 Edge cases: a null text is empty; repeated rows each get their spans; spans of several kinds may overlap, and the
-sanitised text covers their union; a null id is kept.
+sanitised text covers their union; a null id is kept; columns of any other name pass through; a corpus of one text
+has no disclosing terms, for its entities carry no information; an empty table gives an empty result.
 """
 
 from __future__ import annotations
 
-from functools import reduce
-
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from .common import stored
+from .common import hidden, shown, stored
 
 KINDS = ("email", "ip", "card", "phone", "term")
 #: The base patterns, written so that Java's matcher never goes back over a run of characters.
@@ -28,12 +34,29 @@ IP = r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}"
 CARD = r"[0-9](?:[\x20-]?[0-9])++"
 PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
 TERM = r"[\p{L}\p{M}]+"
-#: Disclosure from which a term is removed, texts that are added to those of a term, shortest term.
-DISCLOSURE, UNSEEN, TERM_CHARS = 0.9, 0.5, 3
-#: Terms or keys that a broadcast may hold; more terms are looked up in blocks.
-BROADCAST_TERMS = 1_000_000
+#: Share of an entity's information and bits left of it at which a term goes, texts added to those of a term, shortest term.
+DISCLOSURE, RESIDUAL, UNSEEN, TERM_CHARS = 0.9, 1.0, 0.5, 3
+#: Rows of a few numbers, or of a term, that a broadcast may hold; beyond that the same join is shuffled.
+BROADCAST_ROWS = 1_000_000
 KEY = ["__k1", "__k2"]
-_BLOCK = 256
+_RUN = 32
+#: Terms and more general ones, in the languages of the documents.
+GENERAL = {
+    "day": "monday tuesday wednesday thursday friday saturday sunday",
+    "month": "january february march april may june july august september october november december",
+    "tag": "montag dienstag mittwoch donnerstag freitag samstag sonntag",
+    "monat": "januar februar märz juni juli oktober dezember",
+    "jour": "lundi mardi mercredi jeudi vendredi samedi dimanche",
+    "mois": "janvier février mars avril mai juin juillet août septembre octobre novembre décembre",
+    "día": "lunes martes miércoles jueves viernes sábado domingo",
+    "mes": "enero febrero marzo abril mayo junio julio agosto septiembre octubre noviembre diciembre",
+}
+
+
+def general_terms(spark: SparkSession) -> DataFrame:
+    """term, general: the table that is used where none is given."""
+    rows = F.inline(F.array(*[F.struct(F.lit(g).alias("general"), F.split(F.lit(terms), " ").alias("terms")) for g, terms in GENERAL.items()]))
+    return spark.range(1).select(rows).select(F.explode("terms").alias("term"), "general")
 
 
 def _bound(value: Column, f) -> Column:
@@ -48,20 +71,26 @@ def found(text: Column, pattern: str) -> Column:
 
 
 def _placed(between: Column, matches: Column) -> Column:
-    """Prefix sums by blocks: text between matches, match, text, ... have lengths whose sums are the places."""
-    steps = F.transform(matches, lambda m, i: F.char_length(m) + F.char_length(F.get(between, i)))
-    add = lambda xs: F.aggregate(xs, F.lit(0), lambda s, x: s + x)
-    numbers = F.sequence(F.lit(0), F.floor((F.size(matches) - 1) / _BLOCK).cast("int"))
-
-    def place(steps: Column, blocks: Column) -> Column:
-        def one(m: Column, i: Column) -> Column:
-            block = F.floor(i / _BLOCK).cast("int")
-            start = add(F.slice(blocks, 1, block)) + add(F.slice(steps, block * _BLOCK + 1, i - block * _BLOCK)) + F.char_length(F.get(between, i))
+    """Text between matches, match, text, ... have lengths whose running sums are the places. They are summed in runs
+    of _RUN, the runs' sums again, and theirs once more: the work per match hardly grows with the text."""
+    last = lambda xs: F.element_at(xs, -1)
+    none = F.array().cast("array<int>")
+    running = lambda xs: F.aggregate(xs, none, lambda got, x: F.concat(got, F.array(F.coalesce(F.get(got, F.size(got) - 1), F.lit(0)) + x)))
+    runs = lambda xs: F.transform(F.sequence(F.lit(0), F.shiftright(F.size(xs) - 1, 5)), lambda b: running(F.slice(xs, b * _RUN + 1, _RUN)))
+    before = lambda xs, i: F.coalesce(F.get(xs, i - 1), F.lit(0))
+    high, low = lambda i: F.shiftright(i, 5), lambda i: i.bitwiseAND(F.lit(_RUN - 1))
+
+    def place(one: Column, two: Column, three: Column) -> Column:
+        def at(m: Column, i: Column) -> Column:
+            k = high(i)
+            start = before(three, high(k)) + before(F.get(two, high(k)), low(k)) + before(F.get(one, k), low(i)) + F.char_length(F.get(between, i))
             return _bound(start, lambda at: F.struct(at.alias("start"), (at + F.char_length(m)).alias("end"), m.alias("value")))
 
-        return F.transform(matches, one)
+        return F.transform(matches, at)
 
-    return _bound(steps, lambda steps: _bound(F.transform(numbers, lambda b: add(F.slice(steps, b * _BLOCK + 1, _BLOCK))), lambda blocks: place(steps, blocks)))
+    steps = F.transform(matches, lambda m, i: F.char_length(m) + F.char_length(F.get(between, i)))
+    tops = lambda one: _bound(runs(F.transform(one, last)), lambda two: _bound(running(F.transform(two, last)), lambda three: place(one, two, three)))
+    return _bound(steps, lambda steps: _bound(runs(steps), tops))
 
 
 def _digits(value: Column) -> Column:
@@ -122,10 +151,10 @@ def _blanked(text: Column, spans: Column) -> Column:
 
 
 def find(docs: DataFrame) -> DataFrame:
-    """doc_id, the row's key, __h (hash of the text), __base (spans) and __rest (the text with blanks for them). Written."""
+    """doc_id, the row's key, __uid (its number), __h (hash of the text), __base (spans) and __rest (the text with blanks for them). Written."""
     rows = keyed(docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")))
-    rows = rows.select("doc_id", *KEY, F.xxhash64("text").alias("__h"), "text", base_spans(F.col("text")).alias("__base"))
-    return stored(rows.select("doc_id", *KEY, "__h", "__base", _blanked(F.col("text"), F.col("__base")).alias("__rest")))
+    rows = rows.select("doc_id", *KEY, F.monotonically_increasing_id().alias("__uid"), F.xxhash64("text").alias("__h"), "text", base_spans(F.col("text")).alias("__base"))
+    return stored(rows.select("doc_id", *KEY, "__uid", "__h", "__base", _blanked(F.col("text"), F.col("__base")).alias("__rest")))
 
 
 def _entity(span: str) -> Column:
@@ -134,78 +163,89 @@ def _entity(span: str) -> Column:
     return F.xxhash64(f"{span}.kind", F.when(F.col(f"{span}.kind") == 0, F.lower(value)).when(F.col(f"{span}.kind") == 1, value).otherwise(_digits(value)))
 
 
-def _terms(text: str) -> Column:
-    """The different terms of a text."""
-    words = F.transform(F.split(text, r"[^\p{L}\p{M}]+"), F.lower)
-    return F.array_distinct(F.filter(words, lambda w: F.char_length(w) >= TERM_CHARS))
+def _terms(texts: DataFrame) -> DataFrame:
+    """__h, term: the different terms of every text."""
+    words = F.array_distinct(F.split(F.lower("__rest"), r"[^\p{L}\p{M}]+"))
+    return texts.select("__h", F.explode(words).alias("term")).where(F.char_length("term") >= TERM_CHARS)
 
 
 def _few(df: DataFrame) -> DataFrame:
-    return F.broadcast(df) if df.count() <= BROADCAST_TERMS else df
+    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
 
 
 def _texts(base: DataFrame) -> DataFrame:
-    """__h, __base, __rest of every different text; only texts with copies are dealt out."""
-    copied = _few(stored(base.groupBy("__h").count().where("count > 1").select("__h")))
-    own = base.select("__h", "__base", "__rest")
-    return own.join(copied, "__h", "left_anti").unionByName(own.join(copied, "__h", "left_semi").dropDuplicates(["__h"]))
+    """The first row of every different text."""
+    copied = stored(base.groupBy("__h").agg(F.min("__uid").alias("__one"), F.count("*").alias("n")).where("n > 1").select("__h", "__one"))
+    return base.join(_few(copied), "__h", "left").where("__one is null or __one = __uid").drop("__one")
 
 
-def disclosing(base: DataFrame, disclosure: float = DISCLOSURE) -> DataFrame:
-    """Pairs (entity, term, disclosure) at or above the threshold. Written."""
-    texts = _texts(base)
-    n = float(base.select("__h").distinct().count())
-    n_t = stored(texts.select(F.explode(_terms("__rest")).alias("term")).groupBy("term").agg(F.count("*").alias("n_t")))
+def _set_of_texts() -> list[Column]:
+    """What two entities, or two terms, that stand in the same different texts have in common."""
+    return [F.bit_xor("__h").alias("s1"), F.bit_xor(F.xxhash64("__h", F.lit(1))).alias("s2")]
+
+
+def disclosing(texts: DataFrame, disclosure: float = DISCLOSURE, residual: float = RESIDUAL) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """From different texts: the pairs (entity, lead) of classes that disclose, the terms (term, lead: of its class,
+    n_t, n_held: texts with entities among them) and where they stand in texts with entities (__h, term). Written."""
+    n = float(texts.count())
+    counted = _terms(texts).groupBy("term").agg(F.count("*").alias("n_t"), *_set_of_texts())
     held = texts.where(F.size("__base") > 0)
     entities = held.select("__h", F.explode("__base").alias("s")).select("__h", _entity("s").alias("entity")).distinct()
-    entities = stored(entities.join(entities.groupBy("entity").agg(F.count("*").alias("n_e")), "entity"))
-    pmi = lambda n_et: F.log2(F.lit(n) * n_et / (F.col("n_e") * (F.col("n_t") + UNSEEN)))
-    ic = F.log2(F.lit(n) / F.col("n_e"))
-    # n_et is n_e or n_t at most: what can't reach the threshold with that isn't paired
+    entities = stored(entities)
+    classes = entities.groupBy("entity").agg(F.count("*").alias("n_e"), *_set_of_texts()).groupBy("n_e", "s1", "s2").agg(F.min("entity").alias("entity")).select("entity", "n_e")
+    entities = stored(entities.join(classes, "entity"))
     most = entities.agg(F.coalesce(F.max("n_e"), F.lit(0))).first()[0]
-    bound = F.lit(n ** (1 - disclosure) * float(most) ** disclosure * 1.000001)
-    rare = _few(n_t.where(F.col("n_t") + UNSEEN <= bound)) if 0 <= disclosure <= 1 else n_t
-    terms = held.select("__h", F.explode(_terms("__rest")).alias("term")).join(rare, "term")
-    pairs = terms.join(entities, "__h").where(pmi(F.least("n_e", "n_t")) >= ic * disclosure - 1e-9)
-    pairs = pairs.groupBy("entity", "term").agg(F.count("*").alias("n_et"), F.first("n_e").alias("n_e"), F.first("n_t").alias("n_t"))
-    pairs = pairs.withColumn("disclosure", F.when(ic > 0, pmi(F.col("n_et")) / ic)).where(F.col("disclosure") >= disclosure)
-    return stored(pairs.select("entity", "term", "disclosure"))
-
-
-def removed(pairs: DataFrame, general: DataFrame | None = None) -> DataFrame:
-    """term, put (the general term or null) of every disclosing term. Written."""
-    if general is not None:
-        of = general.select(F.lower("term").alias("term"), F.col("general").alias("put")).groupBy("term").agg(F.min("put").alias("put"))
-        bad = pairs.select(F.col("entity").alias("__e"), F.col("term").alias("__general"))
-        pairs = pairs.join(of, "term", "left").join(bad, (F.col("entity") == F.col("__e")) & (F.lower("put") == F.col("__general")), "left")
-        pairs = pairs.withColumn("put", F.when(F.col("__general").isNull(), F.col("put")))
-    else:
-        pairs = pairs.withColumn("put", F.lit(None).cast("string"))
-    # a term that discloses several entities is only generalised if it is for all of them
-    return stored(pairs.groupBy("term").agg(F.when(F.count("*") == F.count("put"), F.min("put")).alias("put")))
-
-
-def all_spans(docs: DataFrame, general: DataFrame | None = None, disclosure: float = DISCLOSURE) -> DataFrame:
-    """doc_id, row key, __base and __terms (start, end, put: the general term or null) of every row."""
-    base = find(docs)
-    gone = removed(disclosing(base, disclosure), general)
-    blocks = -(-gone.count() // BROADCAST_TERMS) or 1
+    # n_et is n_e or n_t at most, so a term in more texts can't reach p(e | t)
+    likely = F.lit(2.0**-residual - 1e-9)
+    near = _terms(held).join(counted.where(F.lit(most) >= likely * (F.col("n_t") + UNSEEN)), "term")
+    near = stored(near)
+    terms = near.groupBy("term", "n_t", "s1", "s2").agg(F.count("*").alias("n_held"))
+    terms = stored(terms.join(terms.groupBy("n_t", "s1", "s2").agg(F.min("term").alias("lead")), ["n_t", "s1", "s2"]).select("term", "lead", "n_t", "n_held"))
+    leads = near.select("__h", "term", "n_t").join(terms.where("term = lead").select("term"), "term", "left_semi").withColumnRenamed("term", "lead")
+    at_most = F.least("n_e", "n_t") >= likely * (F.col("n_t") + UNSEEN)
+    pairs = leads.join(entities, "__h").where(at_most).groupBy("entity", "lead", "n_e", "n_t").agg(F.count("*").alias("n_et"))
+    p = F.col("n_et") / (F.col("n_t") + UNSEEN)
+    ic = F.log2(F.lit(n) / F.col("n_e"))
+    pairs = pairs.where((p >= likely) & (ic > 0) & (ic + F.log2(p) >= ic * disclosure - 1e-9))
+    return stored(pairs.select("entity", "lead")), terms, near.select("__h", "term")
+
 
-    def of_gone(rows: DataFrame) -> DataFrame:
-        own = [rows.join(F.broadcast(gone.where(F.pmod(F.xxhash64("term"), F.lit(blocks)) == b)), "term") for b in range(blocks)]
-        return reduce(DataFrame.unionByName, own)
+def removed(pairs: DataFrame, terms: DataFrame, general: DataFrame | None = None) -> DataFrame:
+    """term, put (the general term, or null) of every disclosing term, and whether it stands in texts without entities (elsewhere). Written."""
+    own = terms.join(pairs.select("lead").distinct(), "lead").select("term", "lead", (F.col("n_t") > F.col("n_held")).alias("elsewhere"))
+    own = stored(own)
+    spark = pairs.sparkSession
+    of = (general_terms(spark) if general is None else general).select(F.lower("term").alias("term"), F.col("general").alias("put")).groupBy("term").agg(F.min("put").alias("put"))
+    # a term is only generalised if the more general one discloses no entity that it discloses itself
+    can = own.join(of, "term").select("term", "lead", "put")
+    worse = can.withColumn("__put", F.lower("put")).join(terms.select(F.col("term").alias("__put"), F.col("lead").alias("__lead")), "__put")
+    worse = worse.join(pairs, "lead").join(pairs.select(F.col("entity").alias("__e"), F.col("lead").alias("__lead")), "__lead").where(F.col("entity") == F.col("__e"))
+    can = can.join(worse.select("term").distinct(), "term", "left_anti").select("term", "put")
+    return stored(own.select("term", "elsewhere").join(can, "term", "left"))
 
-    # places are only looked for in texts that hold such terms
-    some = stored(of_gone(base.select("__k1", F.explode(_terms("__rest")).alias("term"))).select("__k1").distinct())
-    at = base.join(_few(some), "__k1", "left_semi").select(*KEY, F.explode(found(F.col("__rest"), TERM)).alias("t"))
-    hit = of_gone(at.select(*KEY, "t.start", "t.end", F.lower("t.value").alias("term")))
-    hit = hit.groupBy(*KEY).agg(F.sort_array(F.collect_set(F.struct("start", "end", "put"))).alias("__terms"))
-    return base.select("doc_id", *KEY, "__base").join(hit, KEY, "left")
+
+def all_spans(docs: DataFrame, general: DataFrame | None = None, disclosure: float = DISCLOSURE, residual: float = RESIDUAL) -> DataFrame:
+    """doc_id, row key, __base and __terms (start, end, put: the general term or null) of every row."""
+    base = find(docs)
+    texts = _texts(base)
+    pairs, terms, near = disclosing(texts, disclosure, residual)
+    gone = removed(pairs, terms, general)
+    hits = near.join(_few(gone.select("term", "put")), "term")
+    more = gone.where("elsewhere").select("term", "put")
+    if not more.isEmpty():
+        hits = hits.unionByName(_terms(texts.where(F.size("__base") == 0)).join(_few(more), "term").select(*hits.columns))
+    hits = stored(hits)
+    # places are only looked for in different texts that hold such terms, and then given to their copies
+    some = texts.join(_few(hits.select("__h").distinct()), "__h", "left_semi").select("__h", F.explode(found(F.col("__rest"), TERM)).alias("t"))
+    some = some.select("__h", "t.start", "t.end", F.lower("t.value").alias("term")).join(_few(hits), ["__h", "term"])
+    places = stored(some.groupBy("__h").agg(F.sort_array(F.collect_list(F.struct("start", "end", "put"))).alias("__terms")))
+    spans = places.agg(F.coalesce(F.sum(F.size("__terms") + 1), F.lit(0))).first()[0]
+    return base.select("doc_id", *KEY, "__h", "__base").join(F.broadcast(places) if spans <= BROADCAST_ROWS else places, "__h", "left").drop("__h")
 
 
 def report(docs: DataFrame, disclosure: float = DISCLOSURE) -> DataFrame:
     """doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans, n_term of every row."""
-    rows = all_spans(docs, None, disclosure)
+    rows = all_spans(docs, disclosure=disclosure)
     name = lambda k: F.element_at(F.array(*map(F.lit, KINDS)), k + 1)
     base = F.transform("__base", lambda s: F.concat_ws(":", name(s["kind"]), s["start"], s["end"]))
     more = F.coalesce(F.transform("__terms", lambda s: F.concat_ws(":", F.lit("term"), s["start"], s["end"])), F.array().cast("array<string>"))
@@ -230,12 +270,13 @@ def sanitise(docs: DataFrame, general: DataFrame | None = None, disclosure: floa
 
     start = F.struct(F.lit(0).alias("pos"), F.lit("").alias("out"))
     text = F.aggregate("__all", start, step, lambda at: F.concat(at["out"], F.substr("text", at["pos"] + 1)))
-    keys = {"__k1": F.xxhash64("doc_id", F.coalesce("text", F.lit(""))), "__k2": F.xxhash64(F.coalesce("text", F.lit("")), "doc_id")}
-    out = docs.withColumns(keys).join(some, KEY, "left").withColumn("__new", F.when(F.col("__all").isNotNull(), text))
-    changed = {"text": F.coalesce("__new", "text")}
+    own = [c for c in ("doc_id", "text", "n_chars") if c in names]
+    plain = F.coalesce("text", F.lit(""))
+    out = hidden(docs, own).withColumns({"__k1": F.xxhash64("doc_id", plain), "__k2": F.xxhash64(plain, "doc_id")}).join(some, KEY, "left").withColumn("__new", F.when(F.col("__all").isNotNull(), text))
+    out = out.withColumn("text", F.coalesce("__new", "text"))
     if "n_chars" in names:
-        changed["n_chars"] = F.when(F.col("__new").isNotNull(), F.char_length("__new").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars"))
-    return out.select(*[changed[c].alias(c) if c in changed else F.col(f"`{c}`") for c in names])
+        out = out.withColumn("n_chars", F.when(F.col("__new").isNotNull(), F.char_length("__new").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
+    return shown(out, names, own)
 
 
 def brute_base(text: str | None) -> list[tuple[str, int, int]]:
