@@ -1,38 +1,46 @@
 """HTML extraction by removal of site templates.
 
-Every element subtree with text is hashed; Spark counts on how many different pages of its host a subtree stands, and
-subtrees that recur across many of them are deleted. Copies of one article count as one page of the host, so that an
-article found under many addresses isn't taken for a template. Of what is left, the article (else main, else the body)
-gives the text, without navigation, headers and footers of the page, asides, forms, scripts, styles, comments,
-notices and adverts, which elements' names, roles and classes tell.
-
-Pages are parsed twice rather than moved: once for the counts, once for the text. Hosts are salted in the counts.
-
-Edge cases: a null html is empty; without a host the page's recurring subtrees aren't removed; unclosed and stray tags
-are mended as browsers do for the common cases; repeated rows are extracted each.
+Every block element's subtree outside of the article's prose is hashed; Spark counts on how many different articles of
+its host a subtree stands, and subtrees that recur on many of them are deleted. Copies of one article count once, so
+that an article found under many addresses isn't taken for a template. What recurs goes first, whatever it is called;
+what the pages' own marks tell (elements' names and roles, then classes and ids) goes after it, for a block that is new
+on each page recurs nowhere. Of what is left, the article (else main, else the body) gives the text.
+
+Inside an article a class or id alone only drops adverts, reader comments and sign-up notices; other words need a second
+sign, which is that links make up half of the subtree's text, or that it recurs.
+
+Counts are of (host, subtree, article) rows made distinct, so a hot host is spread over its subtrees. Pages are parsed
+twice rather than moved; if there are more templates than a broadcast may hold, each page's own ones are joined to it.
+
+Edge cases: a null html is empty; without a host the page's recurring subtrees aren't removed; on a host of few
+articles a subtree recurs if it is on all of them, two at least; unclosed and stray tags are mended as browsers do for
+the common cases; repeated rows are extracted each; columns other than page_id, url and html aren't read; an empty
+table gives an empty result.
 """
 
 from __future__ import annotations
 
 import html as entities
 import re
+import struct
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
 from .common import stored, tune
 
-#: A subtree is template if it stands on so many different pages of its host, and on such a share of them.
-PAGES, SHARE = 10, 0.4
-#: Pairs of host and subtree that a broadcast may hold; above it pages are joined with them by host.
-BROADCAST_ROWS = 500_000
+#: A subtree is template if it stands on so many different articles of its host; on a host of fewer, on all of them, two at least.
+PAGES = 5
+#: Templates (64-bit keys) that a broadcast may hold; beyond that pages are joined with their own.
+BROADCAST_KEYS = 1_000_000
 
 _VOID = set("area base br col embed hr img input link meta param source track wbr".split())
 _RAW = set("script style textarea title noscript iframe xmp noembed noframes".split())
 _BLOCK = set("address article aside blockquote body br center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html li main menu nav ol option p pre section summary table tbody td tfoot th thead tr ul".split())
-_DROP = set("nav aside form script style noscript template iframe svg math button select textarea input dialog object embed canvas audio video head title menu xmp noembed noframes datalist".split())
+_DROP = set("nav aside form script style noscript template iframe button select textarea input dialog object embed canvas audio video head title menu xmp noembed noframes datalist".split())
 _DROP_ROLES = set("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar toolbar".split())
 #: Words of class and id that mark what isn't the article.
 _DROP_WORDS = set(
@@ -40,6 +48,8 @@ _DROP_WORDS = set(
     " nav navbar navigation menu breadcrumb breadcrumbs pagination pager sidebar sidebars aside header masthead footer comment comments disqus respond replies reply reactions related recommended recommendations"
     " share sharing social widget widgets login signin signup search toolbar skip".split()
 )
+#: Of these, the ones that need no second sign inside an article.
+_STRONG_WORDS = set("ad ads adv advert adverts advertisement advertising sponsor sponsored comment comments disqus respond replies reply cookie cookies consent gdpr newsletter subscribe subscription paywall popup modal overlay".split())
 _HEADINGS = {"h1", "h2", "h3", "h4", "h5", "h6", "html", "body", "article", "main"}
 #: Blocks of prose: inside an article they are its text, however many pages quote it.
 _PROSE = {"p", "h1", "h2", "h3", "h4", "h5", "h6", "li", "blockquote", "pre", "dd", "dt", "td", "th", "tr"}
@@ -54,112 +64,153 @@ _TOKEN = re.compile(r"""<!--(?:>|->|.*?(?:--!?>|\Z))|<!\[CDATA\[.*?(?:\]\]>|\Z)|
 _NAME = re.compile(r"</?([a-zA-Z][^\s/>]*)")
 _ATTR = re.compile(r"""([^\s"'<>/=]+)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""")
 _WORDS = re.compile(r"[a-z0-9]+")
+_RAW_END = {name: re.compile(rf"</{name}(?=[\s/>]|\Z)", re.I) for name in _RAW}
 
 
 class Node:
-    __slots__ = ("name", "drop", "marked", "parts", "hash")
+    __slots__ = ("name", "drop", "marked", "weak", "parts", "hash")
 
-    def __init__(self, name: str, drop: bool, marked: bool = False):
-        """marked: dropped by class or id alone."""
-        self.name, self.drop, self.marked, self.parts, self.hash = name, drop, marked, [], None
+    def __init__(self, name: str, drop: bool = False, marked: bool = False, weak: bool = False):
+        """marked: dropped by class or id alone; weak: by words that need a second sign."""
+        self.name, self.drop, self.marked, self.weak, self.parts, self.hash = name, drop, marked, weak, [], None
 
 
-def _marks(value: str) -> bool:
-    """A whole token of a class or id says that this isn't the article: all its parts are such words, or numbers."""
+def _marks(value: str) -> set[str]:
+    """The words of a class's or id's tokens that say that this isn't the article: all words of such a token do, or are numbers."""
+    out: set[str] = set()
     for token in value.split():
         words = [w for w in _WORDS.findall(token) if not w.isdigit()]
         if words and _DROP_WORDS.issuperset(words):
-            return True
-    return False
+            out.update(words)
+    return out
 
 
-def _dropped(name: str, raw: str, inside: bool) -> bool | None:
-    """inside: of an article, whose own header holds its title. None: by class or id alone."""
+def _node(name: str, raw: str, inside: bool) -> Node:
+    """inside: of an article, whose own header holds its title."""
     if name in _DROP or name == "footer" or name == "header" and not inside:
-        return True
+        return Node(name, True)
     if " " not in raw and "\n" not in raw and "\t" not in raw:
-        return False
-    marked = False
+        return Node(name)
+    words: set[str] = set()
     for m in _ATTR.finditer(raw, len(name) + 1):
         key, value = m[1].lower(), (m[2] or "").strip("\"'").lower()
         if key == "hidden" or key == "aria-hidden" and value == "true" or key == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value):
-            return True
+            return Node(name, True)
         if key == "role" and value in _DROP_ROLES:
-            return True
-        if key in ("class", "id") and name not in _HEADINGS and name != "header" and not (inside and name in _ROWS) and _marks(value):
-            marked = True
+            return Node(name, True)
+        if key in ("class", "id") and name not in _HEADINGS and name != "header" and not (inside and name in _ROWS):
+            words |= _marks(value)
         if key in ("class", "id") and name == "article" and not {"comment", "reply", "related", "teaser", "ad"}.isdisjoint(_WORDS.findall(value)):
-            return True
-    return None if marked else False
+            return Node(name, True)
+    return Node(name, bool(words), bool(words), inside and bool(words) and _STRONG_WORDS.isdisjoint(words))
 
 
 def _mend(root: Node) -> None:
-    """A class or id doesn't drop what holds the page's only article, main or h1."""
+    """A class or id doesn't drop what holds the page's only article, main or h1, nor, by weak words, what isn't mostly links."""
     for names in ({"article", "main"}, {"h1"}):
-        todo: list[tuple[Node, tuple[Node, ...]]] = [(root, ())]
-        within: list[Node] = []
+        # a marked element is followed by the chain of the marked ones that hold it
+        todo: list[tuple[Node, tuple | None]] = [(root, None)]
+        within: dict[int, Node] = {}
         while todo:
-            x, marked = todo.pop()
+            x, chain = todo.pop()
             if x.drop and not x.marked:
                 continue
-            marked = (*marked, x) if x.marked else marked
+            if x.marked:
+                chain = (x, chain)
             if x.name in names:
-                if not marked:
+                if chain is None:
                     break
-                within.extend(marked)
-            todo.extend((p, marked) for p in x.parts if not isinstance(p, str))
+                at = chain
+                while at is not None and id(at[0]) not in within:
+                    within[id(at[0])] = at[0]
+                    at = at[1]
+            todo.extend((p, chain) for p in x.parts if not isinstance(p, str))
         else:
-            for x in within:
+            for x in within.values():
                 x.drop = x.marked = False
+    order = list(_walk(root))
+    if not any(x.weak for x in order):
+        return
+    chars: dict[int, tuple[int, int]] = {}  # of text, and of links in it
+    for x in reversed(order):
+        own = links = 0
+        for p in x.parts:
+            if isinstance(p, str):
+                own += len(p.strip())
+            else:
+                a, b = chars.pop(id(p))
+                own, links = own + a, links + b
+        chars[id(x)] = (own, own if x.name == "a" else links)
+        if x.weak and x.drop and 2 * links < own:
+            x.drop = x.marked = False
+
+
+class _Stack:
+    """The open elements, and where the last one of each name and the last one that bounds a search stand."""
+
+    def __init__(self, root: Node):
+        self.nodes, self.at, self.scopes = [root], {}, [0]
+
+    def push(self, node: Node) -> None:
+        self.at.setdefault(node.name, []).append(len(self.nodes))
+        if node.name in _SCOPE:
+            self.scopes.append(len(self.nodes))
+        self.nodes.append(node)
+
+    def last(self, name: str) -> int:
+        own = self.at.get(name)
+        return own[-1] if own else 0
+
+    def cut(self, k: int) -> None:
+        while len(self.nodes) > k:
+            name = self.nodes.pop().name
+            self.at[name].pop()
+            if name in _SCOPE:
+                self.scopes.pop()
 
 
 def parse(page: str) -> Node:
-    """The element tree, as far as text needs it."""
-    root = Node("", False)
-    stack, at, n = [root], 0, len(page)
+    """The element tree, as far as text needs it, in time proportional to the page."""
+    root = Node("")
+    stack, at, n = _Stack(root), 0, len(page)
     while at < n:
         m = _TOKEN.match(page, at)
         token, at = m[0], m.end()
+        top = stack.nodes[-1]
         if token[0] != "<" or token == "<":
-            stack[-1].parts.append(token)
+            top.parts.append(token)
             continue
         got = _NAME.match(token)
         if not got:
             if token.startswith("<![CDATA["):
-                stack[-1].parts.append(token[9:].removesuffix("]]>"))
+                top.parts.append(token[9:].removesuffix("]]>"))
             continue
         name = got[1].lower()
         if token[1] == "/":
-            if name == "p" and not any(x.name == "p" for x in stack):
-                stack[-1].parts.append(Node("p", False))
-            for k in range(len(stack) - 1, 0, -1):
-                if stack[k].name == name:
-                    del stack[k:]
-                    break
-                if stack[k].name in _SCOPE and name not in _BLOCK:
-                    break
+            k = stack.last(name)
+            if name == "p" and not k:
+                top.parts.append(Node("p"))
+            # only a block's end tag reaches beyond the elements that bound a search
+            if k and (name in _BLOCK or k >= stack.scopes[-1]):
+                stack.cut(k)
             continue
         if name in _CLOSES_P or name in _SAME:
             ends = _SAME.get(name, set()) | ({"p"} if name in _CLOSES_P else set())
-            for k in range(len(stack) - 1, 0, -1):
-                if stack[k].name in ends:
-                    del stack[k:]
-                    if name != "tr" and name != "tbody":
-                        break
-                elif stack[k].name in _SCOPE:
+            while (k := max(map(stack.last, ends))) and k >= stack.scopes[-1]:
+                stack.cut(k)
+                if name not in ("tr", "tbody"):
                     break
-        inside = any(x.name in ("article", "main") for x in stack)
-        drop = _dropped(name, token[1:-1] if token.endswith(">") else token[1:], inside)
-        node = Node(name, drop is not False, drop is None)
-        stack[-1].parts.append(node)
+        inside = bool(stack.last("article") or stack.last("main"))
+        node = _node(name, token[1:-1] if token.endswith(">") else token[1:], inside)
+        stack.nodes[-1].parts.append(node)
         if name in _RAW:
-            end = re.compile(rf"</{name}(?=[\s/>]|\Z)", re.I).search(page, at)
+            end = _RAW_END[name].search(page, at)
             stop = end.start() if end else n
             if name in ("textarea", "title"):
                 node.parts.append(page[at:stop])
             at = n if not end else (page.find(">", stop) + 1 or n)
         elif name not in _VOID and not token.endswith("/>"):
-            stack.append(node)
+            stack.push(node)
     _mend(root)
     return root
 
@@ -208,26 +259,26 @@ def containers(root: Node) -> list[Node]:
 
 
 def hash_subtrees(root: Node) -> list[Node]:
-    """Sets the hash of every block element with text, children first; articles, main, what holds them, and prose in them have none."""
+    """Sets the hash of every block element, children first; articles, main, what holds them, and prose in them have none."""
     order = list(_walk(root))
     inner = {id(y) for x in containers(root) if x is not root for y in _walk(x)}
     text: dict[int, str] = {}
     holds: set[int] = set()
     out = []
     for x in reversed(order):
-        own = x.name
+        own = [x.name]
         for p in x.parts:
             if isinstance(p, str):
-                own += "\1" + " ".join(p.split())
+                own.append("\1" + " ".join(p.split()))
             else:
-                own += "\2" + text.pop(id(p))
+                own.append("\2" + text.pop(id(p)))
                 if id(p) in holds:
                     holds.add(id(x))
-        if x.name in ("article", "main", "body", "html", "h1", ""):
+        if x.name in ("article", "main", "body", "html", "h1", "") and not x.drop:
             holds.add(id(x))
-        text[id(x)] = xxhash.xxh64_hexdigest(own)
-        if x.name in _BLOCK and x.name not in ("br", "hr") and id(x) not in holds and not x.drop and not (x.name in _PROSE and id(x) in inner):
-            x.hash = int(text[id(x)], 16) - (1 << 63)
+        text[id(x)] = xxhash.xxh64_hexdigest("".join(own))
+        if x.name in _BLOCK and x.name not in ("br", "hr") and id(x) not in holds and not (x.name in _PROSE and id(x) in inner):
+            x.hash = int(text[id(x)], 16)
             out.append(x)
     return out
 
@@ -235,52 +286,83 @@ def hash_subtrees(root: Node) -> list[Node]:
 _HOST = r"^(?:[a-zA-Z][a-zA-Z0-9+.-]*:)?//(?:[^/?#@]*@)?([^/?#:]+)"
 
 
+def _key(host: int, subtree: int) -> int:
+    """One signed 64-bit number for a subtree of a host."""
+    return xxhash.xxh64_intdigest(struct.pack("<qQ", host, subtree)) - (1 << 63)
+
+
 def _counted(pages: DataFrame) -> DataFrame:
-    """host, subtree, article (hash of the page's main text) of all hashed subtrees; subtree null: the page itself."""
+    """__k1, __k2, __host, key, article (hash of the page's main text) of all hashed subtrees; key null: the page itself."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            hosts, subtrees, articles = [], [], []
-            for host, page in zip(batch.column("__host").to_pylist(), batch.column("html").to_pylist(), strict=True):
+            row, keys, articles = [], [], []
+            for k, (host, page) in enumerate(zip(batch.column("__host").to_pylist(), batch.column("html").to_pylist(), strict=True)):
                 root = parse(page or "")
-                own = {x.hash for x in hash_subtrees(root)}
+                own = {_key(host, x.hash) for x in hash_subtrees(root)}
                 main = xxhash.xxh64_intdigest(" ".join(text_of(x) for x in containers(root))) - (1 << 63)
-                hosts += [host] * (len(own) + 1)
-                subtrees += [None, *own]
+                row += [k] * (len(own) + 1)
+                keys += [None, *own]
                 articles += [main] * (len(own) + 1)
-            yield pa.RecordBatch.from_arrays([pa.array(hosts, pa.string()), pa.array(subtrees, pa.int64()), pa.array(articles, pa.int64())], ["host", "subtree", "article"])
+            at = pa.array(row, pa.int64())
+            yield pa.RecordBatch.from_arrays([*(batch.column(c).take(at) for c in ("__k1", "__k2", "__host")), pa.array(keys, pa.int64()), pa.array(articles, pa.int64())], ["__k1", "__k2", "__host", "key", "article"])
 
-    return pages.where("__host is not null").select("__host", "html").mapInArrow(run, "host string, subtree long, article long")
+    return pages.where("__host is not null").select("__k1", "__k2", "__host", "html").mapInArrow(run, "__k1 long, __k2 long, __host long, key long, article long")
 
 
-def templates(pages: DataFrame, least: int = PAGES, share: float = SHARE) -> DataFrame:
-    """host, subtree: what recurs on at least `least` different articles of a host, and on `share` of them."""
-    seen = _counted(pages).distinct().groupBy("host", "subtree").count()
-    seen = stored(seen)
-    of_host = seen.where("subtree is null").select("host", F.col("count").alias("pages"))
-    often = seen.where((F.col("subtree").isNotNull()) & (F.col("count") >= least))
-    return often.join(of_host, "host").where(F.col("count") >= share * F.col("pages")).select("host", "subtree")
+def templates(counted: DataFrame, least: int = PAGES) -> DataFrame:
+    """key: the subtrees that recur on at least `least` different articles of a host, or on all of them if they are fewer (two at least)."""
+    seen = stored(counted.select("__host", "key", "article").distinct().groupBy("__host", "key").count().where("key is null or count > 1"))
+    of_host = seen.where("key is null").select("__host", F.col("count").alias("articles"))
+    often = seen.where("key is not null").join(of_host, "__host")
+    return often.where(F.col("count") >= F.least(F.lit(least), F.greatest(F.lit(2), F.col("articles")))).select("key")
 
 
-def extract(pages: DataFrame, least: int = PAGES, share: float = SHARE) -> DataFrame:
+def extract(pages: DataFrame, least: int = PAGES, broadcast_keys: int = BROADCAST_KEYS) -> DataFrame:
     """page_id, url, text, n_chars of every row of pages (page_id, url, html)."""
     tune(pages.sparkSession)
     host = F.lower(F.regexp_extract("url", _HOST, 1))
-    rows = pages.select("page_id", "url", "html", F.when(host != "", host).alias("__host"))
-    found = stored(templates(rows, least, share).groupBy("host").agg(F.collect_set("subtree").alias("__gone"), F.count("*").alias("n")))
-    total = found.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-    gone = found.select(F.col("host").alias("__host"), "__gone")
-    rows = rows.join(F.broadcast(gone) if total <= BROADCAST_ROWS else gone, "__host", "left")
+    rows = pages.select("page_id", "url", "html", F.when(host != "", F.xxhash64(host)).alias("__host"), F.xxhash64("page_id", "url", "html").alias("__k1"), F.xxhash64("html", "url", "page_id").alias("__k2"))
+    counted = _counted(rows)
+    found = stored(templates(counted, least))
+    few = found.count() <= broadcast_keys
+    if few:
+        # at most `broadcast_keys` numbers
+        known = np.sort(np.array([r.key for r in found.collect()], np.int64))
+        shared = pages.sparkSession.sparkContext.broadcast(known)
+    else:
+        own = counted.where("key is not null").select("__k1", "__k2", "key").join(found, "key").groupBy("__k1", "__k2").agg(F.collect_set("key").alias("__gone"))
+        rows = rows.join(own, ["__k1", "__k2"], "left")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = []
-            for page, own in zip(batch.column("html").to_pylist(), batch.column("__gone").to_pylist(), strict=True):
-                root = parse(page or "")
-                if own:
-                    hash_subtrees(root)
-                texts.append(" ".join(t for x in containers(root) if (t := text_of(x, set(own or ())))))
+            lists = [None] * len(batch) if few else batch.column("__gone").to_pylist()
+            for page, h, own in zip(batch.column("html").to_pylist(), batch.column("__host").to_pylist(), lists, strict=True):
+                root, gone = parse(page or ""), set()
+                if h is not None and (own or few and len(shared.value)):
+                    nodes = hash_subtrees(root)
+                    keys = [_key(h, x.hash) for x in nodes]
+                    if few:
+                        at = np.searchsorted(shared.value, keys)
+                        hit = shared.value[np.minimum(at, len(shared.value) - 1)] == keys
+                    else:
+                        known_here = set(own)
+                        hit = [k in known_here for k in keys]
+                    gone = {x.hash for x, y in zip(nodes, hit, strict=True) if y}
+                texts.append(" ".join(t for x in containers(root) if (t := text_of(x, gone))))
             yield pa.RecordBatch.from_arrays([batch.column("page_id"), batch.column("url"), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], ["page_id", "url", "text", "n_chars"])
 
     kind = rows.schema["page_id"].dataType.simpleString()
-    return rows.select("page_id", "url", "html", "__gone").mapInArrow(run, f"page_id {kind}, url string, text string, n_chars long")
+    columns = ["page_id", "url", "html", "__host"] + ([] if few else ["__gone"])
+    return rows.select(*columns).mapInArrow(run, f"page_id {kind}, url string, text string, n_chars long")
+
+
+def deleted(pages: DataFrame, least: int = PAGES) -> DataFrame:
+    """What the method does: page_id and the number of hashed subtrees, and of those that recur. One row for each page with a host."""
+    tune(pages.sparkSession)
+    host = F.lower(F.regexp_extract("url", _HOST, 1))
+    rows = pages.select("html", F.when(host != "", F.xxhash64(host)).alias("__host"), F.xxhash64("page_id", "url", "html").alias("__k1"), F.xxhash64("html", "url", "page_id").alias("__k2"))
+    counted = stored(_counted(rows))
+    hit = counted.where("key is not null").join(stored(templates(counted, least)).withColumn("hit", F.lit(1)), "key", "left")
+    return hit.groupBy("__k1", "__k2").agg(F.count("*").alias("subtrees"), F.count("hit").alias("recurring"))
