@@ -27,7 +27,9 @@ CAPACITY = 4096
 END_ID = 1
 #: Pieces of a group at most, about: what one task packs.
 GROUP = 4000
-ISLANDS, EPOCHS, GENERATIONS, POPULATION = 3, 2, 4, 4
+ISLANDS, EPOCHS, GENERATIONS, POPULATION = 3, 2, 30, 8
+#: Rounds of exchanges between displaced pieces and those of bins with room.
+EXCHANGES = 12
 #: Bins filled less than this are opened again after the first round.
 WELL_FILLED = 0.995
 
@@ -83,45 +85,74 @@ def best_fit(sizes: np.ndarray, order: np.ndarray, capacity: int, bins: np.ndarr
             insort(free, (r - size, b))
 
 
+def exchange(sizes: np.ndarray, bins: np.ndarray, room: np.ndarray, rounds: int = EXCHANGES) -> None:
+    """Displaced pieces (bin -1) change places with smaller ones, alone or in pairs, of bins that they fill better; bins and room are changed."""
+    for _ in range(rounds):
+        out = np.flatnonzero(bins < 0)
+        own = np.flatnonzero(bins >= 0)
+        own = own[room[bins[own]] > 0]
+        if not len(out) or not len(own):
+            return
+        out = out[np.argsort(sizes[out], kind="stable")]
+        of = sizes[out]
+        own = own[np.argsort(bins[own], kind="stable")]
+        pair = np.flatnonzero(bins[own[1:]] == bins[own[:-1]])  # neighbours in a bin
+        first, second = np.concatenate([own, own[pair]]), np.concatenate([np.full(len(own), -1), own[pair + 1]])
+        held = sizes[first] + np.where(second >= 0, sizes[second], 0)
+        at = np.searchsorted(of, held + room[bins[first]], "right") - 1
+        gain = np.where(at >= 0, of[at] - held, 0)
+        good = np.flatnonzero(gain > 0)
+        if not len(good):
+            return
+        # what fills its bin best comes first; a bin and a displaced piece take part once in a round
+        good = good[np.lexsort((gain[good], room[bins[first[good]]] - gain[good]))]
+        good = good[np.sort(np.unique(bins[first[good]], return_index=True)[1])]
+        good = good[np.sort(np.unique(at[good], return_index=True)[1])]
+        b = bins[first[good]]
+        bins[out[at[good]]] = b
+        room[b] -= gain[good]
+        bins[first[good]] = -1
+        bins[second[good][second[good] >= 0]] = -1
+
+
 def fitness(sizes: np.ndarray, bins: np.ndarray, capacity: int) -> tuple[int, float]:
     """Fewer bins are better; among equals, more unequal filling, which leaves room together."""
     fill = np.bincount(bins, weights=sizes) / capacity
     return -int(len(fill)), float((fill**2).sum())
 
 
+def _complete(sizes: np.ndarray, child: np.ndarray, capacity: int) -> np.ndarray:
+    """Exchanges the displaced pieces (bin -1), best-fits what is left, and numbers the bins from 0."""
+    put = child >= 0
+    names, own = np.unique(child[put], return_inverse=True)
+    child[put] = own
+    room = (capacity - np.bincount(own, weights=sizes[put], minlength=len(names))).astype(np.int64)
+    exchange(sizes, child, room)
+    rest = np.flatnonzero(child < 0)
+    best_fit(sizes, rest[np.argsort(-sizes[rest], kind="stable")], capacity, child, room.tolist())
+    return np.unique(child, return_inverse=True)[1]
+
+
 def crossover(sizes: np.ndarray, into: np.ndarray, donor: np.ndarray, capacity: int, rng: np.random.Generator) -> np.ndarray:
-    """Injects some of the donor's well-filled bins; bins that hold their pieces too are removed, the rest is best-fitted."""
+    """Injects some of the donor's well-filled bins; bins that hold their pieces too are removed, the displaced pieces are placed again."""
     fill = np.bincount(donor, weights=sizes)
     good = np.argsort(-fill, kind="stable")[: max(1, len(fill) // 2)]
-    chosen = rng.choice(good, max(1, len(good) // 2), replace=False)
+    chosen = rng.choice(good, max(1, int(len(good) * rng.uniform(0.05, 0.5))), replace=False)
     injected = np.isin(donor, chosen)
-    struck = np.unique(into[injected])
-    stay = ~injected & ~np.isin(into, struck)
-    child = np.full(len(sizes), -1, np.int64)
-    names, child_stay = np.unique(into[stay], return_inverse=True)
-    child[stay] = child_stay
-    more, child_in = np.unique(donor[injected], return_inverse=True)
-    child[injected] = child_in + len(names)
-    put = child >= 0
-    room = (capacity - np.bincount(child[put], weights=sizes[put], minlength=len(names) + len(more))).astype(int).tolist()
-    rest = np.flatnonzero(~put)
-    best_fit(sizes, rest[np.argsort(-sizes[rest], kind="stable")], capacity, child, room)
-    return np.unique(child, return_inverse=True)[1]
+    child = into.copy()
+    child[np.isin(into, np.unique(into[injected]))] = -1
+    child[injected] = donor[injected] + int(into.max()) + 1
+    return _complete(sizes, child, capacity)
 
 
 def mutate(sizes: np.ndarray, bins: np.ndarray, capacity: int, rng: np.random.Generator) -> np.ndarray:
-    """Opens the emptiest bin and a few others, and best-fits their pieces."""
+    """Opens the emptiest bins and some others, and places their pieces again."""
     fill = np.bincount(bins, weights=sizes)
-    opened = np.unique(np.append(rng.choice(len(fill), min(len(fill), 4), replace=False), fill.argmin()))
+    n = int(rng.integers(2, 4 + len(fill) // 20))
+    opened = np.append(rng.choice(len(fill), min(len(fill), n), replace=False), np.argsort(fill, kind="stable")[: int(rng.integers(1, n + 1))])
     child = bins.copy()
-    out = np.isin(bins, opened)
-    child[out] = -1
-    names, kept = np.unique(child[~out], return_inverse=True)
-    child[~out] = kept
-    room = (capacity - np.bincount(kept, weights=sizes[~out], minlength=len(names))).astype(int).tolist()
-    rest = np.flatnonzero(out)
-    best_fit(sizes, rest[np.argsort(-sizes[rest], kind="stable")], capacity, child, room)
-    return np.unique(child, return_inverse=True)[1]
+    child[np.isin(bins, opened)] = -1
+    return _complete(sizes, child, capacity)
 
 
 def evolve(sizes: np.ndarray, population: list[np.ndarray], capacity: int, seed: int, generations: int) -> list[np.ndarray]:
@@ -130,21 +161,26 @@ def evolve(sizes: np.ndarray, population: list[np.ndarray], capacity: int, seed:
     least = -(-int(sizes.sum()) // capacity)
     if not population:
         for k in range(POPULATION):
-            noise = rng.normal(0, 0.05 * k, len(sizes)) * sizes
+            noise = rng.normal(0, 0.02 * k, len(sizes)) * sizes
             bins, room = np.zeros(len(sizes), np.int64), []
             best_fit(sizes, np.argsort(-(sizes + noise), kind="stable"), capacity, bins, room)
             population.append(bins)
             if len(room) == least:
                 break
     rank = lambda x: fitness(sizes, x, capacity)
-    population.sort(key=rank, reverse=True)
-    for _ in range(generations):
-        if -rank(population[0])[0] <= least or len(sizes) < 2:
+    ranked = sorted(((rank(x), k, x) for k, x in enumerate(population)), key=lambda r: r[:2], reverse=True)
+    for g in range(generations):
+        if -ranked[0][0][0] <= least or len(sizes) < 2:
             break
-        a, b = (population[k] for k in rng.choice(len(population), 2, replace=len(population) < 2))
-        children = [crossover(sizes, a, b, capacity, rng), crossover(sizes, b, a, capacity, rng), mutate(sizes, population[0], capacity, rng)]
-        population = sorted(population + children, key=rank, reverse=True)[:POPULATION]
-    return population
+        a, b = (ranked[k][2] for k in np.sort(rng.choice(len(ranked), 2, replace=len(ranked) < 2)))
+        children = [crossover(sizes, a, b, capacity, rng), mutate(sizes, a, capacity, rng), mutate(sizes, ranked[0][2], capacity, rng)]
+        known = {r[0] for r in ranked}
+        for k, x in enumerate(children):
+            if (f := rank(x)) not in known:  # equals of one that is there would crowd out the others
+                known.add(f)
+                ranked.append((f, -3 * g - k - 1, x))
+        ranked = sorted(ranked, key=lambda r: r[:2], reverse=True)[:POPULATION]
+    return [r[2] for r in ranked]
 
 
 # --- The islands on Spark ---------------------------------------------------------------------
