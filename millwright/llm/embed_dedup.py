@@ -1,7 +1,8 @@
 """Embedding near-dedup: random-hyperplane sign hashing in several tables, exact cosine, connected components.
 
-Vectors are compared only where labels are equal and not null. Equal vectors are one class, so that copies are never
-paired. Each table gives a class a bucket by the signs of its projections; buckets of more than a block of classes
+Vectors are compared only where labels are equal and not null. Vectors that are equal but for a power of two are one
+class, so that copies are never paired. The bits of a bucket grow with the number of classes, and the tables with the
+bits. Each table gives a class a bucket by the signs of its projections; buckets of more than a block of classes
 are split into blocks, and a task gets two blocks. A pair is counted in the first table that both share, and a task
 sends on sums and the edges of a spanning forest, not the pairs.
 
@@ -11,6 +12,7 @@ vectors of different lengths don't link; a null id gives a null component; repea
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -21,9 +23,18 @@ from .common import stored, tune
 from .components import components
 
 THRESHOLD = 0.93
-BITS, TABLES, SEED = 12, 30, 20
+#: A pair at the threshold shares a bucket in some table with this probability.
+RECALL, SEED = 0.9995, 20
+LEAST_BITS, MOST_BITS = 8, 30
 BLOCK = 1024
 
+
+def bits_and_tables(classes: int, threshold: float = THRESHOLD, recall: float = RECALL) -> tuple[int, int]:
+    """Bits of a bucket, so that vectors at random angles are a few to a bucket at every size, and tables for the recall."""
+    bits = min(MOST_BITS, max(LEAST_BITS, round(math.log2(max(classes, 1))) - 2))
+    once = (1 - math.acos(threshold) / math.pi) ** bits
+    return bits, math.ceil(math.log(1 - recall) / math.log(1 - once))
+
 _PLANES: dict[tuple[int, int, int, int], np.ndarray] = {}
 
 
@@ -34,7 +45,7 @@ def planes(dim: int, bits: int, tables: int, seed: int) -> np.ndarray:
     return _PLANES[key]
 
 
-def signatures(vectors: np.ndarray, bits: int = BITS, tables: int = TABLES, seed: int = SEED) -> np.ndarray:
+def signatures(vectors: np.ndarray, bits: int, tables: int, seed: int = SEED) -> np.ndarray:
     """(n, tables) codes of `bits` bits."""
     signs = (vectors @ planes(vectors.shape[1], bits, tables, seed) > 0).reshape(len(vectors), tables, bits)
     return (signs << np.arange(bits)).sum(2).astype(np.int32)
@@ -48,7 +59,9 @@ def _classes(rows: DataFrame) -> DataFrame:
             out = []
             for v in batch.column("__v").to_pylist():
                 x = np.array(v, np.float64) + 0.0 if v and None not in v else None
-                out.append(x.tobytes() if x is not None and np.isfinite(x).all() and x.any() else None)
+                good = x is not None and np.isfinite(x).all() and x.any()
+                # a power of two changes no cosine, and keeps squares from overflow and underflow
+                out.append(np.ldexp(x, -int(np.frexp(np.abs(x).max())[1])).tobytes() if good else None)
             yield pa.RecordBatch.from_arrays([batch.column("__uid"), batch.column("__label"), pa.array(out, pa.binary())], ["__uid", "__label", "__vec"])
 
     return rows.select("__uid", "__label", "__v").mapInArrow(run, "__uid long, __label string, __vec binary")
@@ -59,8 +72,7 @@ def _codes(reps: DataFrame, bits: int, tables: int) -> DataFrame:
         for batch in batches:
             codes = []
             for raw in batch.column("vec").to_pylist():
-                v = np.frombuffer(raw, np.float64)
-                codes.append(signatures((v / np.abs(v).max())[None, :], bits, tables)[0])
+                codes.append(signatures(np.frombuffer(raw, np.float64)[None, :], bits, tables)[0])
             yield pa.RecordBatch.from_arrays([batch.column(c) for c in ("uid", "label", "size", "vec")] + [pa.array([c.tolist() for c in codes], pa.list_(pa.int32()))], ["uid", "label", "size", "vec", "codes"])
 
     return reps.mapInArrow(run, "uid long, label string, size long, vec binary, codes array<int>")
@@ -144,7 +156,7 @@ def _compare(dealt: DataFrame, threshold: float) -> DataFrame:
     return dealt.mapInArrow(run, "uid long, links long, root long")
 
 
-def near_duplicates(vectors: DataFrame, vec_id: str = "vec_id", embedding: str = "embedding", label: str = "label", threshold: float = THRESHOLD, bits: int = BITS, tables: int = TABLES) -> DataFrame:
+def near_duplicates(vectors: DataFrame, vec_id: str = "vec_id", embedding: str = "embedding", label: str = "label", threshold: float = THRESHOLD, recall: float = RECALL) -> DataFrame:
     """vec_id, n_links, component_id, kept of every row."""
     spark = vectors.sparkSession
     tune(spark)
@@ -152,6 +164,8 @@ def near_duplicates(vectors: DataFrame, vec_id: str = "vec_id", embedding: str =
     rows = stored(rows.withColumn("__uid", F.monotonically_increasing_id()))
     every = stored(_classes(rows).withColumn("__class", F.when(F.col("__label").isNotNull() & F.col("__vec").isNotNull(), F.sha2(F.concat(F.encode("__label", "UTF-8"), F.lit(b"\0"), "__vec"), 256))))
     reps = every.where("__class is not null").groupBy("__class").agg(F.min("__uid").alias("uid"), F.count("*").alias("size"), F.first("__label").alias("label"), F.first("__vec").alias("vec"))
+    reps = stored(reps)
+    bits, tables = bits_and_tables(reps.count(), threshold, recall)
     reps = stored(_codes(reps.select("uid", "label", "size", "vec"), bits, tables))
     buckets = reps.select("uid", F.posexplode("codes").alias("tbl", "code"), "label").select("uid", "tbl", F.xxhash64("label", "tbl", "code").alias("key"))
     counts = buckets.groupBy("key").count().where("count > 1")
