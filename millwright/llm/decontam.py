@@ -5,7 +5,8 @@ A window is 13 consecutive words of an item; an item of fewer words, but not non
 inside any occurrence of a window is hit; a document is contaminated if it has a hit and at least 5 % of its words are.
 
 The set is broadcast while the items have at most `block_bytes` of text; larger benchmarks are scanned in blocks of
-that size, one after another, and the hit words of all blocks are united.
+that size, one after another (the driver holds two blocks at most), and the hit words of all blocks are united. Documents are
+read once for each block.
 
 Edge cases: null or wordless texts have no words and no hits; an item id that is null counts no item, though its
 windows hit; items with the same id are one item; repeated documents are judged each for itself.
@@ -20,7 +21,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
-from .common import LOWER, buffers, chunks, tune, window_hashes, word_hashes, words
+from .common import LOWER, buffers, chunks, hidden, shown, stored, tune, window_hashes, word_hashes, words
 
 WINDOW = 13
 #: Bytes of item texts in one broadcast set.
@@ -28,29 +29,56 @@ BLOCK_BYTES = 16 << 20
 
 
 class Windows:
-    """The windows of some items: by length of the window, a bit table, sorted hashes, and the words and items of each hash."""
+    """The windows of some items, in arrays: by length of the window a bit table and sorted hashes; for each different
+    window the place of its words in the items' text, and its items. About 40 bytes a word."""
 
     def __init__(self, items: list[tuple[str | None, str | None]], size: int = WINDOW):
-        data, offsets = buffers(pa.array([t for _, t in items], pa.string()))
-        data = LOWER[data]
-        starts, ends, counts = words(data, offsets)
-        hashes, raw = word_hashes(data, starts, ends), data.tobytes()
-        found: dict[int, dict[int, dict[tuple[bytes, ...], set]]] = {}
-        at = 0
-        for (item, _), n in zip(items, counts.tolist(), strict=True):
-            if n:
-                k = min(n, size)
-                own = [raw[starts[i] : ends[i]] for i in range(at, at + n)]
-                for i, h in enumerate(window_hashes(hashes[at : at + n], k).tolist()):
-                    found.setdefault(k, {}).setdefault(h, {}).setdefault(tuple(own[i : i + k]), set()).add(item)
-            at += n
+        data, offsets = buffers(pa.array([t for _, t in items], pa.large_string()))
+        self.raw = LOWER[data].tobytes()
+        data = np.frombuffer(self.raw, np.uint8)
+        self.names = [i for i, _ in items]
+        starts, ends, hashes, counts = [], [], [], []
+        for i, j in chunks(offsets):  # hashing needs many bytes for each one of text
+            own = data[offsets[i] : offsets[j]]
+            a, b, n = words(own, offsets[i : j + 1] - offsets[i])
+            hashes.append(word_hashes(own, a, b))
+            starts.append((a + offsets[i]).astype(np.int64))
+            ends.append((b + offsets[i]).astype(np.int64))
+            counts.append(n)
+        none = [np.zeros(0, np.int64)]
+        self.starts, self.ends, counts = (np.concatenate(x or none) for x in (starts, ends, counts))
+        hashes = np.concatenate(hashes or [np.zeros(0, np.uint64)])
+        first = np.concatenate([[0], np.cumsum(counts)]).astype(np.int64)
+        own_size = np.minimum(counts, size)
         self.by_size = {}
-        for k, of in sorted(found.items()):
-            keys = np.array(sorted(of), np.uint64)
+        for k in np.unique(own_size[own_size > 0]).tolist():
+            rows = np.flatnonzero(own_size == k)
+            n = counts[rows] - k + 1
+            item = np.repeat(rows, n)
+            at = np.repeat(first[rows], n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+            h = window_hashes(hashes, k)[at]
+            order = np.lexsort((at, h))
+            h, at, item = h[order], at[order], item[order]
+            # entries of one hash are one window, but for collisions
+            lead = np.concatenate([[True], h[1:] != h[:-1]])
+            ends_of = np.append(np.flatnonzero(lead)[1:], len(h))
+            for a, b in zip(np.flatnonzero(lead).tolist(), ends_of.tolist(), strict=True):
+                if b - a > 1:
+                    own = [self.words(x, k) for x in at[a:b].tolist()]
+                    if any(w != own[0] for w in own):
+                        by_words = sorted(range(b - a), key=lambda x: own[x])
+                        at[a:b], item[a:b] = at[a:b][by_words], item[a:b][by_words]
+                        lead[a + 1 : b] = [own[x] != own[y] for x, y in zip(by_words[1:], by_words, strict=False)]
+            heads = np.flatnonzero(lead)
+            keys = h[heads]
             bits = max(16, int(len(keys) * 16).bit_length())
-            table = np.zeros(1 << bits, bool)
-            table[(keys >> np.uint64(64 - bits)).astype(np.int64)] = True
-            self.by_size[k] = (np.uint64(64 - bits), table, keys, of)
+            table = np.zeros(1 << bits - 3, np.uint8)
+            slot = keys >> np.uint64(64 - bits)
+            np.bitwise_or.at(table, (slot >> np.uint64(3)).astype(np.int64), np.uint8(1) << (slot & np.uint64(7)).astype(np.uint8))
+            self.by_size[k] = (np.uint64(64 - bits), table, keys, at[heads], np.append(heads, len(h)), item)
+
+    def words(self, first: int, k: int) -> tuple[bytes, ...]:
+        return tuple(self.raw[a:b] for a, b in zip(self.starts[first : first + k].tolist(), self.ends[first : first + k].tolist(), strict=True))
 
     def hits(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, list[tuple[int, int, int, set]]]:
         """Words of each row, and (row, first word, end word, items) of each verified occurrence."""
@@ -60,9 +88,10 @@ class Windows:
         if len(starts):
             first = np.concatenate([[0], np.cumsum(counts)])
             hashes = word_hashes(data, starts, ends)
-            for k, (shift, table, keys, of) in self.by_size.items():
+            for k, (shift, table, keys, at, ptr, item) in self.by_size.items():
                 h = window_hashes(hashes, k)
-                maybe = np.flatnonzero(table[(h >> shift).astype(np.int64)])
+                slot = h >> shift
+                maybe = np.flatnonzero(table[(slot >> np.uint64(3)).astype(np.int64)] >> (slot & np.uint64(7)).astype(np.uint8) & np.uint8(1))
                 maybe = maybe[np.isin(h[maybe], keys)]
                 if not len(maybe):
                     continue
@@ -70,8 +99,9 @@ class Windows:
                 inside = maybe + k <= first[row + 1]
                 for w, r in zip(maybe[inside].tolist(), row[inside].tolist(), strict=True):
                     own = tuple(data[a:b].tobytes() for a, b in zip(starts[w : w + k].tolist(), ends[w : w + k].tolist(), strict=True))
-                    if items := of[int(h[w])].get(own):
-                        out.append((r, w - int(first[r]), w - int(first[r]) + k, items))
+                    for g in range(*(int(np.searchsorted(keys, h[w], side)) for side in ("left", "right"))):
+                        if self.words(int(at[g]), k) == own:
+                            out.append((r, w - int(first[r]), w - int(first[r]) + k, {self.names[x] for x in item[ptr[g] : ptr[g + 1]].tolist()}))
         return counts, out
 
 
@@ -102,33 +132,38 @@ def _scan(docs: DataFrame, windows: Windows) -> DataFrame:
     return docs.mapInArrow(run, schema)
 
 
-def _blocks(items: DataFrame, block_bytes: int) -> list[Windows]:
+def _blocks(items: DataFrame, block_bytes: int) -> Iterator[Windows]:
+    """The windows of all items, in blocks of about `block_bytes` of text, one after another; one at least."""
     items = items.where("text is not null").select(F.col("item_id").cast("string").alias("item_id"), "text").distinct()
     total = items.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
-    n = -(-total // block_bytes)
-    return [Windows([tuple(r) for r in items.where(F.pmod(F.xxhash64("text"), F.lit(n)) == b).collect()]) for b in range(n)]
+    n = max(1, -(-total // block_bytes))
+    items = stored(items) if n > 1 else items
+    for b in range(n):
+        yield Windows([tuple(r) for r in items.where(F.pmod(F.xxhash64("text"), F.lit(n)) == b).collect()])
 
 
-def scan(docs: DataFrame, items: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """`docs` with __n_words, __n_hit, __items (ids as text, sorted, distinct)."""
+def _found(docs: DataFrame, items: DataFrame, block_bytes: int) -> DataFrame:
+    """`docs` with __n_words, __hits (ranges of hit words, which may overlap if there are several blocks) and __items (ids as text, sorted, distinct)."""
     tune(docs.sparkSession)
     blocks = _blocks(items, block_bytes)
-    names = [F.col(f"`{c}`") for c in docs.columns]
-    if len(blocks) < 2:
-        out = _scan(docs, blocks[0] if blocks else Windows([]))
-        n_hit = F.aggregate("__hits", F.lit(0).cast("long"), lambda s, x: s + x[1] - x[0])
-        return out.select(*names, "__n_words", n_hit.alias("__n_hit"), "__items")
-    from .common import stored
-
-    found = docs.withColumn("__row", F.monotonically_increasing_id())
-    found = stored(found)
+    windows, after = next(blocks), next(blocks, None)
+    if after is None:
+        return _scan(docs, windows)
+    rows = stored(docs.withColumn("__row", F.monotonically_increasing_id()))
     parts = None
-    for b in blocks:
-        one = _scan(found.select("__row", "text"), b).select("__row", "__n_words", "__hits", "__items")
+    while windows is not None:  # each block is scanned and written before the next one is made
+        one = stored(_scan(rows.select("__row", "text"), windows).select("__row", "__n_words", "__hits", "__items"))
         parts = one if parts is None else parts.unionByName(one)
-    covered = F.size(F.array_distinct(F.flatten(F.transform("__hits", lambda x: F.sequence(x[0], x[1] - 1))))).cast("long")
+        windows, after = after, next(blocks, None)
     united = parts.groupBy("__row").agg(F.first("__n_words").alias("__n_words"), F.flatten(F.collect_list("__hits")).alias("__hits"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("__items")))).alias("__items"))
-    return found.join(united, "__row").select(*names, "__n_words", covered.alias("__n_hit"), "__items")
+    return rows.join(united, "__row").drop("__row")
+
+
+def scan(docs: DataFrame, items: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """`docs` with __n_words, __n_hit, __items (ids as text, sorted, distinct); columns of `docs` must not have these names."""
+    found = _found(docs, items, block_bytes)
+    merged = F.aggregate(F.array_sort("__hits"), F.struct(F.lit(0).cast("long").alias("n"), F.lit(0).cast("long").alias("end")), lambda s, x: F.struct((s["n"] + F.greatest(F.lit(0).cast("long"), x[1] - F.greatest(x[0], s["end"]))).alias("n"), F.greatest(x[1], s["end"]).alias("end")))
+    return found.withColumn("__n_hit", merged["n"]).drop("__hits")
 
 
 def _contaminated() -> Column:
@@ -143,16 +178,13 @@ def report(docs: DataFrame, items: DataFrame, block_bytes: int = BLOCK_BYTES) ->
 
 def remove_documents(docs: DataFrame, items: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """The documents that aren't contaminated, as they are."""
-    return scan(docs, items, block_bytes).where(~_contaminated()).select(*[F.col(f"`{c}`") for c in docs.columns])
+    return shown(scan(hidden(docs, ["text"]), items, block_bytes).where(~_contaminated()), docs.columns, ["text"])
 
 
 def remove_spans(docs: DataFrame, items: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """`docs` with the hit words, and what stands between hit words of one span, cut from the texts."""
-    tune(docs.sparkSession)
-    names, kept = docs.columns, docs
-    for windows in _blocks(items, block_bytes):
-        kept = _cut(_scan(kept, windows), names)
-    return kept
+    """`docs` with the hit words, and what stands between hit words of one span, cut from the texts. The hits of all
+    blocks are found in the texts as they were; what the cuts bring together isn't scanned again."""
+    return shown(_cut(_found(hidden(docs, ["text"]), items, block_bytes), ["text", "__others"]), docs.columns, ["text"])
 
 
 def _cut(found: DataFrame, names: list[str]) -> DataFrame:
