@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.window import Window
 
-from .common import chunks, tune
+from .common import chunks, hidden, shown, stored, tune
 
 #: Genealogical families by ISO 639-1 code.
 FAMILIES = {
@@ -173,6 +173,23 @@ def _vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column("lang"), pa.array(at, pa.binary()), pa.array(v, pa.binary())], ["lang", "at", "v"])
 
 
+#: Parts of the hashes' range that are counted to find where a language's sample ends.
+_PARTS = 1 << 16
+
+
+def _limits(distinct: DataFrame, each: int) -> DataFrame:
+    """lang, __limit: the rank up to which a language has `each` texts. No task gathers a language: counts by parts of
+    the range bound the ranks that are looked at, to about `each` and a part's."""
+    part = F.shiftrightunsigned(F.col("__rank").cast("long") + F.lit(1 << 31), 16).cast("int").alias("__part")
+    counts = distinct.groupBy("lang", part).count()
+    upto = F.sum("count").over(Window.partitionBy("lang").orderBy("__part"))  # _PARTS rows of a language at most
+    last = stored(counts.withColumn("__upto", upto).withColumn("__full", F.col("__upto") >= each).groupBy("lang").agg(F.min(F.when(F.col("__full"), F.col("__part"))).alias("__last")))
+    some = distinct.withColumn("__part", part).join(F.broadcast(last), "lang").where(F.col("__last").isNull() | (F.col("__part") <= F.col("__last")))
+    order = Window.partitionBy("lang").orderBy("__rank", "__h")
+    ranked = some.withColumn("__n", F.row_number().over(order)).where(F.col("__n") <= each)
+    return stored(ranked.groupBy("lang").agg(F.max("__rank").alias("__limit")))
+
+
 def train(docs: DataFrame, sample_rows: int = SAMPLE_ROWS) -> Model:
     """Fits on at most `sample_rows` distinct texts of `docs` (text, lang), as many of each language; null langs don't count.
 
@@ -180,11 +197,10 @@ def train(docs: DataFrame, sample_rows: int = SAMPLE_ROWS) -> Model:
     """
     tune(docs.sparkSession)
     rows = docs.where("lang is not null and text is not null").select("lang", "text", F.xxhash64("text").alias("__h"))
-    distinct = rows.groupBy("lang", "__h").count()
+    distinct = stored(rows.groupBy("lang", "__h").count().select("lang", "__h", F.hash("__h").alias("__rank")))
     each = max(20, sample_rows // max(1, distinct.select("lang").distinct().count()))
-    order = Window.partitionBy("lang").orderBy(F.hash("__h"), "__h")
-    chosen = distinct.withColumn("__rank", F.row_number().over(order)).where(F.col("__rank") <= each).select("lang", "__h")
-    # at most `sample_rows` keys (or 20 for each language): a bounded broadcast
+    chosen = distinct.join(F.broadcast(_limits(distinct, each)), "lang").where(F.col("__rank") <= F.col("__limit")).select("lang", "__h")
+    # at most `sample_rows` keys (or 20 for each language), but for equal ranks: a bounded broadcast
     sample = rows.join(F.broadcast(chosen), ["lang", "__h"]).dropDuplicates(["lang", "__h"])
     got = sample.select("lang", "text").mapInArrow(_vectors, "lang string, at binary, v binary").collect()
     got.sort(key=lambda r: (r.lang, bytes(r.at), bytes(r.v)))
@@ -228,5 +244,5 @@ def identify(docs: DataFrame, sample_rows: int = SAMPLE_ROWS) -> DataFrame:
 def keep_identified(docs: DataFrame, least: float = 0.2) -> DataFrame:
     """The rows of `docs` whose language is known with a score of `least` or more; their columns stay as they are."""
     model = train(docs.where(~held_out()).select("text", "lang"))
-    out = predict(docs, model, lang="__lang", score="__score")
-    return out.where((F.col("__lang") != "und") & (F.col("__score") >= least)).select(*[F.col(f"`{c}`") for c in docs.columns])
+    out = predict(hidden(docs, ["text"]), model, lang="__lang", score="__score")
+    return shown(out.where((F.col("__lang") != "und") & (F.col("__score") >= least)), docs.columns, ["text"])
