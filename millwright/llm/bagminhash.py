@@ -22,7 +22,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .common import LOWER, buffers, chunks, mix, stored, tune, window_hashes, word_hashes, words
+from .common import LOWER, buffers, chunks, hidden, mix, shown, stored, tune, window_hashes, word_hashes, words
 from .components import components
 
 SHINGLE, THRESHOLD = 5, 0.8
@@ -268,16 +268,23 @@ def _first() -> Column:
 def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """doc_id, class_id (smallest doc_id with the same words), component_id (smallest doc_id reachable by links), kept of every row."""
     found = stored(classify(docs, threshold))
-    of_class = found.groupBy("__class").agg(F.min("doc_id").alias("class_id"))
-    of_root = found.groupBy("__root").agg(F.min("doc_id").alias("component_id"), _first())
-    return found.join(of_class, "__class").join(of_root, "__root").select("doc_id", "class_id", "component_id", (F.col("__uid") == F.col("__first")).alias("kept"))
+    of_class = found.groupBy("__class").agg(F.min("doc_id").alias("class_id"), F.count("*").alias("n")).where("n > 1").drop("n")
+    of_root = found.groupBy("__root").agg(F.min("doc_id").alias("component_id"), _first(), F.count("*").alias("n")).where("n > 1").drop("n")
+    rows = found.join(_few(of_class), "__class", "left").join(_few(of_root), "__root", "left")
+    return rows.select("doc_id", F.coalesce("class_id", "doc_id").alias("class_id"), F.coalesce("component_id", "doc_id").alias("component_id"), F.coalesce(F.col("__uid") == F.col("__first"), F.lit(True)).alias("kept"))
+
+
+def _few(groups: DataFrame) -> DataFrame:
+    """Groups of more than one row, each a row of a few numbers; broadcast if they are few, so that a large group's rows stay where they are."""
+    groups = stored(groups)
+    return F.broadcast(groups) if groups.count() <= BROADCAST_IDS else groups
 
 
 def keep_one(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """One row of each component of near-duplicates, that of the smallest doc_id, with all columns of `docs`."""
-    names = [F.col(f"`{c}`") for c in docs.columns]
+    names, docs = docs.columns, hidden(docs, ["doc_id", "text"])
     found = stored(classify(docs, threshold))
-    keys = stored(found.join(found.groupBy("__root").agg(_first()), "__root").groupBy(*KEY).agg(F.max(F.col("__uid") == F.col("__first")).alias("stays"), F.count("*").alias("n")))
+    keys = stored(found.join(_few(found.groupBy("__root").agg(_first(), F.count("*").alias("n")).where("n > 1").drop("n")), "__root", "left").withColumn("__first", F.coalesce("__first", "__uid")).groupBy(*KEY).agg(F.max(F.col("__uid") == F.col("__first")).alias("stays"), F.count("*").alias("n")))
     gone = keys.where(~F.col("stays")).select(*KEY)
     if gone.count() <= BROADCAST_IDS:
         gone = F.broadcast(gone)
@@ -286,4 +293,4 @@ def keep_one(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
         words_in = found.join(keys.where("stays and n > 1").select(*KEY), KEY).where("__class <> __uid or __uid <> __root").select(*KEY).distinct()
         once = rest.join(words_in, KEY, "left_semi").dropDuplicates(KEY)
         rest = rest.join(words_in, KEY, "left_anti").unionByName(once)
-    return rest.select(*names)
+    return shown(rest, names, ["doc_id", "text"])
