@@ -136,7 +136,7 @@ def write(docs: DataFrame, path: str, vocabulary: str | None = None, length: int
     shards = -(-n // per_shard)
     pieces = pieces.withColumn("shard", F.floor(F.col("slot") / per_shard).cast("int"))
     # a shard is a range of slots, of a fixed number of bytes, and so is a task of one or a few
-    ranged = pieces.repartition(max(1, shards), "shard").sortWithinPartitions("shard", "slot", "start")
+    ranged = pieces.repartitionById(max(1, shards), "shard").sortWithinPartitions("shard", "slot", "start")
 
     def save(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import uuid
