@@ -1,7 +1,9 @@
 """Chat formatting: a finite-state machine checks the order of roles, a declarative template gives text segments with loss flags.
 
 All of it is DataFrame functions. A conversation is formatted in one row, so its turns are gathered there; this is
-the unit of the output.
+the unit of the output, and must fit into a row (2 GB, and some copies of it in a task).
+
+Any template can be used whose control strings are two characters or more: what is escaped follows from it.
 
 Edge cases: turns are ordered by turn (null first), then role, then text; a null role or text is empty; a role that
 the machine doesn't know makes the conversation invalid, not absent; a null conv_id is a conversation of its own.
@@ -32,26 +34,44 @@ class Template:
     })
     accepting: tuple[str, ...] = ("assistant",)
 
+    def __post_init__(self) -> None:
+        """Control strings must be ones that escaping can break, and that no text can complete."""
+        strings = [s for s in (self.start, self.end, self.after_role if self.after_role != "\n" else "") if s.strip()]
+        if not self.start.strip() or any(len(s) < 2 or "\\" in s or s[1] == "n" for s in strings):
+            raise ValueError("control strings need two characters or more, no backslash, and no n in second place")
+        if any(t.startswith(s[i:]) for s in strings for t in strings for i in range(1, len(s))):
+            raise ValueError("no control string may begin as another one, or itself, goes on")
+
+    @property
+    def heads(self) -> tuple[str, ...]:
+        """The first two characters of every control string: a text that has none of them has no control string."""
+        return tuple(sorted({s[:2] for s in (self.start, self.end, self.after_role) if s.strip()}))
+
 
 CHATML = Template()
-#: Texts get a backslash before every bar that follows "<", and double their own backslashes; so no text holds "<|".
 
 
-def escape(text: Column) -> Column:
-    return F.replace(F.replace(text, F.lit("\\"), F.lit("\\\\")), F.lit("<|"), F.lit("<\\|"))
+def escape(text: Column, template: Template = CHATML) -> Column:
+    """Backslashes are doubled, and one comes between the two characters of every head; so no text holds a control string."""
+    text = F.replace(text, F.lit("\\"), F.lit("\\\\"))
+    for head in template.heads:
+        # twice, for heads of two equal characters overlap
+        for _ in range(1 + (head[0] == head[1])):
+            text = F.replace(text, F.lit(head), F.lit(f"{head[0]}\\{head[1]}"))
+    return text
 
 
 def unescape(text: Column) -> Column:
-    return F.regexp_replace(text, r"\\([\\|])", "$1")
+    return F.regexp_replace(text, r"(?s)\\(.)", "$1")
 
 
-def escape_role(role: Column) -> Column:
+def escape_role(role: Column, template: Template = CHATML) -> Column:
     """Roles stand in one line, so their line ends are written out too."""
-    return F.replace(escape(role), F.lit("\n"), F.lit("\\n"))
+    return F.replace(escape(role, template), F.lit("\n"), F.lit("\\n"))
 
 
 def unescape_role(role: Column) -> Column:
-    return F.regexp_replace(F.regexp_replace(role, r"(?<!\\)((?:\\\\)*)\\n", "$1\n"), r"\\([\\|])", "$1")
+    return F.regexp_replace(F.regexp_replace(role, r"(?<!\\)((?:\\\\)*)\\n", "$1\n"), r"(?s)\\(.)", "$1")
 
 
 def _walk(roles: Column, template: Template) -> Column:
@@ -76,10 +96,10 @@ def format_chats(turns: DataFrame, template: Template = CHATML) -> DataFrame:
     chats = rows.groupBy("conv_id").agg(F.sort_array(F.collect_list("t")).alias("turns"))
 
     def parts(t: Column) -> Column:
-        head = F.concat(F.lit(template.start), escape_role(t["role"]), F.lit(template.after_role))
+        head = F.concat(F.lit(template.start), escape_role(t["role"], template), F.lit(template.after_role))
         return F.array(
             F.struct(head.alias("text"), F.lit(False).alias("loss")),
-            F.struct(escape(t["text"]).alias("text"), t["role"].isin(list(template.loss_roles)).alias("loss")),
+            F.struct(escape(t["text"], template).alias("text"), t["role"].isin(list(template.loss_roles)).alias("loss")),
             F.struct(F.lit(template.end).alias("text"), F.lit(False).alias("loss")),
         )
 
