@@ -44,13 +44,20 @@ def clean_subject(c: Column) -> Column:
     return out
 
 
+#: Symbols of dimensions and how they are written after normalisation.
+SYMBOLS = ((",", "."), ("Ø", "DIA"), ("Ų", "DIA"), ("Φ", "DIA"), ("⌀", "DIA"), ("×", "X"), ("°", "DEG"), ("±", "+/-"))
+#: What goes then, in this order: white space, a unit at the end, zeros before a point, a zero behind it.
+SHAPES = ((r"\s+", ""), ("MM$", ""), (r"^DIA0\.", "DIA."), (r"^0\.", "."), (r"\.0$", ""))
+
+
 def normalize_dimension(c: Column) -> Column:
-    """Upper case, one symbol for each meaning, no unit, no spaces, leading and trailing zeros of decimals written one way."""
-    c = F.upper(F.trim(F.coalesce(c, F.lit(""))))
-    for a, b in (("DIA", "Ø"), ("⌀", "Ø"), ("Φ", "Ø"), ("+/-", "±"), (",", "."), ("MM", ""), (" ", "")):
+    """Upper case, one writing for each symbol, no white space, no unit at the end; null and NO_DIMENSION are empty."""
+    c = F.when(c == "NO_DIMENSION", "").otherwise(F.upper(F.coalesce(c, F.lit(""))))
+    for a, b in SYMBOLS:
         c = F.replace(c, F.lit(a), F.lit(b))
-    c = F.regexp_replace(c, r"^(Ø|R)?0\.", "$1.")
-    return F.regexp_replace(c, r"(\.[0-9]*[1-9])0+$|\.0+$", "$1")
+    for a, b in SHAPES:
+        c = F.regexp_replace(c, a, b)
+    return c
 
 
 #: Kinds of callouts with their patterns, first match first.
@@ -104,6 +111,12 @@ def similarity(a: Column, b: Column) -> Column:
     return F.when(n > 0, 1 - F.levenshtein(a, b) / n).otherwise(F.lit(1.0))
 
 
-def value_match(a: Column, b: Column) -> Column:
-    """Equal after normalisation, or the detected value holds the expected one where that has a tolerance."""
-    return normalize_dimension(a) == normalize_dimension(b)
+def value_match(detected: Column, expected: Column) -> Column:
+    """Equal after normalisation, also without parentheses or the sign of a diameter; or the detected value holds the
+    expected one of three characters or more, or is its whole-number part. Empty values match nothing."""
+    d, e = normalize_dimension(detected), normalize_dimension(expected)
+    bare = lambda x: F.regexp_replace(x, "[()]", "")
+    plain = lambda x: F.regexp_replace(bare(x), "^DIA", "")
+    same = (d == e) | (bare(d) == bare(e)) | ((plain(d) != "") & (plain(d) == plain(e)))
+    part = plain(d).rlike("^[0-9]+$") & F.startswith(plain(e), F.concat(plain(d), F.lit(".")))
+    return (d != "") & (e != "") & (same | ((F.char_length(e) >= 3) & F.contains(d, e)) | part)

@@ -55,3 +55,22 @@ def islands(df: DataFrame, keys: list[str], order: list, breaks: Column, out: st
     """Numbers runs of rows; `breaks` says where a row begins a new one (null: at the first)."""
     w = Window.partitionBy(*keys).orderBy(*order)
     return df.withColumn("__b", F.when(breaks, 1).otherwise(0)).withColumn(out, F.sum("__b").over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow))).drop("__b")
+
+
+#: Ranges of the leading column that are numbered by a task each.
+RANGES = 256
+
+
+def number_rows(df: DataFrame, leading: str, order: list[str]) -> DataFrame:
+    """df with number: 1, 2, ... over all rows in `order`, which begins with `leading` (a number without nulls). Ranges
+    of it are numbered apart and moved by the counts of those before; rows of one leading value share a task."""
+    edges = sorted(set(df.approxQuantile(leading, [k / RANGES for k in range(1, RANGES)], 0.001)))
+    part = F.size(F.filter(F.lit(edges), lambda e: e < F.col(leading))) if edges else F.lit(0)
+    rows = df.withColumn("__part", part)
+    counts = {r["__part"]: r["count"] for r in rows.groupBy("__part").count().collect()}  # RANGES at most
+    before, total = [], 0
+    for k in range(RANGES + 1):
+        before.append(total)
+        total += counts.get(k, 0)
+    place = F.row_number().over(Window.partitionBy("__part").orderBy(*order))
+    return rows.withColumn("number", (F.get(F.lit(before), F.col("__part")) + place).cast("long")).drop("__part")

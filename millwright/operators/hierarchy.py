@@ -1,35 +1,58 @@
 """Trees given by parent keys: levels, paths, ancestors, explosion of quantities.
 
-Levels are walked by joins of a frontier, one join for each level; a path keeps a cycle from going on. A tree of n
-levels has n - 1 joins, whatever its width.
+Levels are walked by joins of a frontier, one join for each level; every frontier is written before the next one, so no
+join is done twice. A path keeps a cycle from going on. A tree of n levels has n - 1 joins, whatever its width.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from functools import reduce
 
+from pyspark.sql import Column, DataFrame, functions as F
 
-def tree(df: DataFrame, key: str, parent: str, most: int = 64) -> DataFrame:
-    """key, level (0 for roots) and path (keys from the root) of every node that a root reaches."""
-    edges = df.select(F.col(key).alias("__k"), F.col(parent).alias("__p"))
-    level = edges.where("__p is null").select(F.col("__k").alias(key), F.lit(0).alias("level"), F.array("__k").alias("path"))
-    out = level
+from .lineage import stored
+
+
+def _walk(edges: DataFrame, first: Column, then: Column, most: int) -> list[DataFrame]:
+    """edges: __k, __p and __q. Frontiers with __k, level, path and value: `first` at roots, `then` (of value and __q) below."""
+    level = stored(edges.where("__p is null").select("__k", F.lit(0).alias("level"), F.array("__k").alias("path"), first.alias("value")))
+    out, below = [level], edges.where("__p is not null")
     for n in range(1, most):
-        children = edges.where("__p is not null").join(level.select(F.col(key).alias("__p"), "path"), "__p")
-        level = children.where(~F.array_contains("path", F.col("__k"))).select(F.col("__k").alias(key), F.lit(n).alias("level"), F.concat("path", F.array("__k")).alias("path"))
+        children = below.join(level.select(F.col("__k").alias("__p"), "path", "value"), "__p").where(~F.array_contains("path", F.col("__k")))
+        level = stored(children.select("__k", F.lit(n).alias("level"), F.concat("path", F.array("__k")).alias("path"), then.alias("value")))
         if level.isEmpty():
             return out
-        out = out.unionByName(level)
+        out.append(level)
     raise ValueError(f"more than {most} levels")
 
 
-def explode_quantities(df: DataFrame, key: str, parent: str, qty: str) -> DataFrame:
-    """key and needed: the product of quantities from the root to every node."""
-    paths = tree(df, key, parent)
-    steps = paths.select(key, F.explode("path").alias("__at"))
-    own = df.select(F.col(key).alias("__at"), F.col(qty).cast("double").alias("__q"))
-    logs = steps.join(own, "__at").groupBy(key).agg(F.round(F.exp(F.sum(F.ln("__q")))).cast("long").alias("needed"))
-    return logs
+def tree(df: DataFrame, key: str, parent: str, most: int = 64) -> DataFrame:
+    """key, level (0 for roots) and path (keys from the root) of every node that a root reaches."""
+    edges = df.select(F.col(key).alias("__k"), F.col(parent).alias("__p"))
+    levels = _walk(edges, F.lit(0), F.lit(0), most)
+    return reduce(DataFrame.unionByName, levels).select(F.col("__k").alias(key), "level", "path")
+
+
+def explode_quantities(df: DataFrame, key: str, parent: str, qty: str, most: int = 64) -> DataFrame:
+    """key and needed: the product of quantities (whole numbers) from the root to every node."""
+    edges = df.select(F.col(key).alias("__k"), F.col(parent).alias("__p"), F.col(qty).cast("long").alias("__q"))
+    levels = _walk(edges, F.col("__q"), F.col("value") * F.col("__q"), most)
+    return reduce(DataFrame.unionByName, levels).select(F.col("__k").alias(key), F.col("value").alias("needed"))
+
+
+def nest(df: DataFrame, key: str, parent: str, name: str, most: int = 64) -> DataFrame:
+    """key and tree: each root with all below it as nested JSON {key, name, children}, built from the deepest level up.
+    A root's whole tree is one row, which is the unit of the output."""
+    edges = df.select(F.col(key).alias("__k"), F.col(parent).alias("__p"), F.lit(0).alias("__q"))
+    names = df.select(F.col(key).alias("__k"), F.col(name).cast("string").alias("__name"))
+    held = None
+    for level in reversed(_walk(edges, F.lit(0), F.lit(0), most)):
+        rows = level.select("__k", F.get("path", F.size("path") - 2).alias("__p")).join(names, "__k")
+        rows = rows.withColumn("inner", F.lit(None).cast("string")) if held is None else rows.join(held, "__k", "left")
+        own = F.concat(F.lit('{"key":'), F.to_json(F.array("__k")).substr(F.lit(2), F.char_length(F.to_json(F.array("__k"))) - 2), F.lit(',"name":'), F.to_json(F.array("__name")).substr(F.lit(2), F.char_length(F.to_json(F.array("__name"))) - 2), F.lit(',"children":['), F.coalesce("inner", F.lit("")), F.lit("]}"))
+        rows = stored(rows.select("__k", "__p", own.alias("tree")))
+        held = rows.where("__p is not null").groupBy(F.col("__p").alias("__k")).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("__k", "tree"))), lambda c: c["tree"]), ",").alias("inner"))
+    return rows.select(F.col("__k").alias(key), "tree")
 
 
 def roll_up(df: DataFrame, key: str, parent: str, value: str) -> DataFrame:

@@ -123,10 +123,10 @@ class Tables:
 
     def __getattr__(self, name: str) -> DataFrame:
         if name in VIEWS:
-            for table in TABLES:
-                if re.search(rf"\b{table}\b", VIEWS[name]):
-                    getattr(self, table).createOrReplaceTempView(table)
-            return self.spark.sql(VIEWS[name])
+            # the tables are parameters, so that no view of the session is touched
+            used = {table for table in TABLES if re.search(rf"\b(FROM|JOIN) {table}\b", VIEWS[name])}
+            sql = re.sub(rf"\b(FROM|JOIN) ({'|'.join(TABLES)})\b", r"\1 {\2}", VIEWS[name])
+            return self.spark.sql(sql, **{table: getattr(self, table) for table in used})
         if name in TABLES:
             return self.spark.read.parquet(f"{self.folder}/{name}.parquet")
         raise AttributeError(name)

@@ -9,7 +9,7 @@ from ..functions import text as X
 from ..operators import filters as B, joins as J
 from ..operators.vectors import nearest
 from ..registry import query
-from .text_queries import _DIM
+from .text_queries import value_match_sql
 
 
 def suggestions(emails, threshold: float = 0.7):
@@ -56,9 +56,13 @@ def _(t):
     return t.ncr.groupBy("part_key", "stage", "engine").agg(F.count("*").alias("n")).where("n > 1")
 
 
-@query("serial_usage", "SELECT s AS serial, count(DISTINCT build_name) AS builds FROM (SELECT build_name, trim(unnest(string_split(serial_nos, ','))) AS s FROM serial_text WHERE part_key % 3 = 1) WHERE s <> '' GROUP BY 1")
+#: A JSON array, or a comma list without empty entries.
+_SERIALS = """CASE WHEN trim(serial_nos) LIKE '[%]' THEN CAST(from_json(serial_nos, '["VARCHAR"]') AS VARCHAR[]) ELSE list_filter(list_transform(string_split(serial_nos, ','), lambda x: trim(x)), lambda x: x <> '') END"""
+
+
+@query("serial_usage", f"SELECT s AS serial, count(DISTINCT build_name) AS builds FROM (SELECT build_name, unnest({_SERIALS}) AS s FROM serial_text) GROUP BY 1")
 def _(t):
-    s = t.serial_text.where("part_key % 3 = 1").select("build_name", F.explode(X.parse_serials(F.col("serial_nos"))).alias("serial"))
+    s = t.serial_text.select("build_name", F.explode(X.parse_serials(F.col("serial_nos"))).alias("serial"))
     return s.groupBy("serial").agg(F.count_distinct("build_name").alias("builds"))
 
 
@@ -107,15 +111,17 @@ def _(t):
     return g.select("drawing_id", "px", "py", "gap", F.coalesce(F.col("gap") < 20, F.lit(False)).alias("ambiguous"))
 
 
-@query("resolve_conflicts", f"SELECT drawing_id, ox, oy, value, min(round(dist, 6)) AS best, count(*) - 1 AS losers FROM {_NEAR} GROUP BY 1, 2, 3, 4")
+@query("resolve_conflicts", f"SELECT drawing_id, px, py, CASE WHEN rn = 1 THEN value END AS value, ox, oy, rn > 1 AS review FROM (SELECT *, row_number() OVER (PARTITION BY drawing_id, ox, oy, value ORDER BY round(dist, 6), px, py) AS rn FROM {_NEAR})")
 def _(t):
+    """Of the labels that want a callout the nearest keeps it; the others are reset and flagged for review."""
     near, _ = _near(t, 60.0)
-    return near.groupBy("drawing_id", "ox", "oy", "value").agg(F.min(F.round("dist", 6)).alias("best"), (F.count("*") - 1).alias("losers"))
+    rn = F.row_number().over(Window.partitionBy("drawing_id", "ox", "oy", "value").orderBy(F.round("dist", 6), "px", "py"))
+    return near.withColumn("rn", rn).select("drawing_id", "px", "py", F.when(F.col("rn") == 1, F.col("value")).alias("value"), "ox", "oy", (F.col("rn") > 1).alias("review"))
 
 
-@query("suffix_donor", r"SELECT DISTINCT a.material_key, b.material_key AS donor FROM (SELECT material_key, CAST(material_key AS VARCHAR) || 'A' AS id FROM material WHERE material_key % 10 = 0) a JOIN material b ON regexp_replace(a.id, '[A-Za-z]+$', '') = CAST(b.material_key AS VARCHAR)")
+@query("suffix_donor", r"SELECT DISTINCT a.material_key, b.material_key AS donor FROM (SELECT material_key, CAST(material_key AS VARCHAR) || 'A' AS id FROM material) a JOIN material b ON regexp_replace(a.id, '[A-Za-z]+$', '') = CAST(b.material_key AS VARCHAR)")
 def _(t):
-    a = t.material.where("material_key % 10 = 0").select("material_key", F.regexp_replace(F.concat(F.col("material_key").cast("string"), F.lit("A")), "[A-Za-z]+$", "").alias("base"))
+    a = t.material.select("material_key", F.regexp_replace(F.concat(F.col("material_key").cast("string"), F.lit("A")), "[A-Za-z]+$", "").alias("base"))
     b = t.material.select(F.col("material_key").alias("donor"), F.col("material_key").cast("string").alias("base"))
     return a.join(b, "base").select("material_key", "donor").distinct()
 
@@ -137,16 +143,21 @@ def _(t):
 
 # --- scoring -----------------------------------------------------------------------------------
 
-_SCORED = f"""(SELECT t.case_key, t.item_key, p.item_key IS NULL AS missed, {_DIM.replace('text', 't.expected')} = {_DIM.replace('text', 'p.detected')} AS same FROM truth t LEFT JOIN prediction p ON t.item_key = p.item_key AND t.case_key = p.case_key)"""
+_SCORED = f"""(SELECT t.case_key, t.item_key, p.item_key IS NULL AS missed, {value_match_sql('p.detected', 't.expected')} AND p.item_key IS NOT NULL AS same FROM truth t LEFT JOIN prediction p ON t.item_key = p.item_key AND t.case_key = p.case_key)"""
+_SPURIOUS = "(SELECT p.case_key, count(*) AS n FROM prediction p WHERE p.case_key % 2 = 0 AND NOT EXISTS (SELECT 1 FROM truth t WHERE t.item_key = p.item_key AND t.case_key = p.case_key) GROUP BY 1)"
 
 
-@query("score_cases", f"SELECT case_key, count(*) AS expected, count_if(missed) AS missed, count_if(same) AS correct, round(CAST(count_if(NOT missed) AS DOUBLE) / count(*), 4) AS recall FROM {_SCORED} GROUP BY 1")
+@query("score_cases", f"""SELECT s.*, coalesce(x.n, 0) AS spurious FROM (SELECT case_key, count(*) AS expected, count_if(missed) AS missed, count_if(same) AS correct, count_if(NOT missed AND NOT same) AS wrong, round(CAST(count_if(NOT missed) AS DOUBLE) / count(*), 4) AS recall,
+  CASE WHEN count_if(NOT missed) > 0 THEN round(CAST(count_if(same) AS DOUBLE) / count_if(NOT missed), 4) ELSE 0 END AS accuracy FROM {_SCORED} GROUP BY 1) s LEFT JOIN {_SPURIOUS} x ON x.case_key = s.case_key""")
 def score_cases(t):
+    """Per case: expected, missed, wrong and right items, and spurious ones where the case lists all there is (even cases)."""
     p = t.prediction.withColumn("there", F.lit(True))
-    j = t.truth.join(p, ["case_key", "item_key"], "left")
+    j = t.truth.join(p, ["case_key", "item_key"], "left").withColumn("same", X.value_match(F.col("detected"), F.col("expected")))
     missed = F.col("there").isNull()
-    g = j.groupBy("case_key").agg(F.count("*").alias("expected"), F.count_if(missed).alias("missed"), F.count_if(X.value_match(F.col("expected"), F.col("detected")) & ~missed).alias("correct"), F.count_if(~missed).alias("found"))
-    return g.select("case_key", "expected", "missed", "correct", F.round(F.col("found") / F.col("expected"), 4).alias("recall"))
+    g = j.groupBy("case_key").agg(F.count("*").alias("expected"), F.count_if(missed).alias("missed"), F.count_if(F.col("same") & ~missed).alias("correct"), F.count_if(~missed).alias("found"))
+    more = t.prediction.where("case_key % 2 = 0").join(t.truth, ["case_key", "item_key"], "left_anti").groupBy("case_key").agg(F.count("*").alias("n"))
+    rate = F.when(F.col("found") > 0, F.round(F.col("correct") / F.col("found"), 4)).otherwise(0.0)
+    return g.join(more, "case_key", "left").select("case_key", "expected", "missed", "correct", (F.col("found") - F.col("correct")).alias("wrong"), F.round(F.col("found") / F.col("expected"), 4).alias("recall"), rate.alias("accuracy"), F.coalesce("n", F.lit(0)).alias("spurious"))
 
 
 @query("suite_summary", f"SELECT count(*) AS cases, round(avg(recall), 4) AS recall, avg(recall) >= 0.8 AS accepted FROM (SELECT case_key, round(CAST(count_if(NOT missed) AS DOUBLE) / count(*), 4) AS recall FROM {_SCORED} GROUP BY 1)")
@@ -174,19 +185,17 @@ def _(t):
 # --- retrieval ---------------------------------------------------------------------------------
 
 
-@query("chunk_ids", r"SELECT doc_id || '##' || row_number() OVER (PARTITION BY doc_id ORDER BY i) AS chunk_id, length(c) AS n FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS c, unnest(range(len(string_split(text, chr(10))))) AS i FROM documents) WHERE trim(c) <> ''")
+@query("chunk_ids", r"SELECT doc_id || '##' || (i + 1) AS chunk_id, length(c) AS n FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS c, unnest(range(len(string_split(text, chr(10))))) AS i FROM documents) WHERE c <> ''")
 def _(t):
-    lines = F.filter(F.split("text", "\n"), lambda c: F.trim(c) != "")
-    return t.documents.select("doc_id", F.posexplode(lines).alias("i", "c")).select(F.concat(F.col("doc_id").cast("string"), F.lit("##"), (F.col("i") + 1).cast("string")).alias("chunk_id"), F.char_length("c").cast("long").alias("n"))
+    """Empty chunks get no row, but count in the numbers of those after them."""
+    return t.documents.select("doc_id", F.posexplode(F.split("text", "\n")).alias("i", "c")).where("c <> ''").select(F.concat(F.col("doc_id").cast("string"), F.lit("##"), (F.col("i") + 1).cast("string")).alias("chunk_id"), F.char_length("c").cast("long").alias("n"))
 
 
-@query("vector_topk", """SELECT query_id, vec_id, round(dist, 4) AS dist FROM (SELECT q.vec_id AS query_id, e.vec_id, list_distance(CAST(q.embedding AS DOUBLE[]), CAST(e.embedding AS DOUBLE[])) ** 2 AS dist, row_number() OVER (PARTITION BY q.vec_id ORDER BY round(list_distance(CAST(q.embedding AS DOUBLE[]), CAST(e.embedding AS DOUBLE[])) ** 2, 9), e.vec_id) AS rn
-  FROM embeddings q, embeddings e WHERE q.vec_id < 5 AND q.vec_id <> e.vec_id) WHERE rn <= 5""")
+@query("vector_topk", """SELECT query_id, vec_id, round(dist, 4) AS dist FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY dist, vec_id) AS rn
+  FROM (SELECT q.vec_id AS query_id, e.vec_id, round(list_distance(CAST(q.embedding AS DOUBLE[]), CAST(e.embedding AS DOUBLE[])) ** 2, 9) AS dist FROM embeddings q JOIN embeddings e ON q.vec_id % 100 = 0 AND q.vec_id <> e.vec_id)) WHERE rn <= 5 AND dist <= 1.0""")
 def _(t):
-    q = t.embeddings.where("vec_id < 5").select(F.col("vec_id").alias("query_id"), F.col("embedding").cast("array<double>").alias("q"))
-    square = F.aggregate(F.zip_with("q", F.col("embedding").cast("array<double>"), lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda s, x: s + x)
-    pairs = t.embeddings.join(F.broadcast(q), F.col("vec_id") != F.col("query_id")).select("query_id", "vec_id", square.alias("dist"))  # five queries, stated
-    return B.first_of_each(pairs, ["query_id"], [F.round("dist", 9), "vec_id"], 5).select("query_id", "vec_id", F.round("dist", 4).alias("dist"))
+    """Every row whose id is divisible by 100 against all rows: the five nearest, within the distance."""
+    return nearest(t.embeddings, t.embeddings.where("vec_id % 100 = 0")).withColumn("dist", F.round("dist", 4))
 
 
 @query("vector_search")
@@ -222,9 +231,11 @@ def _(t):
     return t.notification.groupBy("email_key").agg(F.max_by("notification_type", F.struct(rank, "notification_type")).alias("state"))
 
 
-@query("log_tail", "SELECT seq, level FROM (SELECT seq, level FROM log_event ORDER BY seq DESC LIMIT 1000)")
+@query("log_tail", "SELECT seq, level FROM log_event WHERE seq > (SELECT max(seq) - 1000 FROM log_event)")
 def _(t):
-    return t.log_event.orderBy(F.desc("seq")).limit(1000).select("seq", "level")
+    """What came since a number that a reader has seen: here, the one 1000 before the last."""
+    since = F.broadcast(t.log_event.agg((F.max("seq") - 1000).alias("since")))  # one row
+    return t.log_event.join(since, F.col("seq") > F.col("since")).select("seq", "level")
 
 
 @query("step_states", "SELECT request_id, step_name, max(seq) AS seq, round(greatest(2, least(100, arg_max(ms, seq) / 100.0 * 100)), 4) AS pct FROM log_event GROUP BY 1, 2")

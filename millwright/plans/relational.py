@@ -188,10 +188,10 @@ def _(t):
     return J.or_join(a, b, [("a_thread", "b_thread"), ("a_id", "b_reply"), ("a_reply", "b_id")], ["a_id", "b_id"]).where("a_id <> b_id")
 
 
-@query("children_of", "SELECT p.part_key, c.part_key AS child_key FROM bom p JOIN bom c ON c.parent_key = p.part_key WHERE p.part_key < 50")
+@query("children_of", "SELECT p.part_key, c.part_key AS child_key FROM bom p JOIN bom c ON c.parent_key = p.part_key")
 def _(t):
     c = t.bom.select(F.col("parent_key").alias("part_key"), F.col("part_key").alias("child_key"))
-    return t.bom.where("part_key < 50").select("part_key").join(c, "part_key")
+    return t.bom.select("part_key").join(c, "part_key")
 
 
 @query("parents_with_leaf", "SELECT part_key FROM bom WHERE part_key IN (SELECT parent_key FROM bom WHERE part_key NOT IN (SELECT parent_key FROM bom WHERE parent_key IS NOT NULL))")
@@ -284,21 +284,24 @@ def _(t):
     return p.select("part_key", *[F.coalesce(F.col(f"E{k}").cast("string"), F.lit("-")).alias(f"E{k}") for k in range(6)])
 
 
-@query("usage_matrix", "SELECT part_key, s AS serial, CASE WHEN bool_or(build_name = 'T0') THEN 'YES' ELSE 'NO' END AS t0, CASE WHEN bool_or(build_name = 'T1') THEN 'YES' ELSE 'NO' END AS t1 FROM (SELECT part_key, build_name, trim(unnest(string_split(serial_nos, ','))) AS s FROM serial_text WHERE part_key % 3 = 1) WHERE s <> '' GROUP BY 1, 2")
+#: A JSON array, or a comma list without empty entries.
+_SERIALS = """CASE WHEN trim(serial_nos) LIKE '[%]' THEN CAST(from_json(serial_nos, '["VARCHAR"]') AS VARCHAR[]) ELSE list_filter(list_transform(string_split(serial_nos, ','), lambda x: trim(x)), lambda x: x <> '') END"""
+
+
+@query("usage_matrix", f"SELECT part_key, s AS serial, CASE WHEN bool_or(build_name = 'T0') THEN 'YES' ELSE 'NO' END AS t0, CASE WHEN bool_or(build_name = 'T1') THEN 'YES' ELSE 'NO' END AS t1 FROM (SELECT part_key, build_name, unnest({_SERIALS}) AS s FROM serial_text) GROUP BY 1, 2")
 def _(t):
     from ..functions.text import parse_serials
 
-    rows = t.serial_text.where("part_key % 3 = 1").select("part_key", "build_name", F.explode(parse_serials(F.col("serial_nos"))).alias("serial"))
+    rows = t.serial_text.select("part_key", "build_name", F.explode(parse_serials(F.col("serial_nos"))).alias("serial"))
     yes = lambda b: F.when(F.max((F.col("build_name") == b).cast("int")) == 1, "YES").otherwise("NO")
     return rows.groupBy("part_key", "serial").agg(yes("T0").alias("t0"), yes("T1").alias("t1"))
 
 
-@query("next_sequence", "SELECT demand_key, line_no, CAST(coalesce((SELECT max(demand_key) FROM demand), 0) + row_number() OVER (ORDER BY demand_key, line_no, vendor_key, material_key) AS BIGINT) AS new_key FROM demand_item WHERE demand_key < 200")
+@query("next_sequence", "SELECT demand_key, line_no, CAST(coalesce((SELECT max(demand_key) FROM demand), 0) + row_number() OVER (ORDER BY demand_key, line_no, vendor_key, material_key) AS BIGINT) AS new_key FROM demand_item")
 def _(t):
-    top = t.demand.agg(F.coalesce(F.max("demand_key"), F.lit(0)).alias("top"))
-    rows = t.demand_item.where("demand_key < 200")  # a batch of new rows
-    w = Window.orderBy("demand_key", "line_no", "vendor_key", "material_key")
-    return rows.withColumn("rn", F.row_number().over(w)).join(F.broadcast(top), how="cross").select("demand_key", "line_no", (F.col("top") + F.col("rn")).cast("long").alias("new_key"))
+    top = t.demand.agg(F.coalesce(F.max("demand_key"), F.lit(0))).first()[0]
+    numbered = A.number_rows(t.demand_item, "demand_key", ["demand_key", "line_no", "vendor_key", "material_key"])
+    return numbered.select("demand_key", "line_no", (F.col("number") + top).alias("new_key"))
 
 
 @query("rollup_open_closed", "SELECT project_key, officer_key, count(*) AS total, count_if(status_category = 'Open') AS open_n, count_if(status_category = 'Closed') AS closed_n FROM demand GROUP BY ROLLUP (project_key, officer_key)")

@@ -48,9 +48,9 @@ def _(t):
     return t.demand.select("demand_key", F.round(F.col("estimated_cost"), 2).cast("decimal(18,2)").alias("cost"))
 
 
-@query("split_trim", "SELECT part_key, array_to_string(list_transform(string_split(serial_nos, ','), lambda x: trim(x)), '|') AS serials FROM serial_text WHERE part_key % 3 = 1")
+@query("split_trim", "SELECT part_key, array_to_string(list_transform(string_split(serial_nos, ','), lambda x: trim(x)), '|') AS serials FROM serial_text")
 def _(t):
-    return t.serial_text.where("part_key % 3 = 1").select("part_key", F.array_join(X.split_trim(F.col("serial_nos")), "|").alias("serials"))
+    return t.serial_text.select("part_key", F.array_join(X.split_trim(F.col("serial_nos")), "|").alias("serials"))
 
 
 @query("parse_serials", """SELECT part_key, CASE WHEN part_key % 3 = 0 THEN array_to_string(CAST(from_json(serial_nos, '["VARCHAR"]') AS VARCHAR[]), '|') WHEN part_key % 3 = 1 THEN array_to_string(list_filter(list_transform(string_split(serial_nos, ','), lambda x: trim(x)), lambda x: x <> ''), '|') ELSE '' END AS serials FROM serial_text""")
@@ -63,13 +63,26 @@ def _(t):
     return t.ncr.select("ncr_key", "line_no", X.list_remove(F.concat_ws(",", "stage", "engine"), "Rejected").alias("kept"))
 
 
-_DIM = "upper(trim(coalesce(text, '')))"
-for _a, _b in (("DIA", "Ø"), ("⌀", "Ø"), ("Φ", "Ø"), ("+/-", "±"), (",", "."), ("MM", ""), (" ", "")):
-    _DIM = f"replace({_DIM}, '{_a}', '{_b}')"
-_DIM = rf"regexp_replace(regexp_replace({_DIM}, '^(Ø|R)?0\.', '\1.'), '(\.[0-9]*[1-9])0+$|\.0+$', '\1')"
+def dimension_sql(c: str) -> str:
+    """normalize_dimension for DuckDB."""
+    out = f"CASE WHEN {c} = 'NO_DIMENSION' THEN '' ELSE upper(coalesce({c}, '')) END"
+    for a, b in X.SYMBOLS:
+        out = f"replace({out}, '{a}', '{b}')"
+    for a, b in X.SHAPES:
+        out = f"regexp_replace({out}, '{a}', '{b}', 'g')"
+    return out
 
 
-@query("normalize_dimension", f"SELECT token_key, drawing_id, text, {_DIM} AS norm FROM token")
+def value_match_sql(detected: str, expected: str) -> str:
+    """value_match for DuckDB."""
+    d, e = dimension_sql(detected), dimension_sql(expected)
+    bare = lambda x: f"regexp_replace({x}, '[()]', '', 'g')"
+    plain = lambda x: f"regexp_replace({bare(x)}, '^DIA', '')"
+    return f"""({d} <> '' AND {e} <> '' AND ({d} = {e} OR {bare(d)} = {bare(e)} OR ({plain(d)} <> '' AND {plain(d)} = {plain(e)}) OR (length({e}) >= 3 AND contains({d}, {e}))
+  OR (regexp_full_match({plain(d)}, '[0-9]+') AND starts_with({plain(e)}, {plain(d)} || '.'))))"""
+
+
+@query("normalize_dimension", f"SELECT token_key, drawing_id, text, {dimension_sql('text')} AS norm FROM token")
 def _(t):
     return t.token.select("token_key", "drawing_id", "text", X.normalize_dimension(F.col("text")).alias("norm"))
 
@@ -186,6 +199,6 @@ def _(t):
     return t.token.select("token_key", "cx", F.when(dot >= 0.9, 0).when(dot >= 0.5, 20).when(dot >= 0, 60).otherwise(150).alias("penalty"))
 
 
-@query("value_match", f"SELECT t.item_key, t.case_key, {_DIM.replace('text', 't.expected')} = {_DIM.replace('text', 'p.detected')} AS same FROM truth t JOIN prediction p ON t.item_key = p.item_key")
+@query("value_match", f"SELECT t.item_key, t.case_key, {value_match_sql('p.detected', 't.expected')} AS same FROM truth t JOIN prediction p ON t.item_key = p.item_key")
 def _(t):
-    return t.truth.join(t.prediction.drop("case_key"), "item_key").select("item_key", "case_key", X.value_match(F.col("expected"), F.col("detected")).alias("same"))
+    return t.truth.join(t.prediction.drop("case_key"), "item_key").select("item_key", "case_key", X.value_match(F.col("detected"), F.col("expected")).alias("same"))
