@@ -67,6 +67,17 @@ SELECT p_partkey AS part_key,
        CASE WHEN p_partkey = 0 THEN NULL ELSE CAST(floor((p_partkey - 1) / 5) AS BIGINT) END AS parent_key,
        p_name AS part_name, p_size % 4 + 1 AS qty_per_engine, p_size AS display_order,
        CASE WHEN p_partkey % 9 = 0 THEN NULL ELSE 1 END AS is_active FROM part""",
+    "build": """
+SELECT o_orderkey AS build_key, concat('E', CAST(o_orderkey % 6 AS VARCHAR(10))) AS engine,
+       CASE o_orderstatus WHEN 'F' THEN 'Completed' WHEN 'O' THEN 'Active' ELSE 'Planned' END AS status,
+       CAST(o_orderdate AS DATE) AS started FROM orders""",
+    "component": """
+SELECT l_orderkey AS build_key, l_partkey AS part_key, l_linenumber AS line_no, l_linenumber AS section,
+       concat('S', CAST(l_suppkey AS VARCHAR(20))) AS serial_no, concat('E', CAST(l_orderkey % 6 AS VARCHAR(10))) AS engine,
+       CASE l_returnflag WHEN 'A' THEN 'Fitted' WHEN 'R' THEN 'Rejected' ELSE 'Pending' END AS state FROM lineitem""",
+    "acsn": """
+SELECT event_id AS acsn_key, concat('S', CAST(user_id % 5 AS VARCHAR(10))) AS series, event_type AS step,
+       CASE WHEN event_type = 'purchase' THEN 'Closed' ELSE 'Open' END AS status, ts AS opened FROM events""",
     "baseline_part": """
 SELECT 1 AS baseline, p_partkey AS part_key, p_brand AS revision, p_size AS qty FROM part WHERE p_partkey % 11 <> 0
 UNION ALL

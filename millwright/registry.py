@@ -25,7 +25,7 @@ def query(name: str, sql: str | None = None) -> Callable:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    from .plans import hierarchies, jobs, matching_queries, relational, reports, text_queries  # noqa: F401  they register themselves
+    from .plans import build_reports, file_queries, hierarchies, jobs, matching_queries, relational, reports, spatial_queries, stream_queries, text_queries  # noqa: F401  they register themselves
 
     return QUERIES
 

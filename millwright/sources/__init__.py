@@ -1 +1 @@
-"""Part of millwright; see the README."""
+"""Reading and writing of the files that users exchange."""

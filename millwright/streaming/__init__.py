@@ -1 +1 @@
-"""Part of millwright; see the README."""
+"""Streams of messages and events."""
