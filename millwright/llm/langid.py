@@ -61,7 +61,7 @@ def grams(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     a, b = c, np.zeros(n, np.uint32)
     b[:-1] = c[1:]
     d = np.zeros(n, np.uint32)
-    d[:-2] = c[2:]
+    d[:-2] = np.where(doc[2:] == doc[:-2], c[2:], 0)  # the grams of a text are its own, whatever text stands next to it
     one = a * np.uint32(0x9E3779B1)
     two = (one ^ b) * np.uint32(0x85EBCA6B) + np.uint32(1)
     three = ((two ^ (two >> np.uint32(15))) + d) * np.uint32(0xC2B2AE35) + np.uint32(2)
