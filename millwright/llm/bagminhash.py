@@ -228,8 +228,8 @@ def classify(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     weight = rows.groupBy("uid").agg(F.sum("n").alias("w"))
     leads = rows.select("key", "uid").join(weight, "uid").groupBy("key").agg(F.max_by("uid", F.struct("w", -F.col("uid"))).alias("lead"))
     pairs = rows.join(leads, "key").where("uid <> lead").select(F.least("lead", "uid").alias("a"), F.greatest("lead", "uid").alias("b")).distinct()
-    edges = stored(_verify(stored(pairs), reps, docs, threshold))
-    roots = components(edges.select(F.col("a").alias("u"), F.col("b").alias("v")))
+    pairs = stored(pairs)
+    roots = components(_verify(pairs, reps, docs, threshold).select(F.col("a").alias("u"), F.col("b").alias("v")))
     # buckets of two are settled; others, while they hold several components
     tried = pairs
     for k in range(LEADER_ROUNDS + 1):
@@ -251,9 +251,9 @@ def classify(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
                 continue
             break
         tried = tried.unionByName(more)
-        found = _verify(more, reps, docs, threshold)
-        edges = stored(edges.unionByName(found))
-        roots = components(edges.select(F.col("a").alias("u"), F.col("b").alias("v")))
+        found = stored(_verify(more, reps, docs, threshold).select(F.col("a").alias("u"), F.col("b").alias("v")))
+        if not found.isEmpty():  # stars of the components so far and the new links have the same components as all links
+            roots = components(roots.select(F.col("node").alias("u"), F.col("root").alias("v")).unionByName(found))
     of = reps.select("__p1", "__p2", "uid").join(roots.withColumnRenamed("node", "uid"), "uid", "left")
     own = F.coalesce(F.col("uid"), F.col("__uid"))
     rows = signed.select("doc_id", *KEY, "__uid", F.when(F.col("__n") > 0, F.col("__p1")).alias("__p1"), "__p2")
