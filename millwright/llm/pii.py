@@ -39,7 +39,7 @@ DISCLOSURE, RESIDUAL, UNSEEN, TERM_CHARS = 0.9, 1.0, 0.5, 3
 #: Rows of a few numbers, or of a term, that a broadcast may hold; beyond that the same join is shuffled.
 BROADCAST_ROWS = 1_000_000
 KEY = ["__k1", "__k2"]
-_RUN = 32
+_RUN, _PIECE = 32, 1024
 #: Terms and more general ones, in the languages of the documents.
 GENERAL = {
     "day": "monday tuesday wednesday thursday friday saturday sunday",
@@ -70,27 +70,52 @@ def found(text: Column, pattern: str) -> Column:
     return _bound(parts, lambda p: F.when(F.size(p["matches"]) > 0, _placed(p["between"], p["matches"])))
 
 
-def _placed(between: Column, matches: Column) -> Column:
-    """Text between matches, match, text, ... have lengths whose running sums are the places. They are summed in runs
-    of _RUN, the runs' sums again, and theirs once more: the work per match hardly grows with the text."""
+def _before(xs: Column, op, then) -> Column:
+    """then(at), where at(i) is op over the elements of xs before place i, from 0: sums, or what the greatest was.
+
+    The elements are run through in runs of _RUN, the runs' results again, and theirs once more: the work per element
+    hardly grows with their number."""
     last = lambda xs: F.element_at(xs, -1)
     none = F.array().cast("array<int>")
-    running = lambda xs: F.aggregate(xs, none, lambda got, x: F.concat(got, F.array(F.coalesce(F.get(got, F.size(got) - 1), F.lit(0)) + x)))
+    running = lambda xs: F.aggregate(xs, none, lambda got, x: F.concat(got, F.array(op(F.coalesce(F.get(got, F.size(got) - 1), F.lit(0)), x))))
     runs = lambda xs: F.transform(F.sequence(F.lit(0), F.shiftright(F.size(xs) - 1, 5)), lambda b: running(F.slice(xs, b * _RUN + 1, _RUN)))
     before = lambda xs, i: F.coalesce(F.get(xs, i - 1), F.lit(0))
     high, low = lambda i: F.shiftright(i, 5), lambda i: i.bitwiseAND(F.lit(_RUN - 1))
+    at = lambda one, two, three: lambda i: op(op(before(three, high(high(i))), before(F.get(two, high(high(i))), low(high(i)))), before(F.get(one, high(i)), low(i)))
+    tops = lambda one: _bound(runs(F.transform(one, last)), lambda two: _bound(running(F.transform(two, last)), lambda three: then(at(one, two, three))))
+    return _bound(xs, lambda xs: _bound(runs(xs), tops))
 
-    def place(one: Column, two: Column, three: Column) -> Column:
+
+def _placed(between: Column, matches: Column) -> Column:
+    """Text between matches, match, text, ... have lengths whose running sums are the places."""
+
+    def places(before) -> Column:
         def at(m: Column, i: Column) -> Column:
-            k = high(i)
-            start = before(three, high(k)) + before(F.get(two, high(k)), low(k)) + before(F.get(one, k), low(i)) + F.char_length(F.get(between, i))
-            return _bound(start, lambda at: F.struct(at.alias("start"), (at + F.char_length(m)).alias("end"), m.alias("value")))
+            return _bound(before(i) + F.char_length(F.get(between, i)), lambda at: F.struct(at.alias("start"), (at + F.char_length(m)).alias("end"), m.alias("value")))
 
         return F.transform(matches, at)
 
-    steps = F.transform(matches, lambda m, i: F.char_length(m) + F.char_length(F.get(between, i)))
-    tops = lambda one: _bound(runs(F.transform(one, last)), lambda two: _bound(running(F.transform(two, last)), lambda three: place(one, two, three)))
-    return _bound(steps, lambda steps: _bound(runs(steps), tops))
+    return _before(F.transform(matches, lambda m, i: F.char_length(m) + F.char_length(F.get(between, i))), lambda a, b: a + b, places)
+
+
+def _replaced(text: Column, spans: Column, put) -> Column:
+    """The text with put(span, end of the spans before it) in place of each of the spans, which are sorted and may overlap.
+
+    A place in a text is found by going through it from its start, so pieces of _PIECE code points are cut once and gaps
+    are taken out of them; all of them are joined at the end."""
+
+    def gap(pieces: Column, a: Column, b: Column) -> Column:
+        i, j = F.shiftright(a, 10), F.shiftright(b, 10)
+        head, tail = F.substr(F.get(pieces, i), a % _PIECE + 1, F.lit(_PIECE)), F.substr(F.coalesce(F.get(pieces, j), F.lit("")), F.lit(1), b % _PIECE)
+        long = F.concat(head, F.array_join(F.slice(pieces, i + 2, j - i - 1), ""), tail)
+        return F.when(b <= a, "").when(i == j, F.substr(F.get(pieces, i), a % _PIECE + 1, b - a)).otherwise(long)
+
+    def out(pieces: Column) -> Column:
+        size = F.size(spans)
+        parts = lambda before: F.concat(F.transform(spans, lambda s, i: _bound(before(i), lambda pos: F.concat(gap(pieces, pos, s["start"]), put(s, pos)))), F.array(gap(pieces, before(size), F.char_length(text))))
+        return F.array_join(_before(F.transform(spans, lambda s: s["end"]), F.greatest, parts), "")
+
+    return F.when(F.size(spans) > 0, _bound(F.regexp_extract_all(text, F.lit(f"(?s).{{1,{_PIECE}}}+"), F.lit(0)), out)).otherwise(text)
 
 
 def _digits(value: Column) -> Column:
@@ -139,15 +164,8 @@ def keyed(docs: DataFrame) -> DataFrame:
 
 def _blanked(text: Column, spans: Column) -> Column:
     """The text with spaces in place of the spans: what is left keeps its places."""
-
-    def step(at: Column, s: Column) -> Column:
-        gap = F.when(s["start"] > at["pos"], F.substr("text", at["pos"] + 1, s["start"] - at["pos"])).otherwise(F.lit(""))
-        blank = F.repeat(F.lit(" "), F.greatest(s["end"] - F.greatest(s["start"], at["pos"]), F.lit(0)))
-        return F.struct(F.greatest(at["pos"], s["end"]).alias("pos"), F.concat(at["out"], gap, blank).alias("out"))
-
     places = F.array_sort(F.transform(spans, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"))))
-    cut = F.aggregate(places, F.struct(F.lit(0).alias("pos"), F.lit("").alias("out")), step, lambda at: F.concat(at["out"], F.substr(text, at["pos"] + 1)))
-    return F.when(F.size(spans) > 0, cut).otherwise(text)
+    return _replaced(text, places, lambda s, pos: F.repeat(F.lit(" "), F.greatest(s["end"] - F.greatest(s["start"], pos), F.lit(0))))
 
 
 def find(docs: DataFrame) -> DataFrame:
@@ -250,7 +268,8 @@ def report(docs: DataFrame, disclosure: float = DISCLOSURE) -> DataFrame:
     base = F.transform("__base", lambda s: F.concat_ws(":", name(s["kind"]), s["start"], s["end"]))
     more = F.coalesce(F.transform("__terms", lambda s: F.concat_ws(":", F.lit("term"), s["start"], s["end"])), F.array().cast("array<string>"))
     rows = rows.select("doc_id", "__base", base.alias("b"), more.alias("m"))
-    counts = [F.size(F.filter("__base", lambda s, k=k: s["kind"] == k)).cast("long").alias(f"n_{KINDS[k]}") for k in range(4)]
+    of_kind = lambda k: F.size(F.filter("__base", lambda s: s["kind"] == k)).cast("long").alias(f"n_{KINDS[k]}")
+    counts = [of_kind(k) for k in range(4)]
     return rows.select("doc_id", *counts, F.sha2(F.array_join("b", ",").cast("binary"), 256).alias("base_sha256"), F.array_join(F.concat("b", "m"), ",").alias("spans"), F.size("m").cast("long").alias("n_term"))
 
 
@@ -263,13 +282,7 @@ def sanitise(docs: DataFrame, general: DataFrame | None = None, disclosure: floa
     some = some.where(F.size("__all") > 0).groupBy(*KEY).agg(F.first("__all").alias("__all"))
     names = docs.columns
 
-    def step(at: Column, s: Column) -> Column:
-        gap = F.when(s["start"] > at["pos"], F.substr("text", at["pos"] + 1, s["start"] - at["pos"])).otherwise(F.lit(""))
-        new = s["end"] > at["pos"]
-        return F.struct(F.greatest(at["pos"], s["end"]).alias("pos"), F.when(new, F.concat(at["out"], gap, s["put"])).otherwise(at["out"]).alias("out"))
-
-    start = F.struct(F.lit(0).alias("pos"), F.lit("").alias("out"))
-    text = F.aggregate("__all", start, step, lambda at: F.concat(at["out"], F.substr("text", at["pos"] + 1)))
+    text = _replaced(F.col("text"), F.col("__all"), lambda s, pos: F.when(s["end"] > pos, s["put"]).otherwise(""))
     own = [c for c in ("doc_id", "text", "n_chars") if c in names]
     plain = F.coalesce("text", F.lit(""))
     out = hidden(docs, own).withColumns({"__k1": F.xxhash64("doc_id", plain), "__k2": F.xxhash64(plain, "doc_id")}).join(some, KEY, "left").withColumn("__new", F.when(F.col("__all").isNotNull(), text))
