@@ -5,7 +5,7 @@ Every shingle of weight w owns Poisson processes on a dyadic discretisation of i
 the axis; it counts if the place is below w. A component's value is its first point, so two documents agree in it
 with a probability equal to their weighted Jaccard index. Processes stop at the slowest component's time.
 
-Texts with the same words are one class. Bands of signatures give candidates: in each bucket the class that shares most buckets with
+Texts with the same words, by a 128-bit print of their bytes, are one class. Bands of signatures give candidates: in each bucket the class that shares most buckets with
 others is paired with every other one. They are verified by exact bag overlap, and connected components are built. Buckets that still hold
 several components go on with other leaders, and at last with all their pairs across components that share
 enough shingles to be similar at all, so no link between different texts is lost, and no group of copies is ever expanded into its pairs.
@@ -20,9 +20,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .common import LOWER, buffers, chunks, hidden, mix, shown, stored, tune, window_hashes, word_hashes, words
+from .common import LOWER, WORD, buffers, chunks, hidden, mix, shown, stored, tune, window_hashes, word_hashes, words
 from .components import components
 
 SHINGLE, THRESHOLD = 5, 0.8
@@ -38,18 +39,13 @@ PEELS = 3
 
 
 def shingles(data: np.ndarray, offsets: np.ndarray, k: int = SHINGLE) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """The bag of each row: row, shingle and weight arrays, sorted; then the number of words and a 128-bit word print of each row."""
+    """The bag of each row: row, shingle and weight arrays, sorted; then the number of words and the 128-bit print of each row's words."""
     data = LOWER[data]
     starts, ends, counts = words(data, offsets)
     h = word_hashes(data, starts, ends)
     rows = len(counts)
     first = np.concatenate([[0], np.cumsum(counts)])
-    place = (np.arange(len(h)) - np.repeat(first[:-1], counts)).astype(np.uint64)
-    prints = np.zeros((rows, 2), np.uint64)
-    full = np.flatnonzero(counts)
-    if len(full):
-        prints[full, 0] = np.add.reduceat(mix(h ^ mix(place)), first[full])
-        prints[full, 1] = np.add.reduceat(mix(h + place * np.uint64(0xA0761D6478BD642F)), first[full])
+    prints = word_prints(data, offsets, counts)
     row = np.repeat(np.arange(rows), np.maximum(counts - k + 1, 0))
     if len(h) >= k:
         at = np.arange(len(h) - k + 1)
@@ -69,6 +65,22 @@ def shingles(data: np.ndarray, offsets: np.ndarray, k: int = SHINGLE) -> tuple[n
     return row[at], bag[at], np.diff(np.append(at, len(bag))), counts, prints
 
 
+def word_prints(data: np.ndarray, offsets: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """(rows, 2): a 128-bit print of the bytes of each row's words with one space between them; 0 without words."""
+    in_word = WORD[data]
+    after = np.zeros(len(data), bool)  # the byte after a word, in the same row
+    after[1:] = in_word[:-1] & ~in_word[1:]
+    after[offsets[:-1][offsets[:-1] < len(data)]] = False
+    kept = in_word | after
+    plain = np.where(in_word, data, 32)[kept].astype(np.uint8)
+    ends = np.concatenate([[0], np.cumsum(kept)])[offsets]
+    prints = np.zeros((len(counts), 2), np.uint64)
+    for k in np.flatnonzero(counts).tolist():
+        a, b = ends[k], ends[k + 1]
+        prints[k] = divmod(xxhash.xxh3_128_intdigest(plain[a : b - (plain[b - 1] == 32)]), 1 << 64)
+    return prints
+
+
 def _unit(x: np.ndarray) -> np.ndarray:
     return ((x >> np.uint64(11)).astype(np.float64) + 0.5) * 2.0**-53
 

@@ -10,6 +10,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 #: Rows of one Arrow batch. Texts can be long, so batches stay small.
@@ -93,18 +94,10 @@ GAP = np.ones(256, bool)
 GAP[[9, 10, 13, 32]] = False
 
 _R = np.uint64(0x9E3779B97F4A7C15)
-_RI = np.uint64(pow(int(_R), -1, 1 << 64))
-_POW: list[np.ndarray] = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
-
-
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    if len(_POW[0]) < n:
-        size = 1 << int(n - 1).bit_length()
-        for k, r in enumerate((_R, _RI)):
-            p = np.full(size, r, np.uint64)
-            p[0] = 1
-            _POW[k] = np.cumprod(p, dtype=np.uint64)
-    return _POW[0][:n], _POW[1][:n]
+#: Bytes of a word that are read as three integers; a longer word is hashed on its own.
+_READ = 24
+#: The lower n bytes of an integer.
+_LOWEST = np.array([(1 << 8 * n) - 1 for n in range(9)], np.uint64)
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -136,15 +129,20 @@ def words(data: np.ndarray, offsets: np.ndarray, table: np.ndarray = WORD) -> tu
     return starts, ends, counts
 
 
-def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of each word's bytes: one pass of prefix sums, whatever the words' lengths."""
-    if not len(starts):
-        return np.zeros(0, np.uint64)
-    power, inverse = _powers(len(data) + 1)
-    sums = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum((data.astype(np.uint64) + np.uint64(1)) * power[: len(data)], out=sums[1:])
-    raw = (sums[ends] - sums[starts]) * inverse[starts]
-    return mix(raw + (ends - starts).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
+def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, seed: int = 0) -> np.ndarray:
+    """A 64-bit hash of each word's bytes; another seed gives an independent one. Words of one length of 8 bytes at most never share it."""
+    n = ends - starts
+    h = (n.astype(np.uint64) + np.uint64(seed << 32)) * _R
+    room = np.zeros(len(data) + _READ + 8, np.uint8)
+    room[: len(data)] = data
+    at = np.ndarray(len(data) + _READ + 1, "<u8", room, strides=(1,))
+    h = mix(h ^ (at[starts] & _LOWEST[np.minimum(n, 8)]))
+    for first in (8, 16):
+        more = np.flatnonzero(n > first)
+        h[more] = mix(h[more] ^ (at[starts[more] + first] & _LOWEST[np.minimum(n[more] - first, 8)]))
+    for k in np.flatnonzero(n > _READ).tolist():
+        h[k] = xxhash.xxh3_64_intdigest(data[starts[k] : ends[k]], seed)
+    return h
 
 
 def window_hashes(hashes: np.ndarray, k: int) -> np.ndarray:

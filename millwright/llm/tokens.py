@@ -3,7 +3,7 @@
 A vocabulary that drops white space and cuts a text into runs of letters, single digits and runs of other characters
 gives a text the ids of those pieces one after another, so each different piece is tokenised once per Python worker;
 equality with whole texts is tested. Chunks between white space that hold anything but ASCII and À to ÿ, an apostrophe
-or a bar are left whole. Pieces are found by their 64-bit hash.
+or a bar are left whole. Pieces are found by two independent 64-bit hashes of their bytes.
 """
 
 from __future__ import annotations
@@ -50,6 +50,56 @@ def pieces(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return at, np.flatnonzero(begins[1:] & (kind > 0)) + 1, np.diff(np.searchsorted(at, offsets))
 
 
+class Entries:
+    """Numbers of the byte strings seen so far, by two 64-bit hashes of each, in a table of open addresses. The first hash is never 0."""
+
+    def __init__(self, most: int):
+        self.most, self.n = most, 0
+        self.size = 1 << int(2 * most).bit_length()
+        self.keys, self.checks, self.entry = np.zeros(self.size, np.uint64), np.zeros(self.size, np.uint64), np.zeros(self.size, np.int32)
+
+    def find(self, h: np.ndarray, check: np.ndarray) -> np.ndarray:
+        """The number of each string, or -1."""
+        pos, out, todo = (h & np.uint64(self.size - 1)).astype(np.int64), np.full(len(h), -1, np.int64), np.arange(len(h))
+        while len(todo):
+            p = pos[todo]
+            key = self.keys[p]
+            hit = (key == h[todo]) & (self.checks[p] == check[todo])
+            out[todo[hit]] = self.entry[p[hit]]
+            todo = todo[~hit & (key != 0)]
+            pos[todo] = (pos[todo] + 1) & (self.size - 1)
+        return out
+
+    def add(self, h: np.ndarray, check: np.ndarray) -> None:
+        """Numbers strings that differ from each other and from those seen so far."""
+        entries = np.arange(self.n, self.n + len(h))
+        self.n += len(h)
+        pos, todo = (h & np.uint64(self.size - 1)).astype(np.int64), np.arange(len(h))
+        while len(todo):
+            p = pos[todo]
+            free = np.flatnonzero(self.keys[p] == 0)
+            self.entry[p[free]] = entries[todo[free]]  # of several at one place, the last stays
+            won = free[self.entry[p[free]] == entries[todo[free]]]
+            self.keys[p[won]], self.checks[p[won]] = h[todo[won]], check[todo[won]]
+            todo = np.delete(todo, won)
+            pos[todo] = (pos[todo] + 1) & (self.size - 1)
+
+
+def piece_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Two hashes of each piece's bytes, the first of which isn't 0."""
+    h = word_hashes(data, starts, ends)
+    h[h == 0] = 1
+    return h, word_hashes(data, starts, ends, 1)
+
+
+def first_of_each(h: np.ndarray, check: np.ndarray) -> np.ndarray:
+    """Places of one of each pair of hashes."""
+    order = np.lexsort((check, h))
+    new = np.ones(len(h), bool)
+    new[1:] = (h[order[1:]] != h[order[:-1]]) | (check[order[1:]] != check[order[:-1]])
+    return order[new]
+
+
 class ChunkTokenizer:
     """ids(): the token ids of texts. Memory is bounded: the caches start anew beyond `most` entries."""
 
@@ -61,43 +111,18 @@ class ChunkTokenizer:
         self._reset()
 
     def _reset(self) -> None:
-        self.size = 1 << int(2 * self.most).bit_length()
-        self.keys, self.entry = np.zeros(self.size, np.uint64), np.zeros(self.size, np.int32)
-        self.first, self.ids_flat, self.n, self.used = np.zeros(self.most + 2, np.int64), np.zeros(4 * self.most, np.uint32), 0, 0
-
-    def _find(self, h: np.ndarray) -> np.ndarray:
-        """The entry of each hash, or -1."""
-        mask = np.uint64(self.size - 1)
-        pos = (h & mask).astype(np.int64)
-        key = self.keys[pos]
-        out = np.where(key == h, self.entry[pos], -1)
-        todo = np.flatnonzero((key != h) & (key != 0))
-        while len(todo):
-            pos[todo] = (pos[todo] + 1) & (self.size - 1)
-            key = self.keys[pos[todo]]
-            hit = key == h[todo]
-            out[todo[hit]] = self.entry[pos[todo[hit]]]
-            todo = todo[~hit & (key != 0)]
-        return out
+        self.seen = Entries(self.most)
+        self.first, self.ids_flat, self.used = np.zeros(self.most + 2, np.int64), np.zeros(4 * self.most, np.uint32), 0
 
-    def _add(self, h: np.ndarray, lists: list[list[int]]) -> None:
+    def _add(self, h: np.ndarray, check: np.ndarray, lists: list[list[int]]) -> None:
         n = np.fromiter(map(len, lists), np.int64, len(lists))
         flat = np.fromiter((x for ids in lists for x in ids), np.uint32, int(n.sum()))
         if self.used + len(flat) > len(self.ids_flat):
             self.ids_flat = np.concatenate([self.ids_flat, np.zeros(max(len(flat), len(self.ids_flat) // 2), np.uint32)])
         self.ids_flat[self.used : self.used + len(flat)] = flat
-        entries = np.arange(self.n, self.n + len(h))
-        self.first[self.n + 1 : self.n + 1 + len(h)] = self.used + np.cumsum(n)
-        self.used, self.n = self.used + len(flat), self.n + len(h)
-        pos, todo = (h & np.uint64(self.size - 1)).astype(np.int64), np.arange(len(h))
-        while len(todo):
-            p = pos[todo]
-            free = self.keys[p] == 0
-            self.keys[p[free]] = h[todo[free]]
-            won = self.keys[p] == h[todo]
-            self.entry[p[won]] = entries[todo[won]]
-            todo = todo[~won]
-            pos[todo] = (pos[todo] + 1) & (self.size - 1)
+        self.first[self.seen.n + 1 : self.seen.n + 1 + len(h)] = self.used + np.cumsum(n)
+        self.used += len(flat)
+        self.seen.add(h, check)
 
     def _encode(self, texts: list[str]) -> list[list[int]]:
         return [e.ids for i in range(0, len(texts), 4096) for e in self.tokenizer.encode_batch(texts[i : i + 4096], add_special_tokens=False)]
@@ -109,19 +134,18 @@ class ChunkTokenizer:
             a, b = offsets[i], offsets[j]
             part, offs = data[a:b], offsets[i : j + 1] - a
             starts, ends, per_row = pieces(part, offs)
-            h = word_hashes(LOWER[part], starts, ends)
-            h[h == 0] = 1
-            if self.n + len(h) > self.most:
+            h, check = piece_hashes(LOWER[part], starts, ends)
+            if self.seen.n + len(h) > self.most:
                 if len(h) > self.most:
                     self.most = 2 * len(h)
                 self._reset()
-            entry = self._find(h)
+            entry = self.seen.find(h, check)
             miss = np.flatnonzero(entry < 0)
             if len(miss):
-                new, at = np.unique(h[miss], return_index=True)
+                new = miss[first_of_each(h[miss], check[miss])]
                 raw = part.tobytes()
-                self._add(new, self._encode([raw[starts[k] : ends[k]].decode("utf-8", "replace") for k in miss[at]]))
-                entry[miss] = self._find(h[miss])
+                self._add(h[new], check[new], self._encode([raw[starts[k] : ends[k]].decode("utf-8", "replace") for k in new]))
+                entry[miss] = self.seen.find(h[miss], check[miss])
             first = self.first[entry]
             n = self.first[entry + 1] - first
             sums = np.cumsum(n)
