@@ -43,6 +43,16 @@ def stored(df: DataFrame, codec: str = "zstd") -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+#: Rows of a few numbers that a broadcast may hold.
+BROADCAST_ROWS = 1_000_000
+
+
+def few(df: DataFrame) -> DataFrame:
+    """Rows of a few numbers, written; a join with them is a broadcast if they are at most BROADCAST_ROWS, and shuffled else."""
+    df = stored(df)
+    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
+
+
 def hidden(df: DataFrame, own: list[str]) -> DataFrame:
     """The columns `own`, and all others as one, so that no name of theirs can clash with a name that an operator adds."""
     rest = [F.col(f"`{c}`") for c in df.columns if c not in own]

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bagminhash, chat, decontam, embed_dedup, html_extract, langid, packing, pii, sharding, token_output
+from . import alignment, bagminhash, chat, decontam, embed_dedup, filter_audit, html_extract, langid, packing, pii, ppm, sharding, token_output
 
 
 def _table(name: str, operator: Callable[[DataFrame], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
@@ -34,8 +34,11 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_minhash_dedup": _table("documents", bagminhash.near_duplicates),
         "op9_sharding": _table("documents", sharding.shard),
         "op10_html_extraction": _table("pages", html_extract.extract),
+        "op11_lm_scoring": _table("documents", ppm.score),
+        "op12_tokenizer_alignment": _table("documents", alignment.report),
+        "op13_filter_audit": filter_audit.op13_filter_audit,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_chat_formatting": chat.ORACLE_SQL, "op6_decontamination": decontam.ORACLE_SQL, "op7_embedding_dedup": embed_dedup.ORACLE_SQL}
+    return {"op4_chat_formatting": chat.ORACLE_SQL, "op6_decontamination": decontam.ORACLE_SQL, "op7_embedding_dedup": embed_dedup.ORACLE_SQL, "op13_filter_audit": filter_audit.ORACLE_SQL}
