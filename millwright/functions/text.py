@@ -120,3 +120,75 @@ def value_match(detected: Column, expected: Column) -> Column:
     same = (d == e) | (bare(d) == bare(e)) | ((plain(d) != "") & (plain(d) == plain(e)))
     part = plain(d).rlike("^[0-9]+$") & F.startswith(plain(e), F.concat(plain(d), F.lit(".")))
     return (d != "") & (e != "") & (same | ((F.char_length(e) >= 3) & F.contains(d, e)) | part)
+
+
+#: Classes of callouts with the patterns of their upper-case text, first match first.
+SEMANTICS = (
+    ("numeric_pair", r"^[0-9]+(\.[0-9]+)?/[0-9]+(\.[0-9]+)?$"),
+    ("tolerance", r"±|\+-|\+ -"),
+    ("thread", r"[0-9]+h[0-9]+h|MJ?[0-9]+x[0-9]|M[0-9]+X[0-9]"),
+    ("chamfer", r"[0-9]+(\.[0-9]+)?[xX][0-9]+°|[0-9]+°\s*CHAMFER"),
+    ("coordinate", r"\+X|-Y|[0-9]+,[0-9]+"),
+    ("diameter", r"Ø|[0-9]+\s*DIA|DIAM\s*[0-9]+|\[[0-9]+"),
+    ("radius", r"R[0-9]+|[0-9]+R|RADIUS\s*[0-9]+"),
+    ("angle", r"[0-9]+°|[0-9]+\s*DEG"),
+    ("reference", r"[0-9]+\(REF\)|[0-9]+\s*REF|REF\s*[0-9]+"),
+    ("surface_finish", r"[0-9]+\s*RA|RA\s*[0-9]+"),
+    ("taper", r"[0-9]+:[0-9]+|[0-9]+(\.[0-9]+)?%"),
+    ("numeric", r"[0-9]"),
+)
+
+
+def semantic_class(c: Column) -> Column:
+    """The class of a callout; "unknown" for a text without digits or signs, and for null."""
+    up, out = F.upper(c), F.when(F.lit(False), "")
+    for name, pattern in SEMANTICS:
+        out = out.when(up.rlike(pattern), name)
+    return out.otherwise("unknown")
+
+
+#: How a value is written for loose comparison, in this order. A group number is behind each $.
+LOOSE = (
+    (r"\s+", " "), (",", "."), ("Ø|⌀", "DIA"), ("°", "DEG"), ("×", "X"),
+    (r"([0-9])\s*DIA\b", "$1 DIA"), (r"([0-9])\s*([HGF][0-9]+)\b", "$1 $2"), (r"(R[0-9]+(?:\.[0-9]+)?)\s*(TYP)\b", "$1 $2"),
+    (r"(MJ?[0-9]+X[0-9]+[.,][0-9]+)[,.]([0-9]+H[0-9]+H)", "$1 $2"), (r"\s*/\s*", "/"), (r"\b0+(\.[0-9])", "$1"), (r"([0-9])F\b", "$1R"),
+    (r"^[-=–—]+\s*", ""), (r"\s*[-=–—]+$", ""), (r"\(+", "("), (r"\)+", ")"), (r"^L([0-9])", "$1"), (r"^Q(\.[0-9])", "DIA$1"), (r"\.$", ""), (r"\.0$", ""),
+    (r"\s*MM$", ""), (r"([0-9])X([0-9])", "$1 X $2"), (r"DEG\s*TYP", "DEG TYP"), (r"([0-9])\s*X\s*([0-9])", "$1 X $2"), (r"^0([0-9]{2,})", "DIA$1"),
+)
+#: Words of an expected value of three or more that a detected one has, as a share, to be taken for it.
+COVERAGE = 0.6
+
+
+def loose_value(c: Column) -> Column:
+    """Upper case, single spaces, one writing for each sign; null is empty. Spaces stay, so that words can be compared."""
+    c = F.upper(F.trim(F.coalesce(c, F.lit(""))))
+    for pattern, put in LOOSE:
+        c = F.regexp_replace(c, pattern, put)
+    return c
+
+
+def loose_match(detected: Column, expected: Column) -> Column:
+    """Whether a detected value is as good as the expected one: equal, equal without parentheses, sign of a diameter or degrees, its
+    whole-number part, holding it between word boundaries, or having its words, all or COVERAGE of three and more. Values that
+    aren't there match nothing, and expected values of two characters only what equals them in the first of these ways."""
+    from .rules import bound
+
+    cut = lambda x, *patterns: F.trim(cut(F.regexp_replace(x, patterns[0], ""), *patterns[1:])) if patterns else x
+    paren, dia, deg = "[()]", r"^DIA\s*", r"\s*DEG\s*$"
+    same = lambda d, e: (d != "") & (d == e)
+    whole = lambda d, e: d.rlike("^[0-9]+$") & F.startswith(e, F.concat(d, F.lit(".")))
+    # a text holds a value as a whole if taking it out at word boundaries changes the text
+    inside = lambda d, e: F.rlike(d, F.concat(F.lit(r"(?<![\p{L}\p{N}_])\Q"), e, F.lit(r"\E(?![\p{L}\p{N}_])")))
+
+    def of(p: Column) -> Column:
+        d, e = p["d"], p["e"]
+        dw, ew = (F.array_distinct(F.filter(F.split(x, " "), lambda w: w != "")) for x in (d, e))
+        both = F.size(F.array_intersect(dw, ew))
+        words = (F.size(ew) > 0) & (both == F.size(ew))
+        most = (F.size(ew) >= 3) & (both == F.size(dw)) & (both / F.size(ew) >= COVERAGE)
+        first = (d == e) | whole(d, e) | same(cut(d, paren), cut(e, paren)) | same(cut(d, paren, dia), cut(e, paren, dia))
+        loose = inside(d, e) | same(cut(d, deg), cut(e, deg)) | same(cut(d, dia), cut(e, dia)) | whole(cut(d, dia), cut(e, dia)) | words | most
+        return first | ((F.char_length(e) > 2) & loose)
+
+    found = F.coalesce(detected, F.lit(""))
+    return (found != "") & (found != "NO_DIMENSION") & bound(F.struct(loose_value(detected).alias("d"), loose_value(expected).alias("e")), of)

@@ -116,6 +116,21 @@ SELECT l_orderkey % 200 AS drawing_id, l_orderkey * 10 + l_linenumber AS token_k
        CAST(l_partkey * 7 % 1000 AS DOUBLE) AS cx, CAST((l_suppkey * 13 + l_linenumber * 3) % 800 AS DOUBLE) AS cy,
        CAST(1 - l_discount AS DOUBLE) AS conf
 FROM lineitem""",
+    # marks of drawings with boxes of all sizes and texts of all classes; raw is the text as a bad reader gives it
+    "mark": """
+SELECT mark_key, drawing_id, text, cx, cy, conf, cx - w / 2 AS x1, cy - h / 2 AS y1, cx + w / 2 AS x2, cy + h / 2 AS y2,
+       CASE noise WHEN 0 THEN replace(text, 'Ø', 'Φ') WHEN 1 THEN replace(text, '°', 'º') WHEN 2 THEN replace(text, '.', '·') WHEN 3 THEN replace(text, 'Ø', '0')
+            WHEN 4 THEN concat('[', text, ' ') WHEN 5 THEN replace(text, '0', 'O') WHEN 6 THEN replace(text, 'x', ' X ') WHEN 7 THEN replace(text, '±', '+ -') ELSE text END AS raw
+FROM (SELECT o * 10 + n AS mark_key, CAST(floor(o / 64) AS BIGINT) AS drawing_id, text, noise, CAST((p * 7919 + n * 104729 + s * 31) % 3000 AS DOUBLE) AS cx,
+             CAST((o * 613 + p * 271 + n * 1009) % 2000 AS DOUBLE) AS cy, conf, CAST(length(text) * CASE WHEN p % 97 = 0 THEN 96 ELSE 8 END AS DOUBLE) AS w, CAST(CASE WHEN p % 89 = 0 THEN 160 ELSE 16 END AS DOUBLE) AS h
+      FROM (SELECT o, n, p, s, conf, s % 11 AS noise, CASE (p + n) % 12
+                     WHEN 0 THEN concat('Ø', v, '.', d) WHEN 1 THEN concat('R', e, '.', d) WHEN 2 THEN concat('0.', e, 'x45°') WHEN 3 THEN concat(v, '.', d, '/', v, '.', e)
+                     WHEN 4 THEN concat('M', e, 'x1.', d) WHEN 5 THEN concat('(', z, ')') WHEN 6 THEN concat('±0.', d)
+                     WHEN 7 THEN CASE p % 9 WHEN 0 THEN 'ALL' WHEN 1 THEN 'AROUND' WHEN 2 THEN 'OUTER' WHEN 3 THEN 'PROFILE' WHEN 4 THEN 'ALL AROUND' WHEN 5 THEN 'TRUE' WHEN 6 THEN 'POSITION' WHEN 7 THEN 'PART' ELSE 'OUTER PROFILE' END
+                     WHEN 8 THEN z WHEN 9 THEN concat(v, '.', d) WHEN 10 THEN CASE p % 3 WHEN 0 THEN '(REF)' WHEN 1 THEN '(TYP)' ELSE '(BOSS)' END ELSE concat('MAJOR DIA ', e) END AS text
+            FROM (SELECT o, n, p, s, conf, CAST(c % 900 + 1 AS VARCHAR(20)) AS v, CAST(q % 10 AS VARCHAR(20)) AS d, CAST(p % 9 + 1 AS VARCHAR(20)) AS e, CAST(q AS VARCHAR(20)) AS z
+                  FROM (SELECT l_orderkey AS o, l_linenumber AS n, min(l_partkey) AS p, min(l_suppkey) AS s, min(CAST(l_quantity AS BIGINT)) AS q, min(CAST(floor(l_extendedprice) AS BIGINT)) AS c,
+                               CAST(1 - min(l_discount) AS DOUBLE) AS conf FROM lineitem GROUP BY l_orderkey, l_linenumber) a) b) g) f""",
     "truth": """
 SELECT doc_id % 20 AS case_key, doc_id AS item_key, concat(CAST(n_chars AS VARCHAR(20)), '.5') AS expected FROM documents""",
     "prediction": """

@@ -5,8 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.window import Window
 
-from ..operators import claims as C, joins as J
+from ..functions import geometry as G, text as X
+from ..operators import boxes as B, claims as C, joins as J, reading as O
 from ..registry import query
+from .text_queries import direction_sql
 
 #: Height of a token's box, and its width for each character: the view has centres only.
 HEIGHT, WIDTH = 16.0, 8.0
@@ -48,37 +50,82 @@ def _(t):
     return C.greedy_keep(k, "token_key", _conflicts(pairs, _better(("conf", True), ("cy", False), ("cx", False)))).select("token_key", "drawing_id", "text", "cx", "cy", "conf")
 
 
-def _overlap(least: bool) -> Column:
-    """Intersection over union of the boxes, or over the smaller one."""
-    side = lambda c, s: F.greatest(F.lit(0.0), F.least(F.col(f"a_{c}") + F.col(f"a_{s}") / 2, F.col(f"b_{c}") + F.col(f"b_{s}") / 2) - F.greatest(F.col(f"a_{c}") - F.col(f"a_{s}") / 2, F.col(f"b_{c}") - F.col(f"b_{s}") / 2))
-    both = side("cx", "w") * side("cy", "h")
-    a, b = F.col("a_w") * F.col("a_h"), F.col("b_w") * F.col("b_h")
-    return both / F.greatest(F.lit(1.0), F.least(a, b) if least else a + b - both)
+def _both(k: DataFrame, pairs: DataFrame, cols: list[str]) -> DataFrame:
+    """Columns of both marks of each pair, with a_ and b_, in both orders, and the distance of their centres."""
+    side = lambda p: k.select(*(F.col(c).alias(f"{p}_{c}") for c in cols))
+    every = pairs.select("a", "b").unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    rows = every.join(side("a"), F.col("a") == F.col("a_mark_key")).join(side("b"), F.col("b") == F.col("b_mark_key"))
+    return rows.withColumn("dist", F.hypot(F.col("a_cx") - F.col("b_cx"), F.col("a_cy") - F.col("b_cy")))
+
+
+def _corners(p: str) -> list[Column]:
+    return [F.col(f"{p}_{c}") for c in ("x1", "y1", "x2", "y2")]
+
+
+def _rank(*order: tuple[str, bool]) -> Column:
+    side = lambda p: F.struct(*[(-F.col(f"{p}_{c}") if down else F.col(f"{p}_{c}")).alias(f"o{i}") for i, (c, down) in enumerate(order)], F.col(f"{p}_mark_key").alias("k"))
+    return side("a") < side("b")
+
+
+def _lost(pairs: DataFrame, order: Column) -> DataFrame:
+    return pairs.where(order).select(F.col("a_mark_key").alias("better"), F.col("b_mark_key").alias("worse"))
+
+
+def merge_readings(k: DataFrame) -> DataFrame:
+    """Of marks that overlap by more than 0.2, or lie within 20 px, or say the same within 50 px, the surest stays."""
+    k = k.withColumn("norm", F.replace(F.upper(F.trim("text")), F.lit(" "), F.lit("")))
+    pairs = _both(k, B.overlapping(B.widened(k, F.lit(25.0)), "drawing_id", "mark_key"), ["mark_key", "norm", "cx", "cy", "conf", "x1", "y1", "x2", "y2"])
+    same = (G.iou(_corners("a"), _corners("b")) > 0.2) | (F.col("dist") < 20) | ((F.col("a_norm") == F.col("b_norm")) & (F.col("dist") < 50))
+    return C.greedy_keep(k, "mark_key", _lost(pairs.where(same), _rank(("conf", True)))).drop("norm")
+
+
+def dedup_boxes(k: DataFrame) -> DataFrame:
+    """Short labels within 80 px of a kept equal one go first; then, largest box first, equal texts that are near and boxes that cover 0.6 of the smaller one."""
+    w, h = F.col("x2") - F.col("x1"), F.col("y2") - F.col("y1")
+    k = k.withColumns({"norm": F.upper(F.trim("text")), "area": w * h, "diag": F.hypot(w, h)})
+    cols = ["mark_key", "norm", "cx", "cy", "area", "diag", "x1", "y1", "x2", "y2"]
+    short = k.where(F.col("norm").rlike(r"^([A-Z]?[0-9]{1,3}|TYP)$") & (F.char_length("norm") <= 4))
+    points = short.withColumns({"x1": F.col("cx"), "y1": F.col("cy"), "x2": F.col("cx"), "y2": F.col("cy")})
+    pairs = _both(short, B.overlapping(B.widened(points, F.lit(40.0)), "drawing_id", "mark_key"), cols)
+    k = C.greedy_keep(k, "mark_key", _lost(pairs.where("a_norm = b_norm and dist < 80"), _rank()))
+    # centres nearer than max(60, 0.6 of both diagonals) lie in circles of max(30, 0.6 of the own one) that meet
+    pairs = _both(k, B.overlapping(B.widened(k, F.greatest(F.lit(30.0), 0.6 * F.col("diag"))), "drawing_id", "mark_key"), cols)
+    near = F.col("dist") < F.greatest(F.lit(60.0), 0.6 * (F.col("a_diag") + F.col("b_diag")))
+    over = G.intersection(_corners("a"), _corners("b")) / F.greatest(F.lit(1.0), F.least("a_area", "b_area"))
+    dup = ((F.col("a_norm") == F.col("b_norm")) & near) | (over >= 0.6)
+    return C.greedy_keep(k, "mark_key", _lost(pairs.where(dup), _rank(("area", True)))).drop("norm", "area", "diag")
 
 
 @query("ensemble_merge")
 def _(t):
-    """Readings that overlap by more than 0.2, or lie within 20 px, or say the same within 50 px, are one: the surest."""
-    k = _boxes(t).withColumn("norm", F.replace(F.upper(F.trim("text")), F.lit(" "), F.lit("")))
-    widest = k.agg(F.coalesce(F.max(F.greatest("w", "h")), F.lit(0.0))).first()[0]
-    pairs = _pairs(k.select("drawing_id", "norm", "token_key", "cx", "cy", "conf", "w", "h"), ["drawing_id"], max(50.0, float(widest)))
-    same = (_overlap(False) > 0.2) | (F.col("dist") < 20) | ((F.col("a_norm") == F.col("b_norm")) & (F.col("dist") < 50))
-    return C.greedy_keep(k, "token_key", _conflicts(pairs.where(same), _better(("conf", True)))).select("token_key", "drawing_id", "text", "conf")
+    return merge_readings(t.mark).select("mark_key", "drawing_id", "text", "conf")
 
 
 @query("bbox_dedup")
 def _(t):
-    """Short labels within 80 px of a kept equal one go first; then, largest box first, equal texts that are near and boxes that cover 0.6 of the smaller one."""
-    k = _boxes(t).withColumns({"norm": F.upper(F.trim("text")), "area": F.col("w") * F.col("h"), "diag": F.hypot("w", "h")})
-    cols = ["drawing_id", "norm", "token_key", "cx", "cy", "w", "h", "area", "diag"]
-    short = k.where(F.col("norm").rlike(r"^([A-Z]?[0-9]{1,3}|TYP)$") & (F.char_length("norm") <= 4))
-    pairs = _pairs(short.select(*cols), ["drawing_id", "norm"], 80.0).where("dist < 80")
-    k = C.greedy_keep(k, "token_key", _conflicts(pairs, _better()))
-    most = k.agg(F.coalesce(F.max(F.greatest("w", "h", 1.2 * F.col("diag"))), F.lit(0.0))).first()[0]
-    pairs = _pairs(k.select(*cols), ["drawing_id"], max(60.0, float(most)))
-    near = F.col("dist") < F.greatest(F.lit(60.0), 0.6 * (F.col("a_diag") + F.col("b_diag")))
-    dup = ((F.col("a_norm") == F.col("b_norm")) & near) | (_overlap(True) >= 0.6)
-    return C.greedy_keep(k, "token_key", _conflicts(pairs.where(dup), _better(("area", True)))).select("token_key", "drawing_id", "text")
+    return dedup_boxes(t.mark).select("mark_key", "drawing_id", "text")
+
+
+_MEET = "a.drawing_id = b.drawing_id AND a.mark_key < b.mark_key AND a.x1 <= b.x2 AND b.x1 <= a.x2 AND a.y1 <= b.y2 AND b.y1 <= a.y2"
+
+
+@query("box_overlaps", f"SELECT a.mark_key AS a, b.mark_key AS b FROM mark a JOIN mark b ON {_MEET}")
+def _(t):
+    """Pairs of boxes of all sizes that meet."""
+    return B.overlapping(t.mark, "drawing_id", "mark_key").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+
+
+_ORDER = """WITH RECURSIVE k AS (SELECT DISTINCT drawing_id, cy FROM mark),
+  n AS (SELECT drawing_id, cy, min(cy) OVER (PARTITION BY drawing_id ORDER BY cy RANGE BETWEEN 30 FOLLOWING AND UNBOUNDED FOLLOWING) AS nxt FROM k),
+  a AS (SELECT drawing_id, min(cy) AS cy FROM k GROUP BY 1 UNION ALL SELECT n.drawing_id, n.nxt FROM a JOIN n ON n.drawing_id = a.drawing_id AND n.cy = a.cy WHERE n.nxt IS NOT NULL)
+SELECT mark_key, drawing_id, anchor, row_number() OVER (PARTITION BY drawing_id ORDER BY anchor, cx, cy, mark_key) AS number
+FROM (SELECT m.mark_key, m.drawing_id, m.cx, m.cy, max(a.cy) AS anchor FROM mark m JOIN a ON a.drawing_id = m.drawing_id AND a.cy <= m.cy GROUP BY 1, 2, 3, 4)"""
+
+
+@query("reading_order_anchor", _ORDER)
+def _(t):
+    """Numbers in reading order: a row is what lies less than 30 px below its first mark."""
+    return O.reading_order(t.mark, "drawing_id", "cx", "cy", "mark_key").select("mark_key", "drawing_id", "anchor", F.col("number").cast("long").alias("number"))
 
 
 @query("recovered_anti", "SELECT token_key FROM token WHERE conf < 0.95 AND token_key NOT IN (SELECT r.token_key FROM token r JOIN token e ON r.conf < 0.95 AND e.conf >= 0.95 AND e.drawing_id = r.drawing_id AND e.text = r.text AND e.token_key <> r.token_key AND sqrt(power(e.cx - r.cx, 2) + power(e.cy - r.cy, 2)) < 20)")
@@ -101,12 +148,25 @@ def _links(tokens: DataFrame) -> DataFrame:
     return pairs.select(F.col("a_drawing_id").alias("drawing_id"), F.col("a_token_key").alias("label_key"), F.col("b_token_key").alias("callout_key"), F.col("b_text").alias("text"), F.col("b_conf").alias("conf"), F.col("b_suppressed").alias("suppressed"), "dist", score.alias("score"))
 
 
+#: Labels are marks in parentheses, callouts all with a digit that aren't.
+LABEL, CALLOUT = r"^\([0-9]{1,3}\)$", "[0-9]"
+
+
+def nearest_claims(marks: DataFrame) -> DataFrame:
+    """Labels in their order each claim the best callout that is left, however far; a claim under 0.65, or of a suppressed one, is for review."""
+    k = marks.withColumn("suppressed", F.col("mark_key") % 9 == 0)
+    labels = k.where(F.col("text").rlike(LABEL)).select("drawing_id", "mark_key", F.col("mark_key").alias("rank"), F.col("cx").alias("px"), F.col("cy").alias("py"))
+    extra = F.when(F.col("suppressed"), 250.0).otherwise(0.0) - 80 * F.col("conf")
+    callouts = k.where(F.col("text").rlike(CALLOUT) & ~F.col("text").rlike(LABEL))
+    got = B.claim_nearest(labels.withColumnRenamed("mark_key", "label_key"), callouts.select("drawing_id", F.col("mark_key").alias("callout_key"), "x1", "y1", "x2", "y2", extra.alias("extra")), "drawing_id", "label_key", "callout_key", "rank", -80.0)
+    got = got.join(callouts.select(F.col("mark_key").alias("callout_key"), "conf", "suppressed"), "callout_key")
+    conf = F.round(0.25 + 0.20 + 0.25 + 0.20 * F.col("conf") + 0.10 * F.greatest(F.lit(0.0), 1 - F.col("dist") / REACH), 6)
+    return got.select("drawing_id", "label_key", "callout_key", F.round("score", 6).alias("score"), conf.alias("confidence"), ((conf < 0.65) | F.col("suppressed")).alias("review"))
+
+
 @query("nearest_claim")
 def _(t):
-    """Labels in their order each claim the best callout that is left; a claim under 0.65, or of a suppressed one, is for review."""
-    got = C.exclusive_claim(_links(_tokens(t)), "label_key", "callout_key", ["label_key", "score"])
-    conf = F.round(0.25 + 0.20 + 0.25 + 0.20 * F.col("conf") + 0.10 * F.greatest(F.lit(0.0), 1 - F.col("dist") / REACH), 6)
-    return got.select("drawing_id", "label_key", "callout_key", "score", conf.alias("confidence"), ((conf < 0.65) | F.col("suppressed")).alias("review"))
+    return nearest_claims(t.mark)
 
 
 _LINK = "SELECT p.drawing_id, p.token_key AS label_key, o.token_key AS callout_key, sqrt(power(p.cx - o.cx, 2) + power(p.cy - o.cy, 2)) AS dist, round(sqrt(power(p.cx - o.cx, 2) + power(p.cy - o.cy, 2)) + CASE WHEN o.token_key % 9 = 0 THEN 250.0 ELSE 0.0 END - 80 * o.conf, 6) AS score FROM token p JOIN token o ON p.drawing_id = o.drawing_id AND p.text = '(08)' AND o.text <> '(08)' AND sqrt(power(p.cx - o.cx, 2) + power(p.cy - o.cy, 2)) <= 220"
@@ -219,13 +279,24 @@ def _(t):
     return t.token.where(F.char_length(F.trim("text")) > 1).join(used, "token_key", "left_anti").select("token_key", "drawing_id", "text")
 
 
-_COST = "dist + CASE WHEN dot >= 0.9 THEN 0 WHEN dot >= 0.5 THEN 20 WHEN dot >= 0 THEN 60 ELSE 150 END + CASE WHEN text IN ('Ø.800±.001', 'R72.55') THEN 0 ELSE 25 END + 5 * least(n, 6)"
+_LABELS = r"regexp_matches(p.text, '^\([0-9]{1,3}\)$')"
+_CALLOUTS = r"regexp_matches(o.text, '[0-9]') AND NOT regexp_matches(o.text, '^\([0-9]{1,3}\)$')"
+_KIND = "CASE " + " ".join(f"WHEN regexp_matches(upper(text), '{p}') THEN '{n}'" for n, p in X.SEMANTICS) + " ELSE 'unknown' END"
+_CLASSES = "CASE " + " ".join(f"WHEN kind IN ({', '.join(repr(n) for n in names.split(' '))}) THEN {score}" for names, score in G.CLASS_SCORE) + f" ELSE {G.OTHER_CLASS} END + CASE WHEN length(trim(text)) < 2 THEN {G.SHORT_TEXT} ELSE 0.0 END + CASE WHEN kind = 'unknown' THEN {G.MIXED} ELSE 0.0 END"
+_AREA = "greatest(1.0, x2 - x1) * greatest(1.0, y2 - y1)"
+_SHAPE = "CASE " + " ".join(f"WHEN {_AREA} > {above} THEN {score}" for above, score in G.LARGE) + " ELSE 0.0 END"
+#: Px within which a label's callouts are linked.
+NEAR = 260.0
 
 
-@query("link_cost", f"""SELECT label_key, callout_key, round({_COST}, 4) AS cost FROM (SELECT *, (ox - px) / greatest(dist, 1) AS dot, count(*) OVER (PARTITION BY label_key) AS n FROM (SELECT p.token_key AS label_key, o.token_key AS callout_key, o.text, p.cx AS px, o.cx AS ox, sqrt(power(p.cx - o.cx, 2) + power(p.cy - o.cy, 2)) AS dist FROM token p JOIN token o ON p.drawing_id = o.drawing_id AND p.text = '(08)' AND o.text <> '(08)' AND sqrt(power(p.cx - o.cx, 2) + power(p.cy - o.cy, 2)) <= 60))""")
+@query("link_cost", f"""SELECT label_key, callout_key, round(dist + {direction_sql('(dx * 0.6 + dy * 0.8) / greatest(dist, 1.0)', 'dist')} + {_CLASSES} + {_SHAPE} + CASE WHEN n <= 1 THEN 0.0 ELSE least(10.0, n * 0.8) END, 4) AS cost
+FROM (SELECT *, {_KIND} AS kind, count(*) OVER (PARTITION BY label_key) AS n FROM (SELECT p.mark_key AS label_key, o.mark_key AS callout_key, o.text, o.x1, o.y1, o.x2, o.y2, o.cx - p.cx AS dx, o.cy - p.cy AS dy, sqrt(power(p.cx - o.cx, 2) + power(p.cy - o.cy, 2)) AS dist
+FROM mark p JOIN mark o ON p.drawing_id = o.drawing_id AND {_LABELS} AND {_CALLOUTS} AND sqrt(power(p.cx - o.cx, 2) + power(p.cy - o.cy, 2)) <= {NEAR}))""")
 def _(t):
-    """Cost of linking a label with a callout: distance, direction ladder, class penalty, and a penalty for crowded places."""
-    pairs = _pairs(t.token.select("drawing_id", "token_key", "text", "cx", "cy"), ["drawing_id"], 60.0).where("a_text = '(08)' and b_text <> '(08)'")
-    rows = pairs.select(F.col("a_token_key").alias("label_key"), F.col("b_token_key").alias("callout_key"), F.col("b_text").alias("text"), "dist", ((F.col("b_cx") - F.col("a_cx")) / F.greatest("dist", F.lit(1.0))).alias("dot"))
-    rows = rows.withColumn("n", F.count("*").over(Window.partitionBy("label_key")))
-    return rows.select("label_key", "callout_key", F.round(F.expr(_COST), 4).alias("cost"))
+    """Cost of linking a label with a callout: distance, direction of its leader, class, shape, and how crowded the place is."""
+    labels = t.mark.where(F.col("text").rlike(LABEL)).select("drawing_id", F.col("mark_key").alias("label_key"), F.col("cx").alias("px"), F.col("cy").alias("py"))
+    callouts = t.mark.where(F.col("text").rlike(CALLOUT) & ~F.col("text").rlike(LABEL)).select("drawing_id", F.col("mark_key").alias("callout_key"), "text", "x1", "y1", "x2", "y2", F.col("cx").alias("ox"), F.col("cy").alias("oy"))
+    rows = J.radius_pairs(labels, callouts, "drawing_id", NEAR).withColumns({"kind": X.semantic_class(F.col("text")), "n": F.count("*").over(Window.partitionBy("label_key"))})
+    direction = G.direction_score(F.col("ox") - F.col("px"), F.col("oy") - F.col("py"), F.lit(0.6), F.lit(0.8))
+    cost = F.col("dist") + direction + G.class_score(F.col("kind"), F.col("text"), F.col("kind")) + G.shape_penalty(*(F.col(c) for c in ("x1", "y1", "x2", "y2"))) + G.density_penalty(F.col("n"))
+    return rows.select("label_key", "callout_key", F.round(cost, 4).alias("cost"))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions import geometry as G, text as X
+from ..functions import geometry as G, repair as R, text as X
 from ..registry import query
 from .bindings import AS_OF
 
@@ -144,11 +144,19 @@ def _(t):
     return t.token.select("token_key", "text", X.grammar_class(F.col("text")).alias("class"))
 
 
-@query("semantic_type", r"SELECT token_key, text, CASE WHEN contains(upper(text), 'Ø') THEN 'diameter' WHEN regexp_matches(upper(text), '^R\d') THEN 'radius' WHEN contains(text, '°') THEN 'angle' WHEN contains(text, '±') THEN 'tolerance' WHEN regexp_matches(text, '\d') THEN 'numeric' ELSE 'note' END AS kind FROM token")
+_SEMANTIC = " ".join(f"WHEN regexp_matches(upper(text), '{p}') THEN '{n}'" for n, p in X.SEMANTICS)
+
+
+@query("semantic_type", f"SELECT mark_key, text, CASE {_SEMANTIC} ELSE 'unknown' END AS kind FROM mark")
 def _(t):
-    c = F.upper("text")
-    kind = F.when(F.contains(c, F.lit("Ø")), "diameter").when(c.rlike(r"^R\d"), "radius").when(F.contains(c, F.lit("°")), "angle").when(F.contains(c, F.lit("±")), "tolerance").when(c.rlike(r"\d"), "numeric").otherwise("note")
-    return t.token.select("token_key", "text", kind.alias("kind"))
+    return t.mark.select("mark_key", "text", X.semantic_class(F.col("text")).alias("kind"))
+
+
+@query("ocr_text_repair")
+def _(t):
+    """What the texts of marks were most probably, and their class before and after. Look-around isn't in DuckDB's patterns, so tests hold it to a plain interpreter."""
+    fixed = R.repair_text(F.col("raw"))
+    return t.mark.select("mark_key", "raw", fixed.alias("repaired")).select("*", X.semantic_class(F.col("raw")).alias("kind_before"), X.semantic_class(F.col("repaired")).alias("kind"))
 
 
 @query("token_type", r"SELECT token_key, text, CASE WHEN regexp_matches(trim(text), '^\(?0*[0-9]{1,3}[A-Za-z]?\)?$') THEN 'bubble' WHEN regexp_matches(text, '[0-9]') THEN 'dimension' ELSE 'keyword' END AS kind FROM token")
@@ -193,10 +201,54 @@ def _(t):
     return t.token.select("token_key", "cx", "conf", score.alias("score"), (score < 0.65).alias("review"))
 
 
-@query("direction_score", "SELECT token_key, cx, CASE WHEN dot >= 0.9 THEN 0 WHEN dot >= 0.5 THEN 20 WHEN dot >= 0 THEN 60 ELSE 150 END AS penalty FROM (SELECT *, round((cx - 500) / 500, 6) AS dot FROM token)")
+_DOT = "((cx - 1500) * 0.6 + (cy - 1000) * 0.8) / greatest(sqrt(power(cx - 1500, 2) + power(cy - 1000, 2)), 1.0)"
+
+
+def direction_sql(dot: str, dist: str) -> str:
+    """direction_score for DuckDB."""
+    return f"CASE WHEN {dist} < 1.0 THEN 0.0 " + " ".join(f"WHEN {dot} > {above} THEN {score}" for above, score in G.DIRECTION) + f" ELSE {G.BEHIND} END"
+
+
+@query("direction_score", f"SELECT mark_key, cx, cy, CAST({direction_sql(_DOT, 'sqrt(power(cx - 1500, 2) + power(cy - 1000, 2))')} AS DOUBLE) AS score, round(CASE WHEN cx - 1500 < -20 THEN least(40.0, abs(cx - 1500) * 0.10) ELSE 0.0 END + CASE WHEN abs(cy - 1000) > abs(cx - 1500) * 2.5 THEN least(20.0, abs(cy - 1000) * 0.05) ELSE 0.0 END, 6) AS weak FROM mark")
+def _(t):
+    """Marks seen from the middle of the drawing along one direction, and without one."""
+    dx, dy = F.col("cx") - 1500, F.col("cy") - 1000
+    return t.mark.select("mark_key", "cx", "cy", G.direction_score(dx, dy, F.lit(0.6), F.lit(0.8)).alias("score"), F.round(G.weak_direction_score(dx, dy), 6).alias("weak"))
+
+
+def loose_sql(c: str) -> str:
+    """loose_value for DuckDB."""
+    out = f"upper(trim(coalesce({c}, '')))"
+    for pattern, put in X.LOOSE:
+        out = f"regexp_replace({out}, '{pattern}', '{put.replace('$', chr(92))}', 'g')"
+    return out
+
+
+def loose_match_sql(detected: str, expected: str, table: str, keep: str) -> str:
+    """Rows of a table with loose_match as `same`, for DuckDB."""
+    cut = lambda x, *patterns: f"trim(regexp_replace({cut(x, *patterns[:-1])}, '{patterns[-1]}', '', 'g'))" if patterns else x
+    paren, dia, deg = "[()]", r"^DIA\s*", r"\s*DEG\s*$"
+    eq = lambda *p: f"({cut('d', *p)} <> '' AND {cut('d', *p)} = {cut('e', *p)})"
+    whole = lambda d, e: f"(regexp_full_match({d}, '[0-9]+') AND starts_with({e}, {d} || '.'))"
+    words = lambda c: f"list_filter(list_distinct(string_split({c}, ' ')), lambda w: w <> '')"
+    shared = f"len(list_intersect({words('d')}, {words('e')}))"
+    inside = r"regexp_matches(d, '(^|[^\pL\pN_])' || regexp_escape(e) || '($|[^\pL\pN_])')"
+    more = f"({inside} OR {eq(deg)} OR {eq(dia)} OR {whole(cut('d', dia), cut('e', dia))} OR (len({words('e')}) > 0 AND {shared} = len({words('e')})) OR (len({words('e')}) >= 3 AND {shared} = len({words('d')}) AND {shared} / len({words('e')}) >= {X.COVERAGE}))"
+    same = f"found <> '' AND found <> 'NO_DIMENSION' AND (d = e OR {whole('d', 'e')} OR {eq(paren)} OR {eq(paren, dia)} OR (length(e) > 2 AND {more}))"
+    return f"SELECT {keep}, {same} AS same FROM (SELECT *, coalesce({detected}, '') AS found, {loose_sql(detected)} AS d, {loose_sql(expected)} AS e FROM {table})"
+
+
+@query("value_match_regression", loose_match_sql("raw", "text", "mark", "mark_key"))
+def _(t):
+    """Whether the texts as read are as good as the true ones, in the loose sense of regression runs."""
+    return t.mark.select("mark_key", X.loose_match(F.col("raw"), F.col("text")).alias("same"))
+
+
+@query("value_match_words", loose_match_sql("a", "b", "(SELECT a.mark_key AS x, b.mark_key AS y, a.text AS a, b.text AS b FROM mark a JOIN mark b ON a.drawing_id = b.drawing_id AND a.cy = b.cy AND a.mark_key <> b.mark_key)", "x, y"))
 def _(t):
-    dot = F.round((F.col("cx") - 500) / 500, 6)
-    return t.token.select("token_key", "cx", F.when(dot >= 0.9, 0).when(dot >= 0.5, 20).when(dot >= 0, 60).otherwise(150).alias("penalty"))
+    """The same for pairs of marks at one height."""
+    a, b = (t.mark.select("drawing_id", "cy", F.col("mark_key").alias(k), F.col("text").alias(v)) for k, v in (("x", "a"), ("y", "b")))
+    return a.join(b, ["drawing_id", "cy"]).where("x <> y").select("x", "y", X.loose_match(F.col("a"), F.col("b")).alias("same"))
 
 
 @query("value_match", f"SELECT t.item_key, t.case_key, {value_match_sql('p.detected', 't.expected')} AS same FROM truth t JOIN prediction p ON t.item_key = p.item_key")
