@@ -192,3 +192,36 @@ def loose_match(detected: Column, expected: Column) -> Column:
 
     found = F.coalesce(detected, F.lit(""))
     return (found != "") & (found != "NO_DIMENSION") & bound(F.struct(loose_value(detected).alias("d"), loose_value(expected).alias("e")), of)
+
+
+#: What is a bubble's text, upper-case: one or two digits with a revision letter, three in parentheses, which may be cut off.
+BUBBLE = r"^([0-9]{1,2}[A-G]?|\([0-9]{1,3}\)|\([0-9]{1,2}|[0-9]{1,2}\))$"
+#: Upper-case texts that are no dimension though they hold a digit, but for those that name one; and what else is one.
+PLAIN_WORD, NAMED, OTHER_NOISE, AXES = r"^[A-Z]+\s*[0-9]*$", "DIA|REF", r"^[\\|/<>{}\[\]]+$", r"\+X|-Y"
+
+
+def mark_type(c: Column) -> Column:
+    """bubble, dimension or keyword."""
+    up = F.upper(F.trim(c))
+    dimension = ~(up.rlike(PLAIN_WORD) & ~up.rlike(NAMED)) & ~up.rlike(OTHER_NOISE) & (up.rlike("[0-9]") | up.rlike(AXES))
+    return F.when(up.rlike(BUBBLE), "bubble").when(dimension, "dimension").otherwise("keyword")
+
+
+#: Upper-case texts of diameters and radii.
+DIAMETER, RADIUS = r"Ø|[0-9]+\s*DIA|DIAM\s*[0-9]+", r"R[0-9]+|[0-9]+R|RADIUS\s*[0-9]+"
+
+
+def is_diameter(c: Column) -> Column:
+    return F.upper(c).rlike(DIAMETER)
+
+
+#: Share of the larger value by which two values above each other may differ to be the limits of one.
+SPREAD = 0.30
+
+
+def independent_values(a: Column, b: Column) -> Column:
+    """Unsigned numbers of 1 or more that aren't written with the same number of decimals, or differ by more than SPREAD."""
+    number, decimals = r"^[0-9]+(\.[0-9]+)?$", lambda c: F.char_length(F.regexp_extract(c, r"\.([0-9]+)$", 1))
+    x, y = a.try_cast("double"), b.try_cast("double")
+    far = F.abs(x - y) / F.greatest(x, y, F.lit(1.0)) > SPREAD
+    return F.coalesce(a.rlike(number) & b.rlike(number) & (x >= 1) & (y >= 1) & ((decimals(a) != decimals(b)) | far), F.lit(False))

@@ -136,6 +136,12 @@ def _(t):
     return t.token.where("conf < 0.95").join(known, "token_key", "left_anti").select("token_key")
 
 
+@query("stack_merge")
+def _(t):
+    """Marks above each other whose boxes touch, as one text."""
+    return O.stacks(t.mark, "drawing_id", "mark_key").select("drawing_id", "mark_key", "n", "text", "kind", "x1", "y1", "x2", "y2")
+
+
 #: Beyond this distance a link has no distance confidence, and isn't looked for.
 REACH = 220.0
 

@@ -118,3 +118,55 @@ def test_merged_readings_are_those_of_the_pass(spark):
 
     want = {m[0] for m in one_after_another(left, lambda m: (-both_areas(m, m)[1], m[0]), dup)}
     assert {r.mark_key for r in S.dedup_boxes(df).collect()} == want and 20 < len(want) < len(left)
+
+
+def plain_stacks(rows):
+    import re
+
+    bubble = re.compile(r"[0-9]{1,2}[A-G]?|\([0-9]{1,3}\)|\([0-9]{1,2}|[0-9]{1,2}\)")
+    word = lambda t: not re.search("[0-9]", t) or bool(re.fullmatch(r"[A-Z]+\s*[0-9]*", t)) and "DIA" not in t
+
+    def apart(a, b):
+        if re.fullmatch("[0-9]{2,}", a) and re.fullmatch("[0-9]{2,}", b) or "Ø" in a and "Ø" in b:
+            return True
+        if not (re.fullmatch(r"[0-9]+(\.[0-9]+)?", a) and re.fullmatch(r"[0-9]+(\.[0-9]+)?", b)) or float(a) < 1 or float(b) < 1:
+            return False
+        decimals = lambda t: len(t.split(".")[1]) if "." in t else 0
+        return decimals(a) != decimals(b) or abs(float(a) - float(b)) / max(float(a), float(b)) > 0.3
+
+    out, used = {}, set()
+    for g in sorted({m[1] for m in rows}):
+        order = sorted((m for m in rows if m[1] == g and not bubble.fullmatch(m[2])), key=lambda m: (round(m[3] / 24), m[4], m[0]))
+        for seed in order:
+            if seed[0] in used:
+                continue
+            used.add(seed[0])
+            stack = [seed]
+            for m in order:
+                if m[0] not in used and abs(m[3] - stack[-1][3]) <= 24 and -12 <= m[7] - stack[-1][9] <= 5 and not apart(stack[-1][2], m[2]):
+                    stack.append(m)
+                    used.add(m[0])
+            if len(stack) > 1:
+                stack.sort(key=lambda m: (m[4], m[0]))
+                texts = [m[2] for m in stack]
+                if any(t.startswith("(") for t in texts) and any(t.endswith(")") for t in texts):
+                    text = " ".join(texts)
+                elif any(map(word, texts)):
+                    text = " ".join([t for t in texts if word(t)] + [t for t in texts if not word(t)])
+                else:
+                    text = " / ".join(texts)
+                out[seed[0]] = (len(stack), text)
+    return out
+
+
+def test_stacks_are_those_of_the_pass(spark):
+    rng, rows = np.random.default_rng(12), []
+    texts = ["+0.06", "31.80", "31.2", "5.00", "4.85", "MAJOR DIA", "ALL AROUND", "OUTER PROFILE", "Ø6.5", "120", "80", "(TAPER", "ENDS)", "7", "R5.1"]
+    for k in range(420):
+        x, y = float(rng.integers(0, 12) * 14), float(rng.integers(0, 60) * 9)
+        rows.append((k, int(rng.integers(3)), str(rng.choice(texts)), x, y, 0.5, x - 20, y - 8, x + 20, y + 8))
+    rows += [(500, 9, "0.35", 5.0, 20.0, 0.5, 0.0, 0.0, 10.0, 40.0), (501, 9, "28.", 5.0, 60.0, 0.5, 0.0, 40.0, 10.0, 80.0)]
+    want = plain_stacks(rows[:-2])
+    got = {r.mark_key: (r.n, r.text) for r in R.stacks(spark.createDataFrame(rows, MARK), "drawing_id", "mark_key").collect()}
+    assert got.pop(500) == (2, "28.35") and got == want and len(want) > 60 and max(n for n, _ in want.values()) > 4
+    assert R.stacks(spark.createDataFrame(rows, MARK).limit(0), "drawing_id", "mark_key").count() == 0
