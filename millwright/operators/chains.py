@@ -25,3 +25,28 @@ def greedy_chains(edges: DataFrame) -> DataFrame:
         if new.join(offers, ["u", "v", "head"], "left_anti").isEmpty() and offers.join(new, ["u", "v", "head"], "left_anti").isEmpty():
             return heads
         offers = new
+
+
+def components(pairs: DataFrame, rounds: int = 64) -> DataFrame:
+    """pairs (a, b) -> (item, part): the smallest item that can be reached, for every item of a pair. In each round an item takes the
+    smallest label of its neighbours and itself, and then the label of that label, so long rows of items take few rounds."""
+    e = stored(pairs.select("a", "b").unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
+    labels = stored(e.groupBy(F.col("a").alias("item")).agg(F.least(F.min("b"), F.first("a")).alias("part")))
+    for _ in range(rounds):
+        near = e.join(labels.withColumnRenamed("item", "b"), "b").groupBy(F.col("a").alias("item")).agg(F.min("part").alias("near"))
+        low = labels.join(near, "item").select("item", F.least("part", "near").alias("part"), F.col("part").alias("was"))
+        jump = labels.select(F.col("item").alias("part"), F.col("part").alias("then"))
+        new = stored(low.join(jump, "part", "left").select("item", F.least("part", F.coalesce("then", "part")).alias("part"), "was"))
+        labels = new.select("item", "part")
+        if new.where("part <> was").isEmpty():
+            return labels
+    raise RuntimeError(f"components didn't settle in {rounds} rounds")
+
+
+def turns(items: DataFrame, key: str, order: str, pairs: DataFrame) -> DataFrame:
+    """items that stand in a pair, with part (what can have to do with each other, by pairs) and turn: 1 and so on within a part, in the order.
+    A pass over the order gives the same if all items of one turn are worked on together, for they have nothing to do with each other."""
+    from pyspark.sql.window import Window
+
+    of = components(pairs).withColumnRenamed("item", key)
+    return items.join(of, key).withColumn("turn", F.row_number().over(Window.partitionBy("part").orderBy(order)))

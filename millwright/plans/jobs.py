@@ -16,21 +16,21 @@ def _(t):
 
 
 #: What lines of orders are judged by: 15 features, some of which are missing.
-FEATURES = ("quantity", "discount", "tax", "line_no", "size", "retail_price", "supplier_balance", "supplier_nation", "customer_balance", "customer_nation", "order_total", "days_to_ship", "month", "weekday", "lines_of_order")
+FEATURES = ("quantity", "discount", "tax", "line_no", "size", "retail_price", "supplier_balance", "supplier_nation", "customer_balance", "customer_nation", "order_total", "days_to_ship", "month", "price", "lines_of_order")
 KEY = ("l_orderkey", "l_linenumber")
 
 
 def engine_rows(t) -> DataFrame:
-    """KEY, FEATURES and label (the extended price) of every order line."""
+    """KEY, FEATURES and label (what is to be paid) of every order line."""
     lines = t.lineitem.groupBy("l_orderkey").agg(F.count("*").alias("lines_of_order"))
     rows = t.lineitem.join(lines, "l_orderkey").join(t.part, F.col("l_partkey") == F.col("p_partkey"), "left").join(t.supplier, F.col("l_suppkey") == F.col("s_suppkey"), "left")
     rows = rows.join(t.orders, F.col("l_orderkey") == F.col("o_orderkey"), "left").join(t.customer, F.col("o_custkey") == F.col("c_custkey"), "left")
     missing = lambda c, k: F.when(F.pmod(F.xxhash64("l_orderkey", "l_linenumber", F.lit(k)), F.lit(20)) != 0, F.col(c))  # noqa: E731  one in 20 wasn't measured
     values = [
         F.col("l_quantity"), missing("l_discount", 1), F.col("l_tax"), F.col("l_linenumber"), F.col("p_size"), F.col("p_retailprice"), missing("s_acctbal", 2), F.col("s_nationkey"), missing("c_acctbal", 3), F.col("c_nationkey"),
-        F.col("o_totalprice"), F.datediff("l_shipdate", "o_orderdate"), F.month("o_orderdate"), F.dayofweek("o_orderdate"), F.col("lines_of_order"),
+        F.col("o_totalprice"), F.datediff("l_shipdate", "o_orderdate"), F.month("o_orderdate"), missing("l_extendedprice", 4), F.col("lines_of_order"),
     ]
-    return rows.select(*KEY, *[v.cast("double").alias(c) for v, c in zip(values, FEATURES, strict=True)], F.col("l_extendedprice").cast("double").alias("label"))
+    return rows.select(*KEY, *[v.cast("double").alias(c) for v, c in zip(values, FEATURES, strict=True)], (F.col("l_extendedprice") * (1 - F.col("l_discount")) * (1 + F.col("l_tax"))).cast("double").alias("label"))
 
 
 @query("gbt_train_predict")
