@@ -10,8 +10,9 @@ less the counts of its symbols, D less their number. Level by level of the trie,
 symbol) gets its code length from the gram without its first byte, by joins; contexts have 257 symbols at most.
 
 Texts are read in chunks of bounded size. A chunk's different grams and words, with their counts in training texts, are
-added up over the corpus; the grams' code lengths and the words' counts go back to the chunks that hold them, and there
-each text adds up its own. So no table of all grams or words is ever in one task, however large it gets.
+added up over the corpus; the grams' code lengths, and the counts of words that other chunks have too, go back to the
+chunks that hold them, and there each text adds up its own. So no table of all grams or words is ever in one task,
+however large it gets.
 
 Training rows are scored with what they themselves have given to the counts, as in the base score.
 
@@ -25,6 +26,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.window import Window
@@ -38,7 +40,7 @@ SYMBOLS = 257
 #: Symbols of no UTF-8 text: what stands before a text, and its end.
 START, END = 0xFE, 0xFF
 #: Bytes of text whose grams and words are counted at once, and of what is worked on at once.
-CHUNK_TEXT, BLOCK = 16 << 20, 1 << 20
+CHUNK_TEXT, BLOCK = 32 << 20, 1 << 20
 TOKEN = np.ones(256, bool)
 TOKEN[[9, 10, 11, 12, 13, 32]] = False
 #: Words are known by two hashes, grams by their bytes and this in place of the second one. The end of a text is a word of its own.
@@ -83,33 +85,37 @@ def _counted(k1: np.ndarray, k2: np.ndarray, n: np.ndarray) -> tuple[np.ndarray,
 
 
 def read(docs: DataFrame, order: int = ORDER, chunk_text: int = CHUNK_TEXT) -> DataFrame:
-    """Rows of texts: chunk, doc_id, held_out, text. Rows of what chunks hold: chunk, k1, k2 and n, the count in training texts. Written."""
+    """Rows of texts, a block of documents each: chunk, ids, held (not learned from), ends (of their texts in bytes) and texts (lower case, zstd).
+    Rows of what chunks hold: chunk, k1, k2 and n, the count in training texts. Written."""
     tune(docs.sparkSession)
     kind = docs.schema["doc_id"].dataType.simpleString()
-    names = ["chunk", "doc_id", "held_out", "text", "k1", "k2", "n"]
+    names = ["chunk", "ids", "held", "ends", "texts", "k1", "k2", "n"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        number, size, parts, id_type = TaskContext.get().partitionId() << 32, 0, [], pa.null()
+        number, size, parts, id_type, pack = TaskContext.get().partitionId() << 32, 0, [], pa.null(), zstandard.ZstdCompressor(level=6)
+        listed = lambda x: pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), x)
 
         def flush() -> Iterator[pa.RecordBatch]:
             k1, k2, n = _counted(*(np.concatenate(x) for x in zip(*parts, strict=True)))
             for i in range(0, len(k1), 1 << 16):
                 m = len(k1[i : i + (1 << 16)])
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(m, number)), pa.nulls(m, id_type), pa.nulls(m, pa.bool_()), pa.nulls(m, pa.string()), *(pa.array(x[i : i + m]) for x in (k1, k2, n))], names)
+                none = [pa.nulls(m, t) for t in (pa.list_(id_type), pa.list_(pa.bool_()), pa.list_(pa.int64()), pa.binary())]
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(m, number)), *none, *(pa.array(x[i : i + m]) for x in (k1, k2, n))], names)
 
         for batch in batches:
             data, offsets = buffers(batch.column("text"))
             id_type = batch.column("doc_id").type
             for i, j in chunks(offsets, BLOCK):
                 own, offs = LOWER[data[offsets[i] : offsets[j]]], offsets[i : j + 1] - offsets[i]
-                train = ~batch.column("held_out")[i:j].to_numpy(zero_copy_only=False)
+                held = batch.column("held_out")[i:j]
+                train = ~held.to_numpy(zero_copy_only=False)
                 grams, firsts = grams_of(own, offs, order)
                 # sorted with the training flag as the last bit, each gram's counts are two runs
                 flagged, n = np.unique(grams << 1 | np.repeat(train, np.diff(firsts)), return_counts=True)
                 a, b, per_row = token_keys(own, offs)
                 parts.append(_counted(np.concatenate([flagged >> 1, a, [TEXT_END[0]]]), np.concatenate([np.full(len(flagged), GRAM), b, [TEXT_END[1]]]), np.concatenate([n * (flagged & 1), np.repeat(train, per_row), [int(train.sum())]]).astype(np.int64)))
-                m = j - i
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(m, number)), *(batch.column(c)[i:j] for c in ("doc_id", "held_out", "text")), *(pa.nulls(m, pa.int64()) for _ in range(3))], names)
+                row = [listed(batch.column("doc_id")[i:j]), listed(held), listed(pa.array(offs[1:])), pa.array([pack.compress(own.tobytes())], pa.binary())]
+                yield pa.RecordBatch.from_arrays([pa.array([number]), *row, *(pa.nulls(1, pa.int64()) for _ in range(3))], names)
                 size += int(offsets[j] - offsets[i])
                 if size >= chunk_text:
                     yield from flush()
@@ -118,7 +124,26 @@ def read(docs: DataFrame, order: int = ORDER, chunk_text: int = CHUNK_TEXT) -> D
             yield from flush()
 
     rows = docs.select("doc_id", held_out().alias("held_out"), "text")
-    return stored(rows.mapInArrow(run, f"chunk long, doc_id {kind}, held_out boolean, text string, k1 long, k2 long, n long"))
+    return stored(rows.mapInArrow(run, f"chunk long, ids array<{kind}>, held array<boolean>, ends array<long>, texts binary, k1 long, k2 long, n long"))
+
+
+def shared_words(tokens: DataFrame) -> tuple[DataFrame, int, int]:
+    """From words of chunks (chunk, k1, k2, n): the words that several chunks have, with their count in all (chunk, k1, k2, value), written; the count of all words, and the number of different ones, in training."""
+    same = Window.partitionBy("k1", "k2")  # a row for each chunk at most
+    rows = tokens.select("chunk", "k1", "k2", "n", F.sum("n").over(same).alias("total"), (F.col("chunk") == F.min("chunk").over(same)).alias("first"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        many = different = 0
+        for batch in batches:
+            n, total, first = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("n", "total", "first"))
+            many, different = many + int(n.sum()), different + int((first & (total > 0)).sum())
+            other = pa.array(total != n)
+            yield pa.RecordBatch.from_arrays([batch.column(c).filter(other) for c in ("chunk", "k1", "k2", "total")] + [pa.nulls(int((total != n).sum()), pa.int64())], ["chunk", "k1", "k2", "value", "different"])
+        yield pa.RecordBatch.from_arrays([pa.nulls(1, pa.int64()) for _ in range(3)] + [pa.array([many]), pa.array([different])], ["chunk", "k1", "k2", "value", "different"])
+
+    found = stored(rows.mapInArrow(run, "chunk long, k1 long, k2 long, value long, different long"))
+    many, different = found.where("chunk is null").agg(F.coalesce(F.sum("value"), F.lit(0)), F.coalesce(F.sum("different"), F.lit(0))).first()
+    return found.where("chunk is not null").select("chunk", "k1", "k2", "value"), many, different
 
 
 def code_lengths(grams: DataFrame, order: int = ORDER) -> DataFrame:
@@ -145,24 +170,30 @@ def code_lengths(grams: DataFrame, order: int = ORDER) -> DataFrame:
     return rows.select("g", value.alias("value"))
 
 
-def _found(keys: np.ndarray, checks: np.ndarray, k1: np.ndarray, k2: np.ndarray) -> np.ndarray:
-    """Places of pairs in sorted pairs that hold them all."""
-    at = np.searchsorted(keys, k1)
-    while len(wrong := np.flatnonzero(checks[at] != k2)):
-        at[wrong] += 1
-    return at
+def _places(keys: np.ndarray, checks: np.ndarray, k1: np.ndarray, k2: np.ndarray) -> np.ndarray:
+    """Places of pairs in sorted pairs, or -1."""
+    at, out, todo = np.searchsorted(keys, k1), np.full(len(k1), -1), np.arange(len(k1))
+    while len(todo):
+        p = at[todo]
+        inside = p < len(keys)
+        todo, p = todo[inside], p[inside]
+        like = keys[p] == k1[todo]
+        hit = like & (checks[p] == k2[todo])
+        out[todo[hit]] = p[hit]
+        todo = todo[like & ~hit]
+        at[todo] += 1
+    return out
 
 
 def score(docs: DataFrame, order: int = ORDER, chunk_text: int = CHUNK_TEXT) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score of every row of docs (doc_id, text)."""
     parts = read(docs, order, chunk_text)
     items = parts.where("k1 is not null").select("chunk", "k1", "k2", "n")
-    counts = stored(items.groupBy("k1", "k2").agg(F.sum("n").alias("n")))
-    tokens, grams = counts.where(F.col("k2") != GRAM), counts.where(F.col("k2") == GRAM)
-    total, different = tokens.where("n > 0").agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
-    lengths = code_lengths(grams.select(F.col("k1").alias("g"), "n"), order).select(F.col("g").alias("k1"), F.lit(GRAM).cast("long").alias("k2"), "value")
-    values = lengths.unionByName(tokens.select("k1", "k2", F.col("n").cast("double").alias("value")))
-    own = items.select("chunk", "k1", "k2").join(values, ["k1", "k2"]).select(F.col("chunk").alias("of"), "k1", "k2", "value")
+    grams = items.where(F.col("k2") == GRAM)
+    lengths = code_lengths(grams.groupBy(F.col("k1").alias("g")).agg(F.sum("n").alias("n")), order)
+    shared, total, different = shared_words(items.where(F.col("k2") != GRAM))
+    own = grams.select("chunk", F.col("k1").alias("g")).join(lengths, "g").select(F.col("chunk").alias("of"), F.col("g").alias("k1"), F.lit(GRAM).cast("long").alias("k2"), "value")
+    own = own.unionByName(shared.select(F.col("chunk").alias("of"), "k1", "k2", F.col("value").cast("double").alias("value")))
     floor = total + 0.1 * (different + 1)
 
     def sums(left: pa.Table, right: pa.Table) -> pa.Table:
@@ -172,27 +203,46 @@ def score(docs: DataFrame, order: int = ORDER, chunk_text: int = CHUNK_TEXT) ->
         gram = k2 == GRAM
         g, lengths = k1[gram], value[gram]
         k1, k2, value = k1[~gram], k2[~gram], value[~gram]
-        logs = np.log10((value + 0.1) / floor)
-        end = int(_found(k1, k2, np.array([TEXT_END[0]]), np.array([TEXT_END[1]]))[0])
+        unpack = zstandard.ZstdDecompressor()
+
+        def blocks() -> Iterator[tuple]:
+            for i in range(len(left)):
+                ids, held, ends, raw = (left[c].chunk(0)[i] if left[c].num_chunks == 1 else left[c][i] for c in ("ids", "held", "ends", "texts"))
+                data = np.frombuffer(unpack.decompress(raw.as_py()), np.uint8)
+                yield ids.values, held.values, data, np.concatenate([[0], ends.values.to_numpy()])
+
+        # words that no other chunk has: their counts are those of this chunk's training texts
+        alone = [(np.zeros(0, np.int64),) * 3]
+        ends_in_training = 0
+        for _, held, data, offs in blocks():
+            train = ~held.to_numpy(zero_copy_only=False)
+            a, b, per_row = token_keys(data, offs)
+            new = _places(k1, k2, a, b) < 0
+            alone.append(_counted(a[new], b[new], np.repeat(train, per_row)[new].astype(np.int64)))
+            ends_in_training += int(train.sum())
+        own1, own2, count = _counted(*(np.concatenate(x) for x in zip(*alone, strict=True)))
+        end = _places(k1, k2, np.array([TEXT_END[0]]), np.array([TEXT_END[1]]))[0]
+        end = value[end] if end >= 0 else float(ends_in_training)
+        log = lambda c: np.log10((c + 0.1) / floor)
         out = []
-        for batch in left.to_batches(max_chunksize=4096):
-            data, offsets = buffers(batch.column("text"))
-            for i, j in chunks(offsets, BLOCK):
-                low, offs = LOWER[data[offsets[i] : offsets[j]]], offsets[i : j + 1] - offsets[i]
-                grams, firsts = grams_of(low, offs, order)
-                model = np.add.reduceat(lengths[np.searchsorted(g, grams)], firsts[:-1])
-                a, b, per_row = token_keys(low, offs)
-                at = _found(k1, k2, a, b)
-                row = np.repeat(np.arange(j - i), per_row)
-                base = np.bincount(row, logs[at], j - i) + logs[end]
-                known = np.bincount(row, value[at] > 0, j - i).astype(np.int64) + (value[end] > 0)
-                out.append((batch.column("doc_id")[i:j], batch.column("held_out")[i:j], per_row + 1, known, base, model))
+        for ids, held, data, offs in blocks():
+            grams, firsts = grams_of(data, offs, order)
+            a, b, per_row = token_keys(data, offs)
+            at = _places(k1, k2, a, b)
+            model = np.add.reduceat(lengths[np.searchsorted(g, grams)], firsts[:-1])
+            c = np.zeros(len(a))
+            c[at >= 0] = value[at[at >= 0]]
+            c[at < 0] = count[_places(own1, own2, a[at < 0], b[at < 0])]
+            row = np.repeat(np.arange(len(ids)), per_row)
+            base = np.bincount(row, log(c), len(ids)) + log(end)
+            known = np.bincount(row, c > 0, len(ids)).astype(np.int64) + (end > 0)
+            out.append((ids, held, per_row + 1, known, base, model))
         ids, held, *rest = zip(*out, strict=True)
         n, known, base, model = (pa.array(np.concatenate(x)) for x in rest)
         return pa.table({"doc_id": pa.concat_arrays(ids), "held_out": pa.concat_arrays(held), "n_tokens": n, "n_known": known, "train_tokens": pa.array(np.full(len(n), total)), "base_score": base, "score": model})
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    rows = parts.where("k1 is null").select("chunk", "doc_id", "held_out", "text")
+    rows = parts.where("k1 is null").select("chunk", "ids", "held", "ends", "texts")
     return rows.groupBy("chunk").cogroup(own.groupBy("of")).applyInArrow(sums, f"doc_id {kind}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
 
 
