@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.window import Window
 
 from ..functions import geometry as G, text as X
-from ..operators import boxes as B, claims as C, joins as J, reading as O
+from ..operators import boxes as B, callouts as K, claims as C, joins as J, phrases as H, reading as O
 from ..registry import query
 from .text_queries import direction_sql
 
@@ -267,14 +267,25 @@ def _(t):
     return pairs.withColumn("rn", F.row_number().over(w)).where("rn = 1").select(F.col("a_token_key").alias("note_key"), F.col("b_token_key").alias("value_key"))
 
 
-@query("fuse_phrases", "SELECT drawing_id, col, isl, string_agg(text, ' ' ORDER BY cy, token_key) AS phrase FROM (SELECT *, CAST(sum(b) OVER (PARTITION BY drawing_id, col ORDER BY cy, token_key ROWS UNBOUNDED PRECEDING) AS BIGINT) AS isl FROM (SELECT *, CAST(floor(cx / 30) AS BIGINT) AS col, CASE WHEN cy - lag(cy) OVER (PARTITION BY drawing_id, floor(cx / 30) ORDER BY cy, token_key) > 60 THEN 1 ELSE 0 END AS b FROM token WHERE text IN ('M10x1.5', '(08)'))) GROUP BY 1, 2, 3 HAVING count(*) > 1")
+@query("fuse_phrases")
 def _(t):
-    """Fragments below each other in a column, with gaps up to 60 px, make a phrase."""
-    k = t.token.where("text in ('M10x1.5', '(08)')").withColumn("col", F.floor(F.col("cx") / 30))
-    w = Window.partitionBy("drawing_id", "col").orderBy("cy", "token_key")
-    k = k.withColumn("b", F.when(F.col("cy") - F.lag("cy").over(w) > 60, 1).otherwise(0)).withColumn("isl", F.sum("b").over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    g = k.groupBy("drawing_id", "col", "isl").agg(F.sort_array(F.collect_list(F.struct("cy", "token_key", "text"))).alias("l"))
-    return g.where(F.size("l") > 1).select("drawing_id", "col", "isl", F.array_join("l.text", " ").alias("phrase"))
+    """Phrases that stand in several marks below each other."""
+    return H.fuse(t.mark, "drawing_id", "mark_key").select("drawing_id", "mark_key", "phrase", "n", "x1", "y1", "x2", "y2")
+
+
+@query("callout_groups")
+def _(t):
+    """Callouts of all kinds by their passes: structured, qualified, diameters, chamfers, tolerances, limits, radii, angles, threads, words, and what is left."""
+    return K.callouts(t.mark, "drawing_id", "mark_key").select("drawing_id", "pass", "kind", "text", F.element_at("members", 1).alias("mark_key"), F.size("members").alias("n"))
+
+
+@query("suffix_inherit")
+def _(t):
+    """Balloons with a letter take the value of the balloon without it, and what they had moves on. A label's value is that of the mark after it."""
+    number = F.concat(F.regexp_replace("text", "[()]", ""), F.when(F.col("mark_key") % 8 == 1, "A").when(F.col("mark_key") % 8 == 3, "B").otherwise(""))
+    after = t.mark.select((F.col("mark_key") - 1).alias("mark_key"), F.col("text").alias("value"))
+    labels = t.mark.where(F.col("text").rlike(LABEL)).join(after, "mark_key", "left")
+    return H.inherit_suffixes(labels.select("drawing_id", "mark_key", number.alias("number"), F.coalesce("value", F.lit("NO_DIMENSION")).alias("value"), "conf", F.col("cx").alias("x"), F.col("cy").alias("y"), F.lit(12.0).alias("radius")), "drawing_id", "mark_key")
 
 
 @query("leftover_singletons", f"SELECT token_key, drawing_id, text FROM token WHERE length(trim(text)) > 1 AND token_key NOT IN (SELECT value_key FROM ({_TOL}) UNION SELECT tolerance_key FROM ({_TOL}))")
