@@ -12,11 +12,12 @@ from ..registry import query
 from .text_queries import value_match_sql
 
 
-def suggestions(emails, threshold: float = 0.7):
-    """Scored candidate pairs of mails (a new one, b converted): same thread, direct or reverse reply, by equi-joins."""
+def suggestions(emails, threshold: float = 0.7, arrived=None):
+    """Scored candidate pairs of mails (a new one, b converted): same thread, direct or reverse reply, by equi-joins. a is any mail, or one of those that `arrived` (message_id)."""
     thread = F.coalesce("in_reply_to", "message_id")
     own = emails.select("message_id", "in_reply_to", thread.alias("thread"), X.clean_subject(F.col("subject")).alias("clean"), "from_email", "received_hour", "converted_task")
-    a = own.select(*[F.col(c).alias(f"a_{c}") for c in own.columns])
+    new = own if arrived is None else own.join(arrived.select("message_id").distinct(), "message_id", "left_semi")
+    a = new.select(*[F.col(c).alias(f"a_{c}") for c in own.columns])
     b = own.where("converted_task is not null").select(*[F.col(c).alias(f"b_{c}") for c in own.columns])
     pairs = J.or_join(a, b, [("a_thread", "b_thread"), ("a_message_id", "b_in_reply_to"), ("a_in_reply_to", "b_message_id")], [*a.columns, *b.columns]).where("a_message_id <> b_message_id")
     base = F.when(F.col("a_in_reply_to") == F.col("b_message_id"), 0.8).when(F.col("b_in_reply_to") == F.col("a_message_id"), 0.8).when(F.col("a_thread") == F.col("b_thread"), 0.7).otherwise(0.0)

@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, functions as F
 from ..operators import filters as B
 from ..operators.lineage import shared_dir
 from ..registry import query
+from ..sources import log_tail
 from ..streaming import mail
 from .matching_queries import _PAIRS, suggestions
 
@@ -55,8 +56,7 @@ def _(t):
     kept = t.email
 
     def suggest(batch: DataFrame, n: int) -> None:
-        new = batch.select("message_id").withColumnRenamed("message_id", "a_id")
-        s = suggestions(kept).select(F.col("a_message_id").alias("a_id"), F.col("b_message_id").alias("b_id"), "score", F.col("b_received_hour").alias("hour")).join(new, "a_id", "left_semi")
+        s = suggestions(kept, arrived=batch).select(F.col("a_message_id").alias("a_id"), F.col("b_message_id").alias("b_id"), "score", F.col("b_received_hour").alias("hour"))
         B.first_of_each(s, ["a_id"], [F.desc("score"), "hour", "b_id"]).select("a_id", "b_id").write.mode("overwrite").parquet(f"{path}/out/batch={n}")
 
     mail.run(_mails(t), path, suggest)
@@ -74,6 +74,29 @@ def _(t):
     return states.groupBy("email_key").agg(F.max_by("state", "batch").alias("state"))
 
 
+@query("stream_notifications_expiring", "SELECT email_key, max(created) > (SELECT max(created) FROM notification) - INTERVAL 1 HOUR - INTERVAL 7 DAY AS active FROM notification WHERE email_key IS NOT NULL GROUP BY 1")
+def _(t):
+    """Whether a mail's state is still kept at the end: it goes when nothing came for seven days of event time."""
+    path = shared_dir(t.spark)
+    kind = F.when(F.col("event_type") == "purchase", "RelatedEmail").when(F.col("event_type") == "view", "NewEmail").otherwise("TaskDue")
+    events = _stream(t, "events").select(F.col("user_id").alias("email_key"), kind.alias("notification_type"), "ts")
+    with mail.rocks(t.spark):
+        mail.run(mail.expiring_states(events), path, mail.by_batch(path), "update")
+    states = t.spark.read.schema("email_key long, state string, last long, batch long").parquet(f"{path}/out")
+    return states.groupBy("email_key").agg((F.max_by("state", F.struct("batch", F.col("state") == mail.EXPIRED)) != mail.EXPIRED).alias("active"))
+
+
+@query("log_tail_stream", "SELECT seq, request_id, level, step_name, ms FROM log_event WHERE seq > 100 AND level <> 'INFO'")
+def _(t):
+    """Log segments tailed by sequence number, five a run; the last run finds nothing new."""
+    logs, path = shared_dir(t.spark), shared_dir(t.spark)
+    log_tail.write_segments(t.log_event, logs, 12)
+    log_tail.register(t.spark)
+    for _ in range(4):
+        mail.run(t.spark.readStream.format("log_tail").option("path", logs).option("since", 100).option("segments", 5).load(), path)
+    return t.spark.read.schema(log_tail.SCHEMA).parquet(f"{path}/out").where("level <> 'INFO'")
+
+
 @query("stream_windows", "SELECT time_bucket(INTERVAL 1 HOUR, ts) AS start, event_type, count(*) AS n FROM events GROUP BY 1, 2")
 def _(t):
     path = shared_dir(t.spark)
