@@ -35,7 +35,7 @@ FAMILY = {code: name for name, codes in FAMILIES.items() for code in codes.split
 
 DIMENSIONS = 1 << 14
 #: Bound of the training sample, over all languages.
-SAMPLE_ROWS = 2400
+SAMPLE_ROWS, LEAST_ROWS = 2400, 20
 
 
 def grams(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -191,16 +191,21 @@ def _limits(distinct: DataFrame, each: int) -> DataFrame:
 
 
 def train(docs: DataFrame, sample_rows: int = SAMPLE_ROWS) -> Model:
-    """Fits on at most `sample_rows` distinct texts of `docs` (text, lang), as many of each language; null langs don't count.
+    """Fits on at most `sample_rows` distinct texts of `docs` (text, lang), as many of each language; null langs don't count. Of more
+    than sample_rows / LEAST_ROWS values of lang, those with the most different texts are learned, so the driver fits a bounded number of SVMs.
 
     The sample is the texts with the least hashes, so that it depends neither on row order nor on how often a text is repeated.
     """
     tune(docs.sparkSession)
     rows = docs.where("lang is not null and text is not null").select("lang", "text", F.xxhash64("text").alias("__h"))
     distinct = stored(rows.groupBy("lang", "__h").count().select("lang", "__h", F.hash("__h").alias("__rank")))
-    each = max(20, sample_rows // max(1, distinct.select("lang").distinct().count()))
+    # languages by the number of their texts, as many as a sample has room for
+    most = distinct.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(max(1, sample_rows // LEAST_ROWS)).select("lang")
+    most = stored(most)
+    distinct = distinct.join(F.broadcast(most), "lang")
+    each = max(LEAST_ROWS, sample_rows // max(1, most.count()))
     chosen = distinct.join(F.broadcast(_limits(distinct, each)), "lang").where(F.col("__rank") <= F.col("__limit")).select("lang", "__h")
-    # at most `sample_rows` keys (or 20 for each language), but for equal ranks: a bounded broadcast
+    # at most `sample_rows` keys, but for equal ranks: a bounded broadcast
     sample = rows.join(F.broadcast(chosen), ["lang", "__h"]).dropDuplicates(["lang", "__h"])
     got = sample.select("lang", "text").mapInArrow(_vectors, "lang string, at binary, v binary").collect()
     got.sort(key=lambda r: (r.lang, bytes(r.at), bytes(r.v)))
