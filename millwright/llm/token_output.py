@@ -1,6 +1,7 @@
 """Token-id output in training order: a keyed Feistel permutation gives every sequence a global slot, range partitions write fixed-stride shards.
 
-The documents' ids, each with an end id, are one stream, cut into sequences of `length` ids; the last one is padded
+The documents' ids, each with an end id, are one stream, in the order of the input files' names and of the rows in them, however
+the files are split (rows that come from no file: in the order of their tasks). It is cut into sequences of `length` ids; the last one is padded
 with the end id. Sequence s gets slot P(s), where P is a Feistel network over the next power of four, walked along its
 cycle until it is below the number of sequences. Shards hold `per_shard` slots one after another as little-endian
 unsigned integers of 2 bytes (4 for larger vocabularies): slot s is at byte (s mod per_shard) * stride of shard
@@ -70,24 +71,38 @@ class Permutation:
                 return slot
 
 
+#: Where a run of documents stands in the stream: the file, the place in it where its block begins, and, without files, the task.
+PLACE = ["__file", "__at", "__part"]
+
+
 def token_table(docs: DataFrame, vocabulary: str, end_id: int = END_ID) -> DataFrame:
-    """The stream of ids in runs of some documents: __part (the task), before (ids before the run in it), n and ids (zstd of 4-byte integers by bytes); written."""
+    """The stream of ids in runs of some documents: PLACE, before (ids before the run in its block), n and ids (zstd of 4-byte integers by bytes); written."""
     tune(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own, pack, at = tokenizer(vocabulary), zstandard.ZstdCompressor(level=6), 0
+        own, pack, at, place = tokenizer(vocabulary), zstandard.ZstdCompressor(level=6), 0, None
         for batch in batches:
             data, offsets = buffers(batch.column("text"))
-            for i, j in chunks(offsets, 4 << 20):
-                flat, counts = own.ids(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
-                ids = np.insert(flat, np.cumsum(counts), end_id)
-                # low bytes first, then high ones: ids pack better so
-                raw = np.ascontiguousarray(ids.astype("<u4").view(np.uint8).reshape(-1, 4).T).tobytes()
-                yield pa.RecordBatch.from_arrays([batch.column("__part")[i : i + 1], pa.array([at]), pa.array([len(ids)]), pa.array([pack.compress(raw)], pa.binary())], ["__part", "before", "n", "ids"])
-                at += len(ids)
-
-    rows = docs.select("text", F.spark_partition_id().alias("__part"))
-    return stored(rows.mapInArrow(run, "__part int, before long, n long, ids binary"), "uncompressed")
+            where = list(zip(*(batch.column(c).to_pylist() for c in PLACE), strict=True))
+            cuts = [k for k in range(1, len(where)) if where[k] != where[k - 1]]
+            for first, last in zip([0, *cuts], [*cuts, len(where)], strict=True):
+                if first == last:
+                    continue
+                if where[first] != place:
+                    place, at = where[first], 0
+                for i, j in chunks(offsets[first : last + 1], 4 << 20):
+                    i, j = i + first, j + first
+                    flat, counts = own.ids(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
+                    ids = np.insert(flat, np.cumsum(counts), end_id)
+                    # low bytes first, then high ones: ids pack better so
+                    raw = np.ascontiguousarray(ids.astype("<u4").view(np.uint8).reshape(-1, 4).T).tobytes()
+                    yield pa.RecordBatch.from_arrays([*(batch.column(c)[i : i + 1] for c in PLACE), pa.array([at]), pa.array([len(ids)]), pa.array([pack.compress(raw)], pa.binary())], [*PLACE, "before", "n", "ids"])
+                    at += len(ids)
+
+    # a task reads blocks of several files, and which ones depends on how the input is split; the place in a file doesn't
+    file = F.input_file_name()
+    rows = docs.select("text", file.alias("__file"), F.input_file_block_start().alias("__at"), F.when(file == "", F.spark_partition_id()).otherwise(0).alias("__part"))
+    return stored(rows.mapInArrow(run, "__file string, __at long, __part int, before long, n long, ids binary"), "uncompressed")
 
 
 def unpack(ids: bytes) -> np.ndarray:
@@ -106,11 +121,11 @@ def write(docs: DataFrame, path: str, vocabulary: str | None = None, length: int
     spark = docs.sparkSession
     vocabulary = vocabulary or default_vocabulary()
     tokens = token_table(docs, vocabulary, end_id)
-    # ids before each task's first one: the parts are the tasks of the scan, a number for each
-    parts = sorted(tokens.groupBy("__part").agg(F.sum("n").alias("n")).collect(), key=lambda r: r["__part"])
+    # ids before each block's first one: a number for each block of the scan
+    parts = sorted((tuple(r[c] for c in PLACE), r["n"]) for r in tokens.groupBy(*PLACE).agg(F.sum("n").alias("n")).collect())
     base, total = {}, 0
-    for r in parts:
-        base[r["__part"]], total = total, total + r["n"]
+    for place, n in parts:
+        base[place], total = total, total + n
     n = -(-total // length)
     width = 2 if _vocabulary_size(vocabulary) <= 1 << 16 else 4
     stride = length * width
@@ -122,8 +137,8 @@ def write(docs: DataFrame, path: str, vocabulary: str | None = None, length: int
         pack = zstandard.ZstdCompressor(level=6)
         for batch in batches:
             out: list[list] = [[], [], [], []]
-            for part, before, ids in zip(*(batch.column(c).to_pylist() for c in ("__part", "before", "ids")), strict=True):
-                own, at = unpack(ids).astype(kind), base[part] + before
+            for *place, before, ids in zip(*(batch.column(c).to_pylist() for c in (*PLACE, "before", "ids")), strict=True):
+                own, at = unpack(ids).astype(kind), base[tuple(place)] + before
                 end = at + len(own)
                 for s in range(at // length, -(-end // length)):
                     a, b = max(at, s * length), min(end, (s + 1) * length)
@@ -132,7 +147,7 @@ def write(docs: DataFrame, path: str, vocabulary: str | None = None, length: int
                         column.append(v)
             yield pa.RecordBatch.from_arrays([*(pa.array(c, pa.int64()) for c in out[:3]), pa.array(out[3], pa.binary())], ["slot", "sequence", "start", "ids"])
 
-    pieces = tokens.select("__part", "before", "ids").mapInArrow(cut, "slot long, sequence long, start long, ids binary")
+    pieces = tokens.select(*PLACE, "before", "ids").mapInArrow(cut, "slot long, sequence long, start long, ids binary")
     shards = -(-n // per_shard)
     pieces = pieces.withColumn("shard", F.floor(F.col("slot") / per_shard).cast("int"))
     # a shard is a range of slots, of a fixed number of bytes, and so is a task of one or a few
