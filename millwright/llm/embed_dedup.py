@@ -111,7 +111,7 @@ def forest(n: int, i: np.ndarray, j: np.ndarray, ids: np.ndarray) -> tuple[np.nd
 
 
 def _compare(dealt: DataFrame, threshold: float) -> DataFrame:
-    """dealt: rows (key, lo, hi, blk, tbl, uid, size, vec, codes), sorted by key, lo, hi inside partitions."""
+    """dealt: rows (label, tbl, code, lo, hi, blk, uid, size, vec, codes), sorted by the first five inside partitions."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, name = [], None
@@ -127,8 +127,8 @@ def _compare(dealt: DataFrame, threshold: float) -> DataFrame:
                 size = np.array([r[1] for r in rows])
                 vecs = np.frombuffer(b"".join(r[2] for r in rows), np.float64).reshape(len(rows), -1)
                 codes = np.array([r[3] for r in rows], np.int32)
-                side = np.array([int(r[4] != name[1]) for r in rows])
-                if name[1] != name[2] and not (side.any() and (side == 0).any()):
+                side = np.array([int(r[4] != name[0]) for r in rows])
+                if name[0] != name[1] and not (side.any() and (side == 0).any()):
                     continue
                 i, j = linked(ids, vecs, codes, side, held[0][5], threshold)
                 if not len(i):
@@ -144,7 +144,7 @@ def _compare(dealt: DataFrame, threshold: float) -> DataFrame:
         for batch in batches:
             cols = batch.to_pydict()
             for k in range(len(batch)):
-                own = (cols["key"][k], cols["lo"][k], cols["hi"][k])
+                own = (cols["lo"][k], cols["hi"][k], cols["label"][k], cols["tbl"][k], cols["code"][k])
                 if own != name:
                     if name is not None:
                         yield from done()
@@ -167,14 +167,15 @@ def near_duplicates(vectors: DataFrame, vec_id: str = "vec_id", embedding: str =
     reps = stored(reps)
     bits, tables = bits_and_tables(reps.count(), threshold, recall)
     reps = stored(_codes(reps.select("uid", "label", "size", "vec"), bits, tables))
-    buckets = reps.select("uid", F.posexplode("codes").alias("tbl", "code"), "label").select("uid", "tbl", F.xxhash64("label", "tbl", "code").alias("key"))
-    counts = buckets.groupBy("key").count().where("count > 1")
+    key = ["label", "tbl", "code"]
+    buckets = reps.select("uid", F.posexplode("codes").alias("tbl", "code"), "label")
+    counts = buckets.groupBy(*key).count().where("count > 1")
     # (uid, block) of the full buckets first; the vectors follow once
-    dealt = buckets.join(counts, "key").withColumn("n", F.ceil(F.col("count") / BLOCK).cast("int"))
+    dealt = buckets.join(counts, key).withColumn("n", F.ceil(F.col("count") / BLOCK).cast("int"))
     dealt = dealt.withColumn("blk", F.pmod(F.hash("uid"), F.col("n"))).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("n") - 1)))
-    dealt = dealt.select("uid", "tbl", "key", "blk", F.least("blk", "other").alias("lo"), F.greatest("blk", "other").alias("hi"))
+    dealt = dealt.select("uid", *key, "blk", F.least("blk", "other").alias("lo"), F.greatest("blk", "other").alias("hi"))
     dealt = dealt.join(reps.select("uid", "size", "vec", "codes"), "uid")
-    dealt = dealt.repartition(*[F.col(c) for c in ("key", "lo", "hi")]).sortWithinPartitions("key", "lo", "hi")
+    dealt = dealt.repartition(*[F.col(c) for c in (*key, "lo", "hi")]).sortWithinPartitions(*key, "lo", "hi")
     found = stored(_compare(dealt, threshold))
     links = found.groupBy("uid").agg(F.sum("links").alias("links"))
     roots = components(found.where("root is not null").select(F.col("uid").alias("u"), F.col("root").alias("v")))
