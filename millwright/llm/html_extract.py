@@ -222,7 +222,7 @@ def text_of(node: Node, gone: frozenset | set = frozenset(), skip_dropped: bool
     while todo:
         x = todo.pop()
         if isinstance(x, str):
-            out.append(x)
+            out.append(entities.unescape(x))  # a reference ends where its text does
         elif (x.drop and skip_dropped and x is not node) or (gone and x.hash in gone):
             out.append(" ")
         else:
@@ -230,7 +230,7 @@ def text_of(node: Node, gone: frozenset | set = frozenset(), skip_dropped: bool
                 todo.append(" ")
                 out.append(" ")
             todo.extend(reversed(x.parts))
-    return " ".join(entities.unescape("".join(out)).split())
+    return " ".join("".join(out).split())
 
 
 def _walk(node: Node) -> Iterator[Node]:

@@ -73,3 +73,8 @@ def test_long_texts_and_columns_of_any_name(spark):
     rows = [(1, "word " * 60_000, 7, "a"), (2, "x" * 200_000, 8, "b")]
     docs = spark.createDataFrame(rows, "doc_id long, text string, __others int, __k1 string")
     assert pii.report(docs).count() == 2 and bagminhash.keep_one(docs).columns == docs.columns and packing.pack_documents(docs).agg(F.sum("length")).first()[0] > 60_000
+
+
+def test_references_do_not_reach_over_tags():
+    text = lambda page: html_extract.text_of(html_extract.parse(page))
+    assert text("<p>AT&am<b>p;T</b> &lt;i&gt; &amp;amp; a &nbsp; b</p>") == "AT&amp;T <i> &amp; a b" and text("<p>x &l<i>t;</i></p>") == "x &lt;"
