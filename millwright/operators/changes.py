@@ -5,9 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 
-def upsert(base: DataFrame, incoming: DataFrame, key: str, cols: list[str]) -> DataFrame:
-    """Incoming values replace stored ones unless they are null or empty; new keys are added."""
-    new = incoming.select(key, *[F.col(c).alias(f"__{c}") for c in cols])
+def upsert(base: DataFrame, incoming: DataFrame, key: str, cols: list[str], order: str | None = None) -> DataFrame:
+    """Incoming values replace stored ones unless they are null or empty; new keys are added. Of several incoming rows of a key the
+    last in `order` counts (without one, or of equal ones, that of the greatest values), so no key gets a second row; stored keys are unique."""
+    row = F.struct(*[F.col(c).alias(f"__{c}") for c in cols])
+    last = F.max(F.struct(F.col(order).alias("o"), row.alias("r")) if order else F.struct(row.alias("r")))
+    new = incoming.groupBy(key).agg(last.alias("__last")).select(key, "__last.r.*")
     keep = lambda c: F.coalesce(F.when(F.col(f"__{c}").cast("string") != "", F.col(f"__{c}")), F.col(c)).alias(c)
     return base.select(key, *cols).join(new, key, "full").select(key, *[keep(c) for c in cols])
 

@@ -119,8 +119,10 @@ FROM lineitem""",
     # marks of drawings with boxes of all sizes and texts of all classes; raw is the text as a bad reader gives it
     "mark": """
 SELECT mark_key, drawing_id, text, cx, cy, conf, cx - w / 2 AS x1, cy - h / 2 AS y1, cx + w / 2 AS x2, cy + h / 2 AS y2,
-       CASE noise WHEN 0 THEN replace(text, 'Ø', 'Φ') WHEN 1 THEN replace(text, '°', 'º') WHEN 2 THEN replace(text, '.', '·') WHEN 3 THEN replace(text, 'Ø', '0')
-            WHEN 4 THEN concat('[', text, ' ') WHEN 5 THEN replace(text, '0', 'O') WHEN 6 THEN replace(text, 'x', ' X ') WHEN 7 THEN replace(text, '±', '+ -') ELSE text END AS raw
+       concat(CASE WHEN noise = 4 THEN '[' ELSE '' END,
+              replace(text, CASE noise WHEN 0 THEN 'Ø' WHEN 1 THEN '°' WHEN 2 THEN '.' WHEN 3 THEN 'Ø' WHEN 5 THEN '0' WHEN 6 THEN 'x' WHEN 7 THEN '±' ELSE '|' END,
+                      CASE noise WHEN 0 THEN 'Φ' WHEN 1 THEN 'º' WHEN 2 THEN '·' WHEN 3 THEN '0' WHEN 5 THEN 'O' WHEN 6 THEN ' X ' WHEN 7 THEN '+ -' ELSE '|' END),
+              CASE WHEN noise = 4 THEN ' ' ELSE '' END) AS raw
 FROM (SELECT o * 10 + n AS mark_key, CAST(floor(o / 64) AS BIGINT) AS drawing_id, text, noise, CAST((p * 7919 + n * 104729 + s * 31) % 3000 AS DOUBLE) AS cx,
              CAST((o * 613 + p * 271 + n * 1009) % 2000 AS DOUBLE) AS cy, conf, CAST(length(text) * CASE WHEN p % 97 = 0 THEN 96 ELSE 8 END AS DOUBLE) AS w, CAST(CASE WHEN p % 89 = 0 THEN 160 ELSE 16 END AS DOUBLE) AS h
       FROM (SELECT o, n, p, s, conf, s % 11 AS noise, CASE (p + n) % 12

@@ -29,9 +29,10 @@ def _(t):
     return rows.select("part_key", F.array_join("l.part_name", " > ").alias("crumb"))
 
 
-@query("level_columns", f"{_TREE} SELECT part_key, path[1] AS l1, path[2] AS l2, path[3] AS l3 FROM tr")
+@query("level_columns", f"{_TREE} SELECT part_key, path[1] AS l1, path[2] AS l2, path[3] AS l3, path[4] AS l4, path[5] AS l5, path[6] AS l6 FROM tr")
 def _(t):
-    return H.tree(t.bom, "part_key", "parent_key").select("part_key", *[F.get("path", F.lit(k)).alias(f"l{k + 1}") for k in range(3)])
+    """A column for each level that the tree has (six at the size that the SQL is for)."""
+    return H.level_columns(H.tree(t.bom, "part_key", "parent_key"), "part_key")
 
 
 @query("direct_parts", "SELECT p.part_key, count(*) AS children, count(*) FILTER (WHERE NOT EXISTS (SELECT 1 FROM bom g WHERE g.parent_key = c.part_key)) AS leaves FROM bom p JOIN bom c ON c.parent_key = p.part_key GROUP BY 1")

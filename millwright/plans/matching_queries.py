@@ -6,10 +6,10 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import text as X
-from ..operators import filters as B, joins as J, vector_index as V
+from ..operators import aggregates as A, filters as B, joins as J, vector_index as V
 from ..operators.vectors import nearest
 from ..registry import query
-from .text_queries import value_match_sql
+from .text_queries import dimension_sql, value_match_sql
 
 
 def suggestions(emails, threshold: float = 0.7, arrived=None):
@@ -57,6 +57,18 @@ def _(t):
     return t.ncr.groupBy("part_key", "stage", "engine").agg(F.count("*").alias("n")).where("n > 1")
 
 
+_ZONES = f"(SELECT mark_key, drawing_id, CAST(floor(cx / 500) AS BIGINT) AS zone, {dimension_sql('raw')} AS dim FROM mark)"
+
+
+@query("duplicate_groups", f"SELECT mark_key, dense_rank() OVER (ORDER BY drawing_id, zone, dim) AS group_id, n FROM (SELECT *, count(*) OVER (PARTITION BY drawing_id, zone, dim) AS n FROM {_ZONES} WHERE dim <> '') WHERE n > 1")
+def _(t):
+    """Marks of one drawing and zone that say the same after normalising, with the group's number and size."""
+    rows = t.mark.select("mark_key", "drawing_id", F.floor(F.col("cx") / 500).cast("long").alias("zone"), X.normalize_dimension(F.col("raw")).alias("dim")).where("dim <> ''")
+    groups = rows.groupBy("drawing_id", "zone", "dim").agg(F.count("*").alias("n")).where("n > 1")
+    numbered = A.number_rows(groups, "drawing_id", ["drawing_id", "zone", "dim"]).withColumnRenamed("number", "group_id")
+    return rows.join(numbered, ["drawing_id", "zone", "dim"]).select("mark_key", "group_id", "n")
+
+
 #: A JSON array, or a comma list without empty entries.
 _SERIALS = """CASE WHEN trim(serial_nos) LIKE '[%]' THEN CAST(from_json(serial_nos, '["VARCHAR"]') AS VARCHAR[]) ELSE list_filter(list_transform(string_split(serial_nos, ','), lambda x: trim(x)), lambda x: x <> '') END"""
 

@@ -92,6 +92,19 @@ def _(t):
 _BUCKET = "CASE WHEN planned_date = DATE '1998-06-01' THEN 'today' WHEN planned_date < DATE '1998-06-01' AND status_category <> 'Closed' THEN 'overdue' WHEN planned_date > DATE '1998-06-01' AND planned_date <= DATE '1998-06-08' THEN 'upcoming' END"
 
 
+_SLICES = "SELECT slice, number, demand_key, planned_date FROM (SELECT *, row_number() OVER (PARTITION BY slice ORDER BY planned_date, demand_key) AS number FROM (SELECT demand_key, planned_date, CASE WHEN planned_date > DATE '1998-06-01' THEN 'upcoming' WHEN planned_date < DATE '1998-06-01' THEN 'overdue' END AS slice FROM demand WHERE status_category <> 'Closed')) WHERE slice IS NOT NULL AND number <= CASE slice WHEN 'upcoming' THEN 5 ELSE 3 END"
+
+
+@query("day_slices", _SLICES)
+def _(t):
+    """The first five upcoming and the first three overdue demands that are open: a top n of each slice, not a window over all."""
+    day = F.to_date(F.lit("1998-06-01"))
+    rows = t.demand.where("status_category <> 'Closed'").select("demand_key", "planned_date")
+    first = lambda name, where, n: rows.where(where).orderBy("planned_date", "demand_key").limit(n).withColumn("slice", F.lit(name))
+    both = first("upcoming", F.col("planned_date") > day, 5).unionByName(first("overdue", F.col("planned_date") < day, 3))
+    return both.select("slice", F.row_number().over(Window.partitionBy("slice").orderBy("planned_date", "demand_key")).cast("long").alias("number"), "demand_key", "planned_date")
+
+
 @query("day_buckets", f"SELECT bucket, count(*) AS n FROM (SELECT {_BUCKET} AS bucket FROM demand) WHERE bucket IS NOT NULL GROUP BY bucket")
 def _(t):
     b = B.day_bucket(F.col("planned_date"), F.col("status_category") == "Closed", F.to_date(F.lit("1998-06-01")))
@@ -288,13 +301,17 @@ def _(t):
 _SERIALS = """CASE WHEN trim(serial_nos) LIKE '[%]' THEN CAST(from_json(serial_nos, '["VARCHAR"]') AS VARCHAR[]) ELSE list_filter(list_transform(string_split(serial_nos, ','), lambda x: trim(x)), lambda x: x <> '') END"""
 
 
-@query("usage_matrix", f"SELECT part_key, s AS serial, CASE WHEN bool_or(build_name = 'T0') THEN 'YES' ELSE 'NO' END AS t0, CASE WHEN bool_or(build_name = 'T1') THEN 'YES' ELSE 'NO' END AS t1 FROM (SELECT part_key, build_name, unnest({_SERIALS}) AS s FROM serial_text) GROUP BY 1, 2")
+@query("usage_matrix", f"SELECT part_key, s AS serial, "
+       + ", ".join(f"CASE WHEN bool_or(build_name = 'T{k}') THEN 'YES' ELSE 'NO' END AS t{k}" for k in range(4))
+       + f" FROM (SELECT part_key, build_name, unnest({_SERIALS}) AS s FROM serial_text) GROUP BY 1, 2")
 def _(t):
+    """A column for each build that there is."""
     from ..functions.text import parse_serials
 
-    rows = t.serial_text.select("part_key", "build_name", F.explode(parse_serials(F.col("serial_nos"))).alias("serial"))
-    yes = lambda b: F.when(F.max((F.col("build_name") == b).cast("int")) == 1, "YES").otherwise("NO")
-    return rows.groupBy("part_key", "serial").agg(yes("T0").alias("t0"), yes("T1").alias("t1"))
+    rows = t.serial_text.select("part_key", F.lower("build_name").alias("build"), F.explode(parse_serials(F.col("serial_nos"))).alias("serial"))
+    builds = [r.build for r in t.serial_text.select(F.lower("build_name").alias("build")).where("build is not null").distinct().orderBy("build").collect()]  # the columns of a matrix
+    wide = rows.groupBy("part_key", "serial").pivot("build", builds).agg(F.max(F.lit("YES")))
+    return wide.select("part_key", "serial", *[F.coalesce(F.col(f"`{b}`"), F.lit("NO")).alias(b) for b in builds])
 
 
 @query("next_sequence", "SELECT demand_key, line_no, CAST(coalesce((SELECT max(demand_key) FROM demand), 0) + row_number() OVER (ORDER BY demand_key, line_no, vendor_key, material_key) AS BIGINT) AS new_key FROM demand_item")
@@ -530,6 +547,19 @@ def _(t):
     return C.actions(old, new, "part_key", "revision", "qty")
 
 
+@query("audit_sink", f"SELECT b.part_key, CASE WHEN a.part_key IS NULL THEN 'Added' WHEN a.qty IS DISTINCT FROM b.qty THEN 'Toggled' ELSE 'Updated' END AS action, CAST(CASE WHEN a.part_key IS NULL THEN 1 ELSE 2 END AS BIGINT) AS batch FROM {_NEW} b LEFT JOIN {_OLD} a ON a.part_key = b.part_key WHERE a.part_key IS NULL OR a.qty IS DISTINCT FROM b.qty OR a.revision IS DISTINCT FROM b.revision")
+def _(t):
+    """Audit events appended batch by batch; a batch that is written again replaces itself."""
+    from ..operators.lineage import shared_dir
+    from ..sources.files import append_events, read_events
+
+    old, new = _sides(t)
+    found, path = C.actions(old, new, "part_key", "revision", "qty"), shared_dir(t.spark)
+    for batch, which in ((1, "action = 'Added'"), (2, "action <> 'Added'"), (2, "action <> 'Added'")):
+        append_events(found.where(which), path, batch)
+    return read_events(t.spark, path, found.schema).select("part_key", "action", "batch")
+
+
 @query("audit_diff", f"SELECT a.part_key, 'revision' AS column_name, a.revision AS old_value, b.revision AS new_value FROM {_OLD} a JOIN {_NEW} b ON a.part_key = b.part_key WHERE a.revision IS DISTINCT FROM b.revision UNION ALL SELECT a.part_key, 'qty', CAST(a.qty AS VARCHAR), CAST(b.qty AS VARCHAR) FROM {_OLD} a JOIN {_NEW} b ON a.part_key = b.part_key WHERE a.qty IS DISTINCT FROM b.qty")
 def _(t):
     return C.diff_rows(*_sides(t), "part_key", ["revision", "qty"])

@@ -88,3 +88,13 @@ def write_json(df: DataFrame, path: str) -> None:
 def write_groups(df: DataFrame, path: str, group: str) -> None:
     """A folder for each group, which stands for a sheet; a large group has several files."""
     df.write.partitionBy(group).option("header", True).option("escape", '"').csv(path)
+
+
+def append_events(events: DataFrame, path: str, batch: int) -> None:
+    """Appends audit events as one batch, in a folder of its own: written again, after a failure, it replaces itself and no other."""
+    events.write.mode("overwrite").parquet(f"{path}/batch={batch}")
+
+
+def read_events(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
+    """All batches of append_events(), with their numbers."""
+    return spark.read.schema(schema.add("batch", "long")).parquet(path)

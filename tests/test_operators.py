@@ -73,3 +73,12 @@ def test_nearest_vectors_of_all_queries(spark, monkeypatch):
     got = [(r.query_id, r.vec_id, round(r.dist, 6)) for r in vectors.nearest(df, df.where("vec_id % 100 = 0")).collect()]
     assert len(got) == len(want) and set(got) == want and len({q for q, _, _ in got}) > 5 and 800 not in {q for q, _, _ in got}
     assert "vector_search" in registry.queries()
+
+
+def test_upsert_keeps_keys_unique(spark):
+    from millwright.operators import changes as C
+
+    base = spark.createDataFrame([(1, "a", 1), (2, "b", 2)], "k int, v string, n int")
+    new = spark.createDataFrame([(1, "x", 5, 1), (1, "", 9, 2), (3, "c", None, 1), (3, "d", 7, 0)], "k int, v string, n int, at int")
+    assert sorted(map(tuple, C.upsert(base, new, "k", ["v", "n"], "at").collect())) == [(1, "a", 9), (2, "b", 2), (3, "c", None)]
+    assert C.upsert(base, new, "k", ["v", "n"]).count() == 3 and C.upsert(base, new.limit(0), "k", ["v", "n"]).count() == 2
