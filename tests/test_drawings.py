@@ -24,8 +24,8 @@ def test_boxes_of_all_sizes_meet_once(spark):
 
 def test_each_point_claims_the_best_box_left(spark):
     rng = np.random.default_rng(6)
-    points = [(k, int(rng.integers(3)), float(x), float(y)) for k, (x, y) in enumerate(rng.integers(0, 4000, (40, 2)))]
-    boxes = [(k, int(rng.integers(3)), float(x), float(y), float(x + rng.integers(5, 900)), float(y + 16), float(rng.choice([0, 250]) - 80 * rng.integers(0, 11) / 10)) for k, (x, y) in enumerate(rng.integers(0, 4000, (45, 2)))]
+    points = [(k, int(rng.integers(3)), float(x), float(y)) for k, (x, y) in enumerate(rng.integers(0, 2500, (30, 2)))]
+    boxes = [(k, int(rng.integers(3)), float(x), float(y), float(x + rng.integers(5, 900)), float(y + 16), float(rng.choice([0, 250]) - 80 * rng.integers(0, 11) / 10)) for k, (x, y) in enumerate(rng.integers(0, 2500, (34, 2)))]
     points += [(100, 7, 5.0, 5.0), (101, 8, 5.0, 5.0), (102, 8, 9e4, 9e4), (103, 0, None, 1.0)]
     boxes += [(100, 8, 0.0, 0.0, 1.0, 1.0, 0.0), (101, 9, 0.0, 0.0, 1.0, 1.0, 0.0)]
     taken, want = set(), {}
@@ -34,10 +34,10 @@ def test_each_point_claims_the_best_box_left(spark):
         if left:
             want[p] = min(left)[1]
             taken.add(want[p])
-    assert 102 not in want and 25 < len(want) < 44  # more points than boxes in a group
+    assert 102 not in want and 18 < len(want) < 33  # more points than boxes in a group
     df = spark.createDataFrame(points, "p int, g int, px double, py double").withColumn("rank", F.col("p"))
     bx = spark.createDataFrame(boxes, "b int, g int, x1 double, y1 double, x2 double, y2 double, extra double")
-    for start in (160.0, 10.0):
+    for start in (160.0, 1e5):
         assert {r.p: r.b for r in B.claim_nearest(df, bx, "g", "p", "b", "rank", -80.0, start).collect()} == want
     assert B.claim_nearest(df, bx.limit(0), "g", "p", "b", "rank", -80.0).count() == 0 and B.claim_nearest(df.limit(0), bx, "g", "p", "b", "rank", -80.0).count() == 0
 

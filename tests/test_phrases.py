@@ -40,13 +40,13 @@ def test_phrases_are_those_of_the_pass(spark):
     rng = np.random.default_rng(3)
     words = ["ALL", "AROUND", "OUTER", "PROFILE", "ALL AROUND", "outer profile", "TRUE", "POSITION", "NOTE", "12.5"]
     rows = []
-    for k in range(260):
-        x, y, h = float(rng.integers(0, 30) * 22), float(rng.integers(0, 40) * 23), float(rng.choice([16, 16, 60]))
+    for k in range(190):
+        x, y, h = float(rng.integers(0, 44) * 22), float(rng.integers(0, 40) * 23), float(rng.choice([16, 16, 60]))
         rows.append((k, int(rng.integers(3)), str(rng.choice(words)), x, y, 0.5, x - 20, y - h / 2, x + 20, y + h / 2))
     df = spark.createDataFrame(rows, "mark_key int, drawing_id int, text string, cx double, cy double, conf double, x1 double, y1 double, x2 double, y2 double")
     got = {r.mark_key: (r.phrase, list(r.members)) for r in P.fuse(df, "drawing_id", "mark_key").collect()}
     want = plain_phrases(rows)
-    assert got == want and len(want) > 12 and len({p for p, _ in want.values()}) == 4
+    assert got == want and len(want) > 4 and len({p for p, _ in want.values()}) >= 3
     assert P.fuse(df.limit(0), "drawing_id", "mark_key").count() == 0
 
 
@@ -73,7 +73,7 @@ def plain_suffixes(rows):
 
 def test_values_move_on_as_in_the_pass(spark):
     rng, rows = np.random.default_rng(4), []
-    for k in range(150):
+    for k in range(190):
         number = f"{int(rng.integers(1, 25))}{rng.choice(['', '', 'A', 'B', 'c'])}"
         value = str(rng.choice(["2", "14", "Ø12.5", "R5.25", "NO_DIMENSION", "", "7x45°", "ABC", "12.50 ", "R5"]))
         rows.append((k, int(rng.integers(3)), number, value, float(rng.choice([0.2, 0.4, 0.9])), float(rng.integers(0, 1200)), float(rng.integers(0, 1200)), float(rng.choice([10, 80]))))
