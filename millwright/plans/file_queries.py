@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import io
 import zipfile
+from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import functions as F
@@ -12,6 +13,7 @@ from ..operators.hierarchy import nest
 from ..operators.lineage import shared_dir
 from ..registry import query
 from ..sources import files
+from ..sources.archives import archive_lines
 
 
 @query("csv_export", "SELECT s_suppkey AS vendor_key, s_name AS vendor_name FROM supplier")
@@ -97,6 +99,31 @@ def _(t):
     return files.members(archives).groupBy("path", "kind").agg(F.count("*").alias("n"), F.sum(F.octet_length("content")).cast("long").alias("n_bytes"))
 
 
+@query("archive_bundles", """SELECT demand_key, CASE WHEN l.line_no % 2 = 0 THEN 'ncr' ELSE 'other' END AS kind, count(*) AS n, CAST(sum(material_key) AS BIGINT) AS materials
+FROM demand_item l GROUP BY 1, 2""")
+def _(t):
+    """An archive for each demand, with a member for its even and one for its odd lines, opened by the table function and read as JSON."""
+
+    def pack(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            out = []
+            for lines in frame["lines"]:
+                raw = io.BytesIO()
+                with zipfile.ZipFile(raw, "w", zipfile.ZIP_DEFLATED) as z:
+                    for name, odd in (("x/NCR_lines.json", 0), ("lines.json", 1)):
+                        own = [x["json"] for x in lines if x["line_no"] % 2 == odd]
+                        if own:
+                            z.writestr(name, "\n".join(own) + "\n")
+                out.append(raw.getvalue())
+            yield pd.DataFrame({"demand_key": frame["demand_key"], "content": out})
+
+    json = F.to_json(F.struct("material_key", "vendor_key"))
+    demands = t.demand_item.groupBy("demand_key").agg(F.collect_list(F.struct("line_no", json.alias("json"))).alias("lines"))  # the lines of one order
+    bundles = demands.mapInPandas(pack, "demand_key long, content binary")
+    material = F.from_json("line", "material_key long")["material_key"]
+    return archive_lines(bundles).groupBy("demand_key", "kind").agg(F.count("*").alias("n"), F.sum(material).alias("materials"))
+
+
 @query("file_inventory")
 def _(t):
     """Names and lengths of the tables' files."""
