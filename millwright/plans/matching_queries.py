@@ -126,10 +126,14 @@ def _(t):
 
 @query("ambiguity_gap", f"SELECT drawing_id, px, py, round(d2 - d1, 4) AS gap, coalesce(round(d2 - d1, 4) < 20, false) AS ambiguous FROM (SELECT drawing_id, px, py, min(dist) AS d1, list_sort(list(dist))[2] AS d2 FROM {_NEAR} GROUP BY 1, 2, 3)")
 def _(t):
-    near, _ = _near(t, 60.0)
-    w = Window.partitionBy("drawing_id", "px", "py").orderBy("dist", "value", "ox", "oy")
-    g = near.withColumns({"rn": F.row_number().over(w), "gap": F.round(F.lead("dist").over(w) - F.col("dist"), 4)}).where("rn = 1")
-    return g.select("drawing_id", "px", "py", "gap", F.coalesce(F.col("gap") < 20, F.lit(False)).alias("ambiguous"))
+    p, o = _points(t)
+    places = o.groupBy("drawing_id", "ox", "oy").agg(F.count("*").alias("texts"))
+    first = stored(best_within(p, places, "drawing_id", 60.0, [], ["texts"]).select("drawing_id", "px", "py", F.col("dist").alias("d1"), F.col("ox").alias("fx"), F.col("oy").alias("fy"), "texts"))
+    other = (F.col("ox") != F.col("fx")) | (F.col("oy") != F.col("fy"))
+    second = best_within(first.where("texts = 1").select("drawing_id", "px", "py", "fx", "fy"), places, "drawing_id", 60.0, [], allowed=other)
+    rows = first.join(second.select("drawing_id", "px", "py", F.col("dist").alias("d2")), ["drawing_id", "px", "py"], "left")
+    gap = F.when(F.col("texts") > 1, 0.0).otherwise(F.round(F.col("d2") - F.col("d1"), 4))
+    return rows.select("drawing_id", "px", "py", gap.alias("gap")).withColumn("ambiguous", F.coalesce(F.col("gap") < 20, F.lit(False)))
 
 
 @query("resolve_conflicts", f"SELECT drawing_id, px, py, CASE WHEN rn = 1 THEN value END AS value, ox, oy, rn > 1 AS review FROM (SELECT *, row_number() OVER (PARTITION BY drawing_id, ox, oy, value ORDER BY round(dist, 6), px, py) AS rn FROM {_NEAR})")
