@@ -30,8 +30,18 @@ def radius_pairs(points: DataFrame, others: DataFrame, group: str, radius: float
     near = points.withColumn("__dx", F.explode(F.array(*[F.lit(i) for i in (-1, 0, 1)]))).withColumn("__dy", F.explode(F.array(*[F.lit(i) for i in (-1, 0, 1)])))
     near = near.withColumns({"__cx": F.floor(F.col("px") / radius) + F.col("__dx"), "__cy": F.floor(F.col("py") / radius) + F.col("__dy")}).drop("__dx", "__dy")
     cells = others.withColumns({"__cx": F.floor(F.col("ox") / radius), "__cy": F.floor(F.col("oy") / radius)})
-    dist = F.hypot(F.col("px") - F.col("ox"), F.col("py") - F.col("oy"))
-    return near.join(cells, [group, "__cx", "__cy"]).withColumn("dist", dist).where(F.col("dist") <= radius).drop("__cx", "__cy")
+    dx, dy = F.col("px") - F.col("ox"), F.col("py") - F.col("oy")
+    # the exact distance is slow, so squares first drop what lies clearly outside
+    pairs = near.join(cells, [group, "__cx", "__cy"]).where(dx * dx + dy * dy <= radius * radius * (1 + 1e-9))
+    return pairs.withColumn("dist", F.hypot(dx, dy)).where(F.col("dist") <= radius).drop("__cx", "__cy")
+
+
+def below_pairs(points: DataFrame, others: DataFrame, group: str, width: float, height: float) -> DataFrame:
+    """Candidate pairs of points (px, py) and others (ox, oy) of one group, all with |ox - px| < width and 0 <= oy - py < height among them: cells of that size, each point looks into six."""
+    near = points.withColumn("__dx", F.explode(F.array(*[F.lit(i) for i in (-1, 0, 1)]))).withColumn("__dy", F.explode(F.array(F.lit(0), F.lit(1))))
+    near = near.withColumns({"__cx": F.floor(F.col("px") / width) + F.col("__dx"), "__cy": F.floor(F.col("py") / height) + F.col("__dy")}).drop("__dx", "__dy")
+    cells = others.withColumns({"__cx": F.floor(F.col("ox") / width), "__cy": F.floor(F.col("oy") / height)})
+    return near.join(cells, [group, "__cx", "__cy"]).drop("__cx", "__cy")
 
 
 def compare(left: DataFrame, right: DataFrame, key: str, cols: list[str], changes_only: bool = False) -> DataFrame:

@@ -114,8 +114,11 @@ def _(t):
 
 @query("neighbour_count", f"SELECT p.drawing_id, p.cx AS px, p.cy AS py, count(n.value) AS n FROM (SELECT * FROM {_TOK} WHERE text = '(08)') p LEFT JOIN {_NEAR} n ON n.drawing_id = p.drawing_id AND n.px = p.cx AND n.py = p.cy GROUP BY 1, 2, 3")
 def _(t):
-    near, p = _near(t, 60.0)
-    return p.join(near, ["drawing_id", "px", "py"], "left").groupBy("drawing_id", "px", "py").agg(F.count("value").alias("n"))
+    p, o = _points(t)
+    places = o.groupBy("drawing_id", "ox", "oy").agg(F.count("value").alias("n"))
+    # a label's pairs are added up in each of its nine cells, before they move
+    counts = J.radius_pairs(p, places, "drawing_id", 60.0).groupBy("drawing_id", "px", "py").agg(F.sum("n").alias("n"))
+    return p.join(counts, ["drawing_id", "px", "py"], "left").withColumn("n", F.coalesce("n", F.lit(0)))
 
 
 @query("nearest_donor", f"SELECT drawing_id, px, py, value FROM (SELECT *, row_number() OVER (PARTITION BY drawing_id, px, py ORDER BY round(dist, 6), value, ox, oy) AS rn FROM {_NEAR}) WHERE rn = 1")
