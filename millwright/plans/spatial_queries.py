@@ -7,6 +7,7 @@ from pyspark.sql.window import Window
 
 from ..functions import geometry as G, text as X
 from ..operators import boxes as B, callouts as K, claims as C, joins as J, phrases as H, reading as O
+from ..operators.nearest import best_within
 from ..registry import query
 from .text_queries import direction_sql
 
@@ -32,6 +33,16 @@ def _pairs(k: DataFrame, group: list[str], radius: float) -> DataFrame:
     return J.radius_pairs(a, b, "__g", radius).where("a_token_key <> b_token_key")
 
 
+def _nearest_token(a: DataFrame, b: DataFrame, radius: float, allowed: Column | None = None, least: float = 0.0) -> DataFrame:
+    """For each key of tokens a that has a token of b in reach: token_key, the score of the best one (distance, plus `extra` of b if there is one) and its to_key."""
+    at = [F.col("cx").alias("px"), F.col("cy").alias("py")]
+    extra = ["extra"] if "extra" in b.columns else []
+    to = b.select("drawing_id", F.col("token_key").alias("to_key"), F.col("cx").alias("ox"), F.col("cy").alias("oy"), *extra)
+    best = best_within(a.select("drawing_id", *at), to, "drawing_id", radius, ["to_key"], allowed=allowed, least=least)
+    rows = a.select("drawing_id", "token_key", *at).join(best, ["drawing_id", "px", "py"])
+    return rows.groupBy("token_key").agg(F.min(F.struct("score", "to_key")).alias("b")).select("token_key", "b.score", "b.to_key")
+
+
 def _better(*order: tuple[str, bool]) -> Column:
     """Token a comes before token b in the order of (column, descending), then by key."""
     side = lambda p: F.struct(*[(-F.col(f"{p}_{c}") if down else F.col(f"{p}_{c}")).alias(f"o{i}") for i, (c, down) in enumerate(order)], F.col(f"{p}_token_key").alias("k"))
@@ -262,9 +273,9 @@ def _(t):
 @query("attach_note", "SELECT note_key, value_key FROM (SELECT n.token_key AS note_key, v.token_key AS value_key, row_number() OVER (PARTITION BY n.token_key ORDER BY round(sqrt(power(n.cx - v.cx, 2) + power(n.cy - v.cy, 2)), 6), v.token_key) AS rn FROM token n JOIN token v ON n.drawing_id = v.drawing_id AND n.text = 'M10x1.5' AND v.text = 'R72.55' AND abs(n.cx - v.cx) < 150 AND abs(n.cy - v.cy) < 80) WHERE rn = 1")
 def _(t):
     """A note belongs to the nearest number, up to 150 px aside and 80 above or below."""
-    pairs = _pairs(t.token.select("drawing_id", "token_key", "text", "cx", "cy"), ["drawing_id"], 170.0).where("a_text = 'M10x1.5' and b_text = 'R72.55' and abs(a_cx - b_cx) < 150 and abs(a_cy - b_cy) < 80")
-    w = Window.partitionBy("a_token_key").orderBy(F.round("dist", 6), "b_token_key")
-    return pairs.withColumn("rn", F.row_number().over(w)).where("rn = 1").select(F.col("a_token_key").alias("note_key"), F.col("b_token_key").alias("value_key"))
+    box = (F.abs(F.col("px") - F.col("ox")) < 150) & (F.abs(F.col("py") - F.col("oy")) < 80)
+    best = _nearest_token(t.token.where("text = 'M10x1.5'"), t.token.where("text = 'R72.55'"), 170.0, box)
+    return best.select(F.col("token_key").alias("note_key"), F.col("to_key").alias("value_key"))
 
 
 @query("fuse_phrases")
