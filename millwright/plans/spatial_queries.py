@@ -217,9 +217,8 @@ _NUM = "text IN ('10.0/9.8', '59.50 mm', 'R72.55')"
 @query("attach_qualifier", f"SELECT value_key, qualifier_key FROM (SELECT b.token_key AS qualifier_key, a.token_key AS value_key, row_number() OVER (PARTITION BY b.token_key ORDER BY round(sqrt(power(a.cx - b.cx, 2) + power(a.cy - b.cy, 2)), 6), a.token_key) AS rn FROM token a JOIN token b ON a.drawing_id = b.drawing_id AND a.{_NUM} AND b.text = '(08)' AND sqrt(power(a.cx - b.cx, 2) + power(a.cy - b.cy, 2)) <= 80) WHERE rn = 1")
 def _(t):
     """A qualifier in parentheses belongs to the value nearest to it."""
-    pairs = _pairs(t.token.select("drawing_id", "token_key", "text", "cx", "cy"), ["drawing_id"], 80.0).where(f"a_{_NUM} and b_text = '(08)'")
-    w = Window.partitionBy("b_token_key").orderBy(F.round("dist", 6), "a_token_key")
-    return pairs.withColumn("rn", F.row_number().over(w)).where("rn = 1").select(F.col("a_token_key").alias("value_key"), F.col("b_token_key").alias("qualifier_key"))
+    best = _nearest_token(t.token.where("text = '(08)'"), t.token.where(_NUM), 80.0)
+    return best.select(F.col("to_key").alias("value_key"), F.col("token_key").alias("qualifier_key"))
 
 
 _TOL = f"SELECT a.token_key AS value_key, b.token_key AS tolerance_key, round(sqrt(power(a.cx - b.cx, 2) + power(a.cy - b.cy, 2)), 6) AS dist FROM token a JOIN token b ON a.drawing_id = b.drawing_id AND a.{_NUM} AND contains(b.text, '±') AND sqrt(power(a.cx - b.cx, 2) + power(a.cy - b.cy, 2)) <= 90"
