@@ -311,8 +311,8 @@ def _(t):
 @query("leftover_singletons", f"SELECT token_key, drawing_id, text FROM token WHERE length(trim(text)) > 1 AND token_key NOT IN (SELECT value_key FROM ({_TOL}) UNION SELECT tolerance_key FROM ({_TOL}))")
 def _(t):
     """Tokens that no pass claimed, without single letters."""
-    tol = _tolerances(t.token)
-    used = tol.select(F.col("value_key").alias("token_key")).unionByName(tol.select(F.col("tolerance_key").alias("token_key")))
+    values, tolerances = _sides(t.token)
+    used = _nearest_token(values, tolerances, 90.0).select("token_key").unionByName(_nearest_token(tolerances, values, 90.0).select("token_key"))
     return t.token.where(F.char_length(F.trim("text")) > 1).join(used, "token_key", "left_anti").select("token_key", "drawing_id", "text")
 
 
