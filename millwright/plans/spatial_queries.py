@@ -142,8 +142,12 @@ def _(t):
 @query("recovered_anti", "SELECT token_key FROM token WHERE conf < 0.95 AND token_key NOT IN (SELECT r.token_key FROM token r JOIN token e ON r.conf < 0.95 AND e.conf >= 0.95 AND e.drawing_id = r.drawing_id AND e.text = r.text AND e.token_key <> r.token_key AND sqrt(power(e.cx - r.cx, 2) + power(e.cy - r.cy, 2)) < 20)")
 def _(t):
     """Recovered tokens (less sure) that no sure one of the same text lies near to."""
-    pairs = _pairs(t.token.select("drawing_id", "text", "token_key", "cx", "cy", "conf"), ["drawing_id", "text"], 20.0)
-    known = pairs.where("a_conf < 0.95 and b_conf >= 0.95 and dist < 20").select(F.col("a_token_key").alias("token_key"))
+    k = t.token.where("text is not null").withColumn("g", F.concat_ws("\1", "drawing_id", "text"))
+    unsure = k.where("conf < 0.95").select("g", "token_key", F.col("cx").alias("px"), F.col("cy").alias("py"))
+    # of a place the first and the last key tell whether it has another token than oneself
+    sure = k.where("conf >= 0.95").groupBy("g", F.col("cx").alias("ox"), F.col("cy").alias("oy")).agg(F.min("token_key").alias("lo"), F.max("token_key").alias("hi"))
+    other = (F.hypot(F.col("px") - F.col("ox"), F.col("py") - F.col("oy")) < 20) & ((F.col("o.lo") != F.col("token_key")) | (F.col("o.hi") != F.col("token_key")))
+    known = best_within(unsure, sure, "g", 20.0, [], ["lo", "hi"], allowed=other).select("token_key")
     return t.token.where("conf < 0.95").join(known, "token_key", "left_anti").select("token_key")
 
 
