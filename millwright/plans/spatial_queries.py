@@ -277,8 +277,8 @@ def _(t):
     """Passes in their order (value and tolerance, stacked numbers) claim tokens; a group goes if one of its tokens is claimed before."""
     one = _tolerances(_tokens(t)).select(F.lit(1).alias("pass"), F.col("value_key").alias("x"), F.col("tolerance_key").alias("y"))
     two = _stacked(_tokens(t)).select(F.lit(2).alias("pass"), F.col("top_key").alias("x"), F.col("bottom_key").alias("y"))
-    groups = one.unionByName(two).withColumn("pair", F.concat_ws("-", "pass", "x", "y"))
-    return C.greedy_keep(groups, "pair", _shared(groups.select("pair", F.struct("pass", "x", "y").alias("rank"), F.array("x", "y").alias("tokens")))).select("pass", "x", "y")
+    groups = one.unionByName(two).withColumns({"rank": F.struct("pass", "x", "y"), "tokens": F.array("x", "y")})
+    return C.greedy_sets(groups, "rank", "tokens").select("pass", "x", "y")
 
 
 @query("attach_note", "SELECT note_key, value_key FROM (SELECT n.token_key AS note_key, v.token_key AS value_key, row_number() OVER (PARTITION BY n.token_key ORDER BY round(sqrt(power(n.cx - v.cx, 2) + power(n.cy - v.cy, 2)), 6), v.token_key) AS rn FROM token n JOIN token v ON n.drawing_id = v.drawing_id AND n.text = 'M10x1.5' AND v.text = 'R72.55' AND abs(n.cx - v.cx) < 150 AND abs(n.cy - v.cy) < 80) WHERE rn = 1")
