@@ -36,6 +36,25 @@ def test_exclusive_claim_is_the_sequential_pass(spark):
         assert C.exclusive_claim(df.limit(0), "l", "r", order).count() == 0
 
 
+def test_greedy_pairs_are_those_of_the_pass_in_batches_of_any_size(spark):
+    rng = np.random.default_rng(8)
+    rows = [(int(k), i % 2, int(v)) for i, (k, v) in enumerate(zip(rng.permutation(90), rng.integers(0, 60, 90)))]
+    taken, want = set(), set()
+    for a, b in sorted((a[0], b[0]) for a in rows for b in rows if a[0] < b[0] and a[1] == b[1] and 2 < abs(a[2] - b[2]) < 9):
+        if not {a, b} & taken:
+            taken |= {a, b}
+            want.add((a, b))
+
+    def pairs(k):
+        a, b = (k.select("g", F.col("k").alias(n), F.col("v").alias(f"v{n}")) for n in ("lo", "hi"))
+        return a.join(b, "g").where("lo < hi and abs(vlo - vhi) > 2 and abs(vlo - vhi) < 9").select("lo", "hi")
+
+    df = spark.createDataFrame(rows, "k int, g int, v int")
+    for batch in (15, 1000):
+        assert {(r.lo, r.hi) for r in C.greedy_pairs(df, "g", "k", pairs, batch).collect()} == want and len(want) > 20
+    assert C.greedy_pairs(df.limit(0), "g", "k", pairs).count() == 0
+
+
 def test_values(spark):
     rows = [("Ø64 mm", "DIA64", True), ("(8)", "8", True), ("0.20", ".20", True), ("63", "Ø63.1", True), ("R72.55 TYP", "72.5", True), ("12", "120", False), ("", "", False), (None, "1", False), ("NO_DIMENSION", "NO_DIMENSION", False), ("10,5°", "10.5DEG", True), ("2 × 45", "2X45", True)]
     df = spark.createDataFrame(rows, "d string, e string, want boolean")
