@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.window import Window
 
+from .lineage import stored
+
 
 def sum_or_zero(c: str | Column) -> Column:
     return F.coalesce(F.sum(c), F.lit(0))
@@ -57,20 +59,15 @@ def islands(df: DataFrame, keys: list[str], order: list, breaks: Column, out: st
     return df.withColumn("__b", F.when(breaks, 1).otherwise(0)).withColumn(out, F.sum("__b").over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow))).drop("__b")
 
 
-#: Ranges of the leading column that are numbered by a task each.
-RANGES = 256
-
-
 def number_rows(df: DataFrame, leading: str, order: list[str]) -> DataFrame:
-    """df with number: 1, 2, ... over all rows in `order`, which begins with `leading` (a number without nulls). Ranges
-    of it are numbered apart and moved by the counts of those before; rows of one leading value share a task."""
-    edges = sorted(set(df.approxQuantile(leading, [k / RANGES for k in range(1, RANGES)], 0.001)))
-    part = F.size(F.filter(F.lit(edges), lambda e: e < F.col(leading))) if edges else F.lit(0)
-    rows = df.withColumn("__part", part)
-    counts = {r["__part"]: r["count"] for r in rows.groupBy("__part").count().collect()}  # RANGES at most
+    """df with number: 1, 2, ... over all rows in `order`, which begins with `leading`. Ranges of the whole order are sorted by a task each and
+    stored once with a row's place in its range, which the counts of the ranges before move; rows of one leading value may lie in several."""
+    ranges = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    placed = df.repartitionByRange(ranges, *order).sortWithinPartitions(*order).withColumn("__id", F.monotonically_increasing_id())
+    rows = stored(placed.select(*[F.col(f"`{c}`") for c in df.columns], F.shiftright("__id", 33).cast("int").alias("__part"), F.col("__id").bitwiseAND((1 << 33) - 1).alias("__place")))
+    counts = {r["__part"]: r["count"] for r in rows.groupBy("__part").count().collect()}  # as many as ranges
     before, total = [], 0
-    for k in range(RANGES + 1):
+    for k in range(max(counts, default=0) + 1):
         before.append(total)
         total += counts.get(k, 0)
-    place = F.row_number().over(Window.partitionBy("__part").orderBy(*order))
-    return rows.withColumn("number", (F.get(F.lit(before), F.col("__part")) + place).cast("long")).drop("__part")
+    return rows.withColumn("number", (F.get(F.lit(before), F.col("__part")) + F.col("__place") + 1).cast("long")).drop("__part", "__place")

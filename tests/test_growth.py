@@ -26,3 +26,12 @@ def test_claims_list_a_few_boxes_for_each_point(spark, kept):
     got = B.claim_nearest(points, boxes, "g", "p", "b", "rank", -80.0, keep=["tag"]).collect()
     assert len({r.b for r in got}) == len(got) == 12 and {r.tag for r in got} == {"x"}
     assert max(rows) == 300  # the boxes; before, 3,600 pairs
+
+
+def test_rows_are_numbered_by_any_order_and_a_costly_column_is_made_once_a_value(spark):
+    df = spark.createDataFrame([("x" if k % 3 else chr(97 + k % 7), k * 37 % 101) for k in range(101)], "s string, n int")
+    rows = A.number_rows(df, "s", ["s", "n"]).collect()  # most rows share one leading value, which is no number
+    assert [(r.s, r.n) for r in sorted(rows, key=lambda r: r.number)] == sorted((r.s, r.n) for r in rows) and sorted(r.number for r in rows) == list(range(1, 102))
+    df = spark.createDataFrame([(k, None if k % 5 == 0 else "ab"[k % 2]) for k in range(40)], "k int, t string")
+    got = {r.k: r.up for r in J.per_value(df, "t", up=F.coalesce(F.upper("t"), F.lit("-"))).collect()}
+    assert got == {k: "-" if k % 5 == 0 else "AB"[k % 2] for k in range(40)}
