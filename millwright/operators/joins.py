@@ -16,6 +16,12 @@ def marked(df: DataFrame, keys: DataFrame, on: str, mark: str) -> DataFrame:
     return df.join(keys.select(on).distinct().withColumn(mark, F.lit(True)), on, "left").withColumn(mark, F.coalesce(F.col(mark), F.lit(False)))
 
 
+def per_value(df: DataFrame, col: str, **made: Column) -> DataFrame:
+    """df with columns that are costly to make of one column: they are made once for each of its values."""
+    values = df.select(col).distinct().select(F.col(col).alias("__v"), *(c.alias(n) for n, c in made.items()))
+    return df.join(values, F.col(col).eqNullSafe(F.col("__v"))).drop("__v")
+
+
 def or_join(left: DataFrame, right: DataFrame, conditions: list[tuple[str, str]], keep: list[str]) -> DataFrame:
     """Pairs for which any of the equalities (left column, right column) holds: a union of equi-joins, no nested loop."""
     out = None

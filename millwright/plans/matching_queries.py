@@ -65,7 +65,8 @@ _ZONES = f"(SELECT mark_key, drawing_id, CAST(floor(cx / 500) AS BIGINT) AS zone
 @query("duplicate_groups", f"SELECT mark_key, dense_rank() OVER (ORDER BY drawing_id, zone, dim) AS group_id, n FROM (SELECT *, count(*) OVER (PARTITION BY drawing_id, zone, dim) AS n FROM {_ZONES} WHERE dim <> '') WHERE n > 1")
 def _(t):
     """Marks of one drawing and zone that say the same after normalising, with the group's number and size."""
-    rows = t.mark.select("mark_key", "drawing_id", F.floor(F.col("cx") / 500).cast("long").alias("zone"), X.normalize_dimension(F.col("raw")).alias("dim")).where("dim <> ''")
+    marks = stored(t.mark.select("mark_key", "drawing_id", F.floor(F.col("cx") / 500).cast("long").alias("zone"), "raw"))
+    rows = stored(J.per_value(marks, "raw", dim=X.normalize_dimension(F.col("raw"))).where("dim <> ''").select("mark_key", "drawing_id", "zone", "dim"))
     groups = rows.groupBy("drawing_id", "zone", "dim").agg(F.count("*").alias("n")).where("n > 1")
     numbered = A.number_rows(groups, "drawing_id", ["drawing_id", "zone", "dim"]).withColumnRenamed("number", "group_id")
     return rows.join(numbered, ["drawing_id", "zone", "dim"]).select("mark_key", "group_id", "n")
