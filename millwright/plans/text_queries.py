@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import geometry as G, repair as R, text as X
+from ..operators import joins as J
+from ..operators.lineage import stored
 from ..registry import query
 from .bindings import AS_OF
 
@@ -155,8 +157,8 @@ def _(t):
 @query("ocr_text_repair")
 def _(t):
     """What the texts of marks were most probably, and their class before and after. Look-around isn't in DuckDB's patterns, so tests hold it to a plain interpreter."""
-    fixed = R.repair_text(F.col("raw"))
-    return t.mark.select("mark_key", "raw", fixed.alias("repaired")).select("*", X.semantic_class(F.col("raw")).alias("kind_before"), X.semantic_class(F.col("repaired")).alias("kind"))
+    fixed = J.per_value(stored(t.mark.select("mark_key", "raw")), "raw", repaired=R.repair_text(F.col("raw")), kind_before=X.semantic_class(F.col("raw")))
+    return J.per_value(fixed, "repaired", kind=X.semantic_class(F.col("repaired"))).select("mark_key", "raw", "repaired", "kind_before", "kind")
 
 
 @query("token_type", r"SELECT token_key, text, CASE WHEN regexp_matches(trim(text), '^\(?0*[0-9]{1,3}[A-Za-z]?\)?$') THEN 'bubble' WHEN regexp_matches(text, '[0-9]') THEN 'dimension' ELSE 'keyword' END AS kind FROM token")
