@@ -35,3 +35,16 @@ def test_rows_are_numbered_by_any_order_and_a_costly_column_is_made_once_a_value
     df = spark.createDataFrame([(k, None if k % 5 == 0 else "ab"[k % 2]) for k in range(40)], "k int, t string")
     got = {r.k: r.up for r in J.per_value(df, "t", up=F.coalesce(F.upper("t"), F.lit("-"))).collect()}
     assert got == {k: "-" if k % 5 == 0 else "AB"[k % 2] for k in range(40)}
+
+
+def test_met_boxes_bring_their_columns_and_small_ones_are_in_few_cells(spark):
+    boxes = spark.createDataFrame([(k, 1, float(k * 40 % 900), float(k * 70 % 500), f"t{k}") for k in range(60)] + [(99, 1, -3000.0, 100.0, "wide")], "i int, g int, x1 double, y1 double, t string")
+    wide = F.when(F.col("t") == "wide", 6000.0).otherwise(60.0)
+    boxes = boxes.withColumns({"x2": F.col("x1") + wide, "y2": F.col("y1") + 16})
+    rows = [r.asDict() for r in boxes.collect()]
+    meet = lambda a, b: a["x1"] <= b["x2"] and b["x1"] <= a["x2"] and a["y1"] <= b["y2"] and b["y1"] <= a["y2"]
+    want = {(a["i"], b["i"]) for a in rows for b in rows if a["i"] < b["i"] and meet(a, b)}
+    got = B.overlapping(boxes, "g", "i", keep=["t"]).collect()
+    assert {(min(r.a, r.b), max(r.a, r.b)) for r in got} == want and len(got) == len(want) > 2
+    name = {r["i"]: r["t"] for r in rows}
+    assert all(r.a_t == name[r.a] and r.b_t == name[r.b] for r in got)
