@@ -27,11 +27,12 @@ RADIUS, ANGLE, NOTES = r"(?i)R[0-9]|[0-9]R|RADIUS\s*[0-9]|TYP", r"(?i)°|[0-9]\s
 def _sides(k: DataFrame) -> DataFrame:
     """Ordered pairs of marks that any pass can put together, with a_ and b_."""
     h = F.greatest(F.lit(1.0), F.col("y2") - F.col("y1"))
-    reach = k.select("g", "i", (F.col("cx") - 90).alias("x1"), (F.col("cy") - F.greatest(F.lit(40.0), 1.2 * h)).alias("y1"), (F.col("cx") + 90).alias("x2"), (F.col("cy") + F.greatest(F.lit(40.0), 1.2 * h)).alias("y2"))
-    met = overlapping(reach, "g", "i").select("a", "b")
-    met = met.unionByName(met.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    side = lambda p: k.select(*(F.col(c).alias(f"{p}_{c}") for c in ("g", "i", "text", "t", "type", "cx", "cy")), h.alias(f"{p}_h"))
-    rows = met.join(side("a"), F.col("a") == F.col("a_i")).join(side("b"), F.col("b") == F.col("b_i")).drop("a", "b")
+    high = F.greatest(F.lit(40.0), 1.2 * h)
+    cols = ["g", "i", "text", "t", "type", "cx", "cy", "h"]
+    reach = k.select(*cols[:-1], h.alias("h"), (F.col("cx") - 90).alias("x1"), (F.col("cy") - high).alias("y1"), (F.col("cx") + 90).alias("x2"), (F.col("cy") + high).alias("y2"))
+    met = overlapping(reach, "g", "i", keep=cols)
+    sides = lambda a, b: met.select(*(F.col(f"{p}_{c}").alias(f"{q}_{c}") for p, q in ((a, "a"), (b, "b")) for c in cols))
+    rows = sides("a", "b").unionByName(sides("b", "a"))
     return stored(rows.withColumns({"dx": F.abs(F.col("a_cx") - F.col("b_cx")), "dy": F.abs(F.col("a_cy") - F.col("b_cy"))}))
 
 
