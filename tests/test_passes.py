@@ -21,6 +21,24 @@ def test_greedy_keep_is_the_sequential_pass(spark):
     assert C.greedy_keep(items, "id", conflicts.limit(0)).count() == n
 
 
+def test_points_kept_apart_are_those_of_the_pass_over_all_pairs(spark, monkeypatch):
+    rng = np.random.default_rng(9)
+    rows = [(i, i % 2, float(a), float(b), float(c)) for i, (a, b, c) in enumerate(zip(rng.integers(0, 60, 500), rng.integers(-30, 30, 500), rng.integers(0, 2, 500)))]
+    near = lambda a, b: a[1] == b[1] and (a[2] - b[2]) ** 2 + (a[3] - b[3]) ** 2 <= 9
+    want = []
+    for r in sorted(rows, key=lambda r: (r[4], r[3], r[0])):
+        if not any(near(r, k) for k in want):
+            want.append(r)
+    sizes, real = [], C.stored
+    monkeypatch.setattr(C, "stored", lambda df: sizes.append((out := real(df)).count()) or out)
+    df = spark.createDataFrame([*rows, (900, 0, None, 1.0, 0.0), (901, 0, None, 1.0, 0.0), (902, 0, float("nan"), 1.0, 0.0)], "k long, g int, x double, y double, c double")
+    for tile in (2, 16):
+        monkeypatch.setattr(C, "TILE", tile)
+        assert sorted(r.k for r in C.greedy_apart(df, ["g"], "k", "x", "y", ["c", "y"], 3.0).collect()) == sorted([r[0] for r in want] + [900, 901, 902])
+    assert max(sizes) <= 500 and len(sizes) > 4  # places, never the pairs in reach
+    assert C.greedy_apart(df.limit(0), ["g"], "k", "x", "y", ["c", "y"], 3.0).count() == 0
+
+
 def test_exclusive_claim_is_the_sequential_pass(spark):
     rng = np.random.default_rng(4)
     rows = [(a, b, float(s)) for a in range(25) for b in range(20) if (s := int(rng.integers(0, 60))) < 20]
