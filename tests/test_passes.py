@@ -97,6 +97,24 @@ def test_nested_tree(spark):
     assert got[1] == {"key": 1, "name": 'a"b', "children": [{"key": 2, "name": None, "children": []}, {"key": 3, "name": "c", "children": [{"key": 4, "name": "d", "children": []}]}]}
 
 
+def test_large_trees_are_in_rows_of_bounded_length(spark, monkeypatch):
+    import json
+
+    df = spark.createDataFrame([(k, None if k == 0 else (k - 1) // 40 if k < 900 else 0, f"n{k}") for k in range(1100)], "k long, p long, n string")
+    whole = json.loads(H.nest(df, "k", "p", "n").collect()[0].tree)
+    monkeypatch.setattr(H, "MOST_TREE", 400)
+    rows = {(r.k, r.part): r.tree for r in H.nest(df, "k", "p", "n").collect()}
+    assert 20 < len(rows) and max(map(len, rows.values())) < 1200  # before, one row of all
+
+    def back(node):
+        if "parts" not in node:
+            return {**node, "children": [back(c) for c in node["children"]]}
+        runs = [json.loads(rows.pop((node["key"], n + 1))) for n in range(node["parts"])]
+        return {"key": node["key"], "name": node["name"], "children": [back(c) for r in runs for c in r["children"]]}
+
+    assert back(json.loads(rows.pop((0, 0)))) == whole and not rows
+
+
 def test_files(spark, tmp_path):
     df = spark.createDataFrame([(1, 'a,"b"\nc', [1, 2]), (2, None, None)], "k long, t string, l array<int>")
     files.write_csv(df.withColumn("secret", F.lit("x")), f"{tmp_path}/csv", hidden=("secret",))
