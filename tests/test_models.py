@@ -51,3 +51,32 @@ def test_leaderboard_and_saved_model(spark, tmp_path):
     scored = {int(r.k): r.prediction for r in R.score_csv(path, f"file://{tmp_path}/rows", ["k"], ["a", "b", "c"]).collect()}
     plain = {r.k: r.prediction for r in best.transform(df.select("k", "a", F.when(F.col("k") % 7 != 0, F.col("b")).alias("b"), F.lit(None).cast("double").alias("c"))).collect()}
     assert len(scored) == 602 and all(scored[k] == pytest.approx(plain[k]) for k in plain)
+
+
+def test_what_trials_share_is_made_once_and_scores_are_the_evaluators(spark, monkeypatch):
+    from pyspark.ml.evaluation import RegressionEvaluator
+
+    fits, real = [], R.Imputer._fit
+    monkeypatch.setattr(R.Imputer, "_fit", lambda self, d: fits.append(1) or real(self, d))
+    df = spark.createDataFrame([(k, None if k % 7 == 0 else k % 13 + 0.5, float(k % 13 * 3 + k % 5)) for k in range(300)], "k long, a double, label double")
+    board, best = R.leaderboard(df, ["a"], ["k"], (R.Trial("Linear"), R.Trial("Tree", {"maxDepth": 3}), R.Trial("Tree", {"maxDepth": 1})))
+    assert len(fits) == 1  # before, one for each trial
+    train, valid = R.split(df, ["k"])
+    for r in board.collect():
+        model = R.Trial(r.trainer, dict(eval(r.params))).pipeline(["a"]).fit(train).transform(valid)
+        want = [RegressionEvaluator(metricName=m, labelCol="label").evaluate(model) for m in ("r2", "rmse")]
+        assert [r.r2, r.rmse] == pytest.approx(want, rel=1e-9)
+    nothing = df.withColumn("a", F.lit(None).cast("double"))
+    board, best = R.leaderboard(nothing, ["a"], ["k"], (R.Trial("Linear"),))
+    assert best is None and board.first().r2 is None
+
+
+def test_trainers_read_stored_rows_not_the_joins(spark):
+    from millwright.plans.bindings import Tables
+    from millwright.registry import queries
+
+    folder = "/root/testdata/sf0.001"
+    got = queries()["gbt_train_predict"](spark, folder)
+    assert "lineitem" not in " ".join(got.inputFiles())
+    held = Tables(spark, folder).lineitem.where("l_orderkey % 5 = 0")
+    assert got.count() == held.count() and got.select("l_orderkey", "l_linenumber").exceptAll(held.select("l_orderkey", "l_linenumber")).isEmpty()
