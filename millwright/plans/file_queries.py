@@ -13,7 +13,7 @@ from ..operators.hierarchy import nest
 from ..operators.lineage import shared_dir
 from ..registry import query
 from ..sources import files
-from ..sources.archives import archive_lines
+from ..sources.archives import archive_lines, pack_members
 
 
 @query("csv_export", "SELECT s_suppkey AS vendor_key, s_name AS vendor_name FROM supplier")
@@ -106,19 +106,13 @@ def _(t):
 
     def pack(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
-            out = []
-            for lines in frame["lines"]:
-                raw = io.BytesIO()
-                with zipfile.ZipFile(raw, "w", zipfile.ZIP_DEFLATED) as z:
-                    for name, odd in (("x/NCR_lines.json", 0), ("lines.json", 1)):
-                        own = [x["json"] for x in lines if x["line_no"] % 2 == odd]
-                        if own:
-                            z.writestr(name, "\n".join(own) + "\n")
-                out.append(raw.getvalue())
+            out = [pack_members((n, text) for n, text in (("x/NCR_lines.json", even), ("lines.json", odd)) if text) for even, odd in zip(frame["even"], frame["odd"], strict=True)]
             yield pd.DataFrame({"demand_key": frame["demand_key"], "content": out})
 
     json = F.to_json(F.struct("material_key", "vendor_key"))
-    demands = t.demand_item.groupBy("demand_key").agg(F.collect_list(F.struct("line_no", json.alias("json"))).alias("lines"))  # the lines of one order
+    # the lines of one order, as the texts of both members
+    text = lambda odd: F.array_join(F.collect_list(F.when(F.col("line_no") % 2 == odd, F.concat(json, F.lit("\n")))), "")
+    demands = t.demand_item.groupBy("demand_key").agg(text(0).alias("even"), text(1).alias("odd"))
     bundles = demands.mapInPandas(pack, "demand_key long, content binary")
     material = F.from_json("line", "material_key long")["material_key"]
     return archive_lines(bundles).groupBy("demand_key", "kind").agg(F.count("*").alias("n"), F.sum(material).alias("materials"))
