@@ -80,3 +80,43 @@ def test_trainers_read_stored_rows_not_the_joins(spark):
     assert "lineitem" not in " ".join(got.inputFiles())
     held = Tables(spark, folder).lineitem.where("l_orderkey % 5 = 0")
     assert got.count() == held.count() and got.select("l_orderkey", "l_linenumber").exceptAll(held.select("l_orderkey", "l_linenumber")).isEmpty()
+
+
+def test_all_models_score_in_one_pass_and_a_broken_one_takes_only_itself_out(spark, monkeypatch):
+    df = spark.createDataFrame([(k, None if k % 7 == 0 else k % 13 + 0.5, float(k % 13 * 3 + k % 5)) for k in range(300)], "k long, a double, label double")
+    trials, passes, real = (R.Trial("Linear"), R.Trial("Tree", {"maxDepth": 3}), R.Trial("Tree", {"maxDepth": 1})), [], R.scores
+    monkeypatch.setattr(R, "scores", lambda vectors, models: passes.append(len(models)) or real(vectors, models))
+    whole = R.leaderboard(df, ["a"], ["k"], trials)[0].collect()
+    assert passes == [3]  # before, one for each trial, of cached rows
+
+    def breaks(vectors, models):
+        if 0 in models:
+            raise ValueError
+        return real(vectors, models)
+
+    monkeypatch.setattr(R, "scores", breaks)
+    board, best = R.leaderboard(df, ["a"], ["k"], trials)
+    got = {r.trial: r.r2 for r in board.collect()}
+    assert got == {r.trial: None if r.trial == 0 else pytest.approx(r.r2) for r in whole} and best is not None
+
+
+def test_csv_numbers_are_read_as_numbers(spark, tmp_path):
+    df = spark.createDataFrame([(k, k % 9 + 0.5, float(k % 4), float(k % 9 * 2 + k % 4)) for k in range(200)], "k long, a double, `b c` double, label double")
+    path = R.save(R.Trial("Linear").pipeline(["a", "b c"]).fit(df), f"file://{tmp_path}/model")
+    (tmp_path / "rows.csv").write_text('x,b c,k,a\nq,2,1,1.5\n"a,b",3,2,n/a\nq,,3,1e0\nq,1,4\n,NaN,5, 2.5\n"q",7,006,"3"\n')
+    scored = R.score_csv(path, f"file://{tmp_path}/rows.csv", ["k"], ["a", "b c"])
+    mean = [df.agg(F.avg(f"`{c}`")).first()[0] for c in ("a", "b c")]
+    want = {"1": (1.5, 2.0), "2": (mean[0], 3.0), "3": (1.0, mean[1]), "4": (mean[0], 1.0), "5": (2.5, mean[1]), "006": (3.0, 7.0)}
+    assert {r.k: r.prediction for r in scored.collect()} == {k: pytest.approx(2 * a + b - 1, abs=1e-6) for k, (a, b) in want.items()}
+    assert "a:double" in scored._jdf.queryExecution().toString()  # before, strings and a cast for each
+
+
+def test_small_tasks_end_with_their_block(spark, tmp_path):
+    from millwright.operators.lineage import small_tasks
+
+    name = "spark.sql.files.minPartitionNum"
+    before = spark.conf.get(name, None)
+    with pytest.raises(ValueError), small_tasks(spark):
+        assert int(spark.conf.get(name)) >= 4 * spark.sparkContext.defaultParallelism
+        raise ValueError
+    assert spark.conf.get(name, None) == before
