@@ -32,14 +32,19 @@ def or_join(left: DataFrame, right: DataFrame, conditions: list[tuple[str, str]]
 
 
 def radius_pairs(points: DataFrame, others: DataFrame, group: str, radius: float) -> DataFrame:
-    """Pairs of (pid, px, py) and (oid, ox, oy) of one group within the radius: cells of that size, each point looks into nine."""
-    near = points.withColumn("__dx", F.explode(F.array(*[F.lit(i) for i in (-1, 0, 1)]))).withColumn("__dy", F.explode(F.array(*[F.lit(i) for i in (-1, 0, 1)])))
-    near = near.withColumns({"__cx": F.floor(F.col("px") / radius) + F.col("__dx"), "__cy": F.floor(F.col("py") / radius) + F.col("__dy")}).drop("__dx", "__dy")
-    cells = others.withColumns({"__cx": F.floor(F.col("ox") / radius), "__cy": F.floor(F.col("oy") / radius)})
+    """Pairs of (pid, px, py) and (oid, ox, oy) of one group within the radius: cells of that size, each point looks into those that its square meets.
+
+    Cells are found by rounded sums and quotients, which never change the order of two numbers: so the cell of what is in reach lies between
+    those of the ends, however numbers are rounded."""
+    reach = F.lit(radius * (1 + 1e-12))  # a rounded difference can be the radius where the true one is more
+    cell = lambda c: F.floor(c / radius)
+    span = lambda c: F.explode(F.sequence(cell(F.col(c) - reach), cell(F.col(c) + reach)))
+    near = points.withColumn("__cx", span("px")).withColumn("__cy", span("py"))
+    cells = others.withColumns({"__cx": cell(F.col("ox")), "__cy": cell(F.col("oy"))})
     dx, dy = F.col("px") - F.col("ox"), F.col("py") - F.col("oy")
-    # the exact distance is slow, so squares first drop what lies clearly outside
+    # the distance as SQL has it; squares first drop what lies clearly outside
     pairs = near.join(cells, [group, "__cx", "__cy"]).where(dx * dx + dy * dy <= radius * radius * (1 + 1e-9))
-    return pairs.withColumn("dist", F.hypot(dx, dy)).where(F.col("dist") <= radius).drop("__cx", "__cy")
+    return pairs.withColumn("dist", F.sqrt(dx * dx + dy * dy)).where(F.col("dist") <= radius).drop("__cx", "__cy")
 
 
 def below_pairs(points: DataFrame, others: DataFrame, group: str, width: float, height: float) -> DataFrame:

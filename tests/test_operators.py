@@ -82,3 +82,15 @@ def test_upsert_keeps_keys_unique(spark):
     new = spark.createDataFrame([(1, "x", 5, 1), (1, "", 9, 2), (3, "c", None, 1), (3, "d", 7, 0)], "k int, v string, n int, at int")
     assert sorted(map(tuple, C.upsert(base, new, "k", ["v", "n"], "at").collect())) == [(1, "a", 9), (2, "b", 2), (3, "c", None)]
     assert C.upsert(base, new, "k", ["v", "n"]).count() == 3 and C.upsert(base, new.limit(0), "k", ["v", "n"]).count() == 2
+
+
+def test_pairs_whose_rounded_distance_is_the_radius_are_kept(spark):
+    import math
+
+    at = [k * 60.0 + e for k in (-2, -1, 0, 1, 2) for e in (0.0, 1e-20, -1e-20, 1e-14, -1e-14, 12.0, 24.0)] + [1e17, 1e17 + 64]
+    places = [(x, y) for x in at for y in (0.0, -1e-20, 36.0, 60.0)]
+    near = lambda p, o: math.sqrt((p[0] - o[0]) * (p[0] - o[0]) + (p[1] - o[1]) * (p[1] - o[1])) <= 60
+    want = sorted((*p, *o) for p in places for o in places if near(p, o))
+    a, b = (spark.createDataFrame([(1, *p) for p in places], f"g int, {c}x double, {c}y double") for c in "po")
+    got = sorted((r.px, r.py, r.ox, r.oy) for r in J.radius_pairs(a, b, "g", 60.0).collect())
+    assert got == want and (-1e-20, 0.0, 60.0, 0.0) in got  # before, two cells apart
