@@ -120,3 +120,26 @@ def test_small_tasks_end_with_their_block(spark, tmp_path):
         assert int(spark.conf.get(name)) >= 4 * spark.sparkContext.defaultParallelism
         raise ValueError
     assert spark.conf.get(name, None) == before
+
+
+def test_engine_learns_all_of_the_originals_trees(spark, monkeypatch):
+    from millwright.registry import queries
+
+    class Asked(Exception):
+        pass
+
+    def asked(self, features):
+        raise Asked(self)
+
+    monkeypatch.setattr(R.Trial, "pipeline", asked)
+    with pytest.raises(Asked) as e:
+        queries()["gbt_train_predict"](spark, "/root/testdata/sf0.001")
+    model = e.value.args[0].estimator()
+    assert (model.getMaxIter(), model.getMaxDepth(), model.getMinInstancesPerNode(), model.getMaxBins()) == (485, 6, 126, 1022)  # before, 8 trees of depth 4 with 32 bins
+    assert spark.sparkContext.getCheckpointDir()
+
+
+def test_a_step_of_one_half_is_the_whole_error(spark):
+    df = spark.createDataFrame([(k, float(k % 16), float((k % 16) ** 2)) for k in range(160)], "k long, a double, label double")
+    error = lambda step: R.Trial("FastTree", {"maxIter": 12, "maxDepth": 2, "stepSize": step}).pipeline(["a"]).fit(df).transform(df).agg(F.max(F.abs(F.col("label") - F.col("prediction")))).first()[0]
+    assert error(0.5) < 0.2 * error(1.0)
