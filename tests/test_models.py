@@ -143,3 +143,13 @@ def test_a_step_of_one_half_is_the_whole_error(spark):
     df = spark.createDataFrame([(k, float(k % 16), float((k % 16) ** 2)) for k in range(160)], "k long, a double, label double")
     error = lambda step: R.Trial("FastTree", {"maxIter": 12, "maxDepth": 2, "stepSize": step}).pipeline(["a"]).fit(df).transform(df).agg(F.max(F.abs(F.col("label") - F.col("prediction")))).first()[0]
     assert error(0.5) < 0.2 * error(1.0)
+
+
+def test_a_search_makes_the_originals_number_of_trials(spark, monkeypatch):
+    from collections import Counter
+
+    assert len(R.TRIALS) == 60 == len({(t.trainer, str(t.params)) for t in R.TRIALS})  # before, 8
+    assert Counter(t.trainer for t in R.TRIALS) == {"Linear": 10, "Poisson": 8, "Tweedie": 11, "Tree": 2, "FastForest": 10, "FastTree": 19}
+    df = spark.createDataFrame([(k, k % 13 + 0.5, float(k % 13 * 3 + k % 5)) for k in range(120)], "k long, a double, label double")
+    board, best = R.leaderboard(df, ["a"], ["k"], [t for t in R.TRIALS if t.trainer == "Tweedie"][:2])
+    assert all(r.r2 > 0.5 for r in board.collect())
