@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.window import Window
 
 from ..functions import geometry as G, text as X
-from ..operators import boxes as B, callouts as K, claims as C, joins as J, phrases as H, reading as O
+from ..operators import boxes as B, callouts as K, claims as C, joins as J, phrases as H, reading as O, turns as T
 from ..operators.lineage import stored
 from ..operators.nearest import best_within, claim_pairs
 from ..registry import query
@@ -26,14 +26,6 @@ def _boxes(t) -> DataFrame:
     return _tokens(t).withColumns({"w": F.char_length("text") * WIDTH, "h": F.lit(HEIGHT)})
 
 
-def _pairs(k: DataFrame, group: list[str], radius: float) -> DataFrame:
-    """Pairs of different tokens within a radius: columns with a_ and b_, and dist."""
-    g = F.concat_ws("\1", *group).alias("__g")
-    a = k.select(g, F.col("cx").alias("px"), F.col("cy").alias("py"), *[F.col(c).alias(f"a_{c}") for c in k.columns])
-    b = k.select(g, F.col("cx").alias("ox"), F.col("cy").alias("oy"), *[F.col(c).alias(f"b_{c}") for c in k.columns])
-    return J.radius_pairs(a, b, "__g", radius).where("a_token_key <> b_token_key")
-
-
 def _nearest_token(a: DataFrame, b: DataFrame, radius: float, allowed: Column | None = None, least: float = 0.0) -> DataFrame:
     """For each key of tokens a that has a token of b in reach: token_key, the score of the best one (distance, plus `extra` of b if there is one) and its to_key."""
     at = [F.col("cx").alias("px"), F.col("cy").alias("py")]
@@ -231,11 +223,6 @@ def _sides(tokens: DataFrame) -> tuple[DataFrame, DataFrame]:
     return tokens.where(_NUM), tokens.where(F.contains("text", F.lit("±")))
 
 
-def _tolerances(tokens: DataFrame) -> DataFrame:
-    pairs = _pairs(tokens.select("drawing_id", "token_key", "text", "cx", "cy"), ["drawing_id"], 90.0).where(f"a_{_NUM} and contains(b_text, '±')")
-    return pairs.select(F.col("a_drawing_id").alias("drawing_id"), F.col("a_token_key").alias("value_key"), F.col("b_token_key").alias("tolerance_key"), F.round("dist", 6).alias("dist"))
-
-
 @query("pair_tolerance", f"SELECT value_key, tolerance_key FROM (SELECT *, row_number() OVER (PARTITION BY value_key ORDER BY dist, tolerance_key) AS a, row_number() OVER (PARTITION BY tolerance_key ORDER BY dist, value_key) AS b FROM ({_TOL})) WHERE a = 1 AND b = 1")
 def _(t):
     """A value and a tolerance that are each other's nearest."""
@@ -261,17 +248,20 @@ def _(t):
 @query("stack_pairs")
 def _(t):
     """Stacked numbers, each in one pair: in the order of the tokens, each with the first one that is left."""
-    ends = {"lo": F.least("top_key", "bottom_key"), "hi": F.greatest("top_key", "bottom_key")}
-    return C.greedy_pairs(_tokens(t).where(_NUM), "drawing_id", "token_key", lambda k: _stacked(k).withColumns(ends)).select("top_key", "bottom_key", "text")
+    every = F.lit(True)
+    stacked = T.Pass(every, every, lambda dx, dy: abs(dx) < 80 and 5 < abs(dy) < 60, (-80.0, 80.0), (-60.0, 60.0))
+    got = T.claim_in_turn(_tokens(t).where(_NUM), "drawing_id", "token_key", "cx", "cy", [stacked], ["text", "cy"])
+    top = lambda a, b: F.when(F.col("a_cy") < F.col("b_cy"), F.col(a)).otherwise(F.col(b))
+    return got.select(top("a", "b").alias("top_key"), top("b", "a").alias("bottom_key"), F.concat(top("a_text", "b_text"), F.lit("/"), top("b_text", "a_text")).alias("text"))
 
 
 @query("priority_claim")
 def _(t):
     """Passes in their order (value and tolerance, stacked numbers) claim tokens; a group goes if one of its tokens is claimed before."""
-    one = _tolerances(_tokens(t)).select(F.lit(1).alias("pass"), F.col("value_key").alias("x"), F.col("tolerance_key").alias("y"))
-    two = _stacked(_tokens(t)).select(F.lit(2).alias("pass"), F.col("top_key").alias("x"), F.col("bottom_key").alias("y"))
-    groups = one.unionByName(two).withColumns({"rank": F.struct("pass", "x", "y"), "tokens": F.array("x", "y")})
-    return C.greedy_sets(groups, "rank", "tokens").select("pass", "x", "y")
+    value, tolerance = F.expr(_NUM), F.contains("text", F.lit("±"))
+    below = T.Pass(value, value, lambda dx, dy: abs(dx) < 80 and 5 < dy < 60, (-80.0, 80.0), (0.0, 60.0))
+    got = T.claim_in_turn(_tokens(t), "drawing_id", "token_key", "cx", "cy", [T.Pass(value, tolerance, **T.within(90.0)), below])
+    return got.select("pass", F.col("a").alias("x"), F.col("b").alias("y"))
 
 
 @query("attach_note", "SELECT note_key, value_key FROM (SELECT n.token_key AS note_key, v.token_key AS value_key, row_number() OVER (PARTITION BY n.token_key ORDER BY round(sqrt(power(n.cx - v.cx, 2) + power(n.cy - v.cy, 2)), 6), v.token_key) AS rn FROM token n JOIN token v ON n.drawing_id = v.drawing_id AND n.text = 'M10x1.5' AND v.text = 'R72.55' AND abs(n.cx - v.cx) < 150 AND abs(n.cy - v.cy) < 80) WHERE rn = 1")
