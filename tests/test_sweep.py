@@ -43,3 +43,8 @@ def _plan(df):
 def test_stacked_candidates_move_once(spark):
     plan = _plan(queries()["stack_pairs_candidates"](spark, FOLDER))
     assert plan.count("Exchange hashpartitioning") == 1 and "Join" not in plan  # before, six copies of each token with its text were joined
+
+
+def test_points_of_the_radius_join_move_once(spark):
+    plan = _plan(queries()["radius_join"](spark, FOLDER))
+    assert plan.count("Exchange hashpartitioning") == 1 and "Join" not in plan  # before, made distinct twice, and nine copies of each label were joined
